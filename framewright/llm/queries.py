@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import byte_bpe, packing
+from framewright.llm import byte_bpe, fingerprints, packing, telephony, url_filters
 from framewright.llm.common import table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -19,12 +19,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
+    "op7_url_filters": op7_url_filters,
+    "op8_telephony": op8_telephony,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_url_filters": url_filters.sql(),
+}
