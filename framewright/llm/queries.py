@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import byte_bpe, fingerprints, licenses, packing, telephony, url_filters
+from framewright.llm import byte_bpe, fingerprints, licenses, line_dedup, packing, telephony, url_filters
 from framewright.llm.common import table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -35,6 +35,10 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -45,9 +49,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op7_url_filters": op7_url_filters,
     "op8_telephony": op8_telephony,
+    "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op1_licenses": licenses.sql(),
     "op7_url_filters": url_filters.sql(),
+    "op9_line_dedup": line_dedup.sql(),
 }
