@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import byte_bpe, fingerprints, licenses, line_dedup, packing, telephony, url_filters
+from framewright.llm import byte_bpe, fingerprints, licenses, line_dedup, ngram_join, packing, telephony, url_filters
 from framewright.llm.common import table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -27,6 +27,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_filters": op7_url_filters,
     "op8_telephony": op8_telephony,
     "op9_line_dedup": op9_line_dedup,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_licenses": licenses.sql(),
+    "op6_ngram_join": ngram_join.sql(),
     "op7_url_filters": url_filters.sql(),
     "op9_line_dedup": line_dedup.sql(),
 }
