@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import byte_bpe, fingerprints, licenses, line_dedup, ngram_join, packing, telephony, url_filters
+from framewright.llm import byte_bpe, fingerprints, licenses, line_dedup, ngram_join, packing, telephony, toxicity, url_filters
 from framewright.llm.common import table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -19,6 +19,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -49,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op6_ngram_join": op6_ngram_join,
