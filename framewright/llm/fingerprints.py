@@ -16,37 +16,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.common import cut
+
 #: Words of a k-mer, positions of a signature (a power of two).
 K, M = 2, 64
 #: Bits of an identifier that a block of neighbouring documents spans.
 BLOCK_BITS = 9
 
 
+#: A k-mer is one long: the upper bits of its hash, then its place in the text.
+PLACE_BITS = 24
+LOW = (1 << PLACE_BITS) - 1
+
+
 def signature(df: DataFrame, text: str, out: str, k: int = K, m: int = M) -> DataFrame:
     """Adds `out`, an array of m 32-bit integers: the Order MinHash (tuples of 2) of column `text` (not null)."""
     bits = 64 - (m.bit_length() - 1)
-    spot = lambda h: F.shiftright(h, bits) + m // 2
-    step = {n: f"__{out}_{n}" for n in ("words", "kmers", "runs", "starts", "all", "spots")}
-    words, kmers, starts, runs, every, spots = (F.col(step[x]) for x in ("words", "kmers", "starts", "runs", "all", "spots"))
-    rows = df.withColumn(step["words"], F.split(F.col(text), r"\s+"))
-    hashes = F.when(F.size(words) < k, F.array(F.struct(F.xxhash64(F.array_join(words, " ")).alias("h"), F.lit(0).alias("p")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("p")))
-    )
-    rows = rows.withColumn(step["kmers"], F.array_sort(hashes))
-    # Where each run of equal k-mers starts and ends; later members of a run are hashed with their number.
-    rows = rows.withColumn(step["starts"], F.filter(F.sequence(F.lit(0), F.size(kmers) - 1), lambda j: (j == 0) | (F.get(kmers, j - 1)["h"] != F.get(kmers, j)["h"])))
-    rows = rows.withColumn(step["runs"], F.filter(F.transform(starts, lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(starts, i + 1), F.size(kmers)).alias("b"))), lambda r: r["b"] - r["a"] > 1))
-    later = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["a"] + 1, r["b"] - 1), lambda j: F.struct(F.xxhash64(F.get(kmers, j)["h"], j - r["a"]).alias("h"), F.get(kmers, j)["p"].alias("p")))))
-    rows = rows.withColumn(step["all"], F.array_sort(F.concat(F.transform(starts, lambda j: F.get(kmers, j)), later)))
-    first = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda j: (j == 0) | (spot(F.get(every, j - 1)["h"]) != spot(F.get(every, j)["h"])))
-    rows = rows.withColumn(step["spots"], F.transform(first, lambda j: F.struct(spot(F.get(every, j)["h"]).alias("s"), j.alias("j"))))
-
-    def at(i: Column) -> Column:
-        j = F.coalesce(F.get(F.filter(spots, lambda x: x["s"] >= i), 0)["j"], F.lit(0))
-        two = F.array_sort(F.transform(F.array(j, (j + 1) % F.size(every)), lambda x: F.struct(F.get(every, x)["p"].alias("p"), F.get(every, x)["h"].alias("h"))))
-        return F.hash(F.get(two, 0)["h"], F.get(two, 1)["h"])
-
-    return rows.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), at)).drop(*step.values())
+    names = {n: f"__{out}_{n}" for n in ("words", "kmers", "starts", "all", "first", "spots", "chosen")}
+    words, kmers, starts, every, first, spots, chosen = map(F.col, names.values())
+    none = F.lit(0).cast("long")
+    at = lambda a, j: F.coalesce(F.get(a, j), none)
+    spot = lambda h: (F.shiftright(h, bits) + m // 2).cast("int")
+    kmer = lambda h, place: h.bitwiseAND(F.lit(~LOW)).bitwiseOR(place.cast("long").bitwiseAND(F.lit(LOW)))
+    same = lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
+    rows = df.withColumn(names["words"], F.split(F.col(text), r"\s+"))
+    whole = F.array(kmer(F.xxhash64(F.array_join(words, " ")), F.lit(0)))
+    many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: kmer(F.xxhash64(*[F.get(words, i + j) for j in range(k)]), i))
+    rows = rows.withColumn(names["kmers"], F.sort_array(F.when(F.size(words) < k, whole).otherwise(many)))
+    # Equal k-mers stand side by side; the later ones are hashed with their number, and all are sorted again.
+    rows = rows.withColumn(names["starts"], F.filter(F.sequence(F.lit(0), F.size(kmers) - 1), lambda j: (j == 0) | ~same(at(kmers, j - 1), at(kmers, j))))
+    runs = F.filter(F.transform(starts, lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(starts, i + 1), F.size(kmers)).alias("b"))), lambda r: r["b"] - r["a"] > 1)
+    numbered = lambda r: F.transform(F.sequence(r["a"] + 1, r["b"] - 1), lambda j: kmer(F.xxhash64(F.shiftright(at(kmers, j), PLACE_BITS), j - r["a"]), at(kmers, j)))
+    again = F.sort_array(F.concat(F.transform(starts, lambda j: at(kmers, j)), F.flatten(F.transform(runs, numbered))))
+    rows = rows.withColumn(names["all"], F.when(F.size(starts) == F.size(kmers), kmers).otherwise(again))
+    # Where each m-th of the hash range begins among the sorted k-mers; a function without its own takes the next.
+    rows = rows.withColumn(names["first"], F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda j: (j == 0) | (spot(at(every, j - 1)) != spot(at(every, j)))))
+    rows = rows.withColumn(names["spots"], F.transform(first, lambda j: spot(at(every, j))))
+    later = lambda i: F.array_position(spots, F.coalesce(F.array_min(F.filter(spots, lambda s: s >= i)), F.lit(-1)))
+    own = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.when(F.array_contains(spots, i), F.array_position(spots, i)).otherwise(later(i)).cast("int"))
+    rows = rows.withColumn(names["chosen"], F.transform(own, lambda q: F.coalesce(F.get(first, F.greatest(q - 1, F.lit(0))), F.lit(0))))
+
+    def of(j: Column) -> Column:
+        a, b = at(every, j), at(every, (j + 1) % F.size(every))
+        in_order = a.bitwiseAND(F.lit(LOW)) <= b.bitwiseAND(F.lit(LOW))
+        a, b = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
+        return F.when(in_order, F.hash(a, b)).otherwise(F.hash(b, a))
+
+    return rows.withColumn(out, F.transform(chosen, of)).drop(*names.values())
 
 
 def likeness(a: Column, b: Column, m: int = M) -> Column:
@@ -67,28 +83,32 @@ def successors(values: DataFrame, v: str) -> DataFrame:
     return rows.join(heads, "__up").select(v, F.coalesce("__next", "__after").alias("next"))
 
 
-def with_next(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, order: list[str], cols: list[str], shorten: dict[str, Column]) -> DataFrame:
     """Adds next_<c> for each c of cols: its value in the next row by (key, order); after the last row, in the first.
 
-    Rows meet in blocks of neighbouring keys; only a block's first row is sent to the block before it."""
+    Rows meet in blocks of neighbouring keys, and the outcome is written once (shorten says what of it is needed);
+    only a block's first row is then sent to the last row of the block before it."""
     block = F.shiftright(key, BLOCK_BITS)
     own = Window.partitionBy("__block").orderBy(key, *order)
     rows = df.withColumn("__block", block)
-    rows = rows.withColumns({"__n": F.row_number().over(own)} | {f"next_{c}": F.lead(c).over(own) for c in cols})
-    follow = successors(df.select(block.alias("__block")).distinct(), "__block")
+    rows = rows.withColumns({"__n": F.row_number().over(own), "__last": F.lead(F.lit(1)).over(own).isNull()} | {f"next_{c}": F.lead(c).over(own) for c in cols})
+    rows = cut(rows.withColumns(shorten))
+    follow = successors(rows.where("__last").select("__block"), "__block")
     heads = rows.where("__n = 1").select(F.col("__block").alias("next"), F.struct(*cols).alias("__head"))
     edges = follow.join(heads, "next").select("__block", "__head")
-    return rows.join(edges, "__block").withColumns({f"next_{c}": F.coalesce(f"next_{c}", F.col("__head")[c]) for c in cols}).drop("__block", "__n", "__head")
+    inner = rows.where("NOT __last").drop("__block", "__n", "__last")
+    ends = rows.where("__last").join(edges, "__block").withColumns({f"next_{c}": F.col("__head")[c] for c in cols}).withColumns(shorten)
+    return inner.unionByName(ends.select(*inner.columns))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of the text whose second half the next document's beginning replaced."""
     lowest = F.lit(-(2**63)).cast("long")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(signature(rows, "text", "sig"), "__key", ["text"], ["text", "sig"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    rows = with_next(signature(rows, "text", "sig"), "__key", ["text"], ["text", "sig"], {"next_text": F.substring("next_text", F.lit(1), half)})
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), "next_text"))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited", "sig", "next_sig")
     rows = signature(rows, "edited", "edited_sig")
     return rows.select(
