@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import byte_bpe, fingerprints, licenses, line_dedup, ngram_join, packing, telephony, toxicity, url_filters
+from framewright.llm import byte_bpe, fingerprints, html_tree, licenses, line_dedup, ngram_join, packing, telephony, toxicity, url_filters
 from framewright.llm.common import table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -31,6 +31,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_html_tree": op5_html_tree,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filters": op7_url_filters,
     "op8_telephony": op8_telephony,
