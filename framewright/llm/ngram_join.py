@@ -173,7 +173,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     if m * m * width <= 2e10 and m * width <= 5e7:
         table = np.zeros((m, width), np.float32)
         table[doc, token] = 1
-        return np.rint(table @ table.T).astype(np.int64)
+        return table @ table.T  # whole numbers, far below 2^24
     # Many alike: what most sets hold is counted by who lacks it, the rest by who holds it.
     order = np.argsort(token, kind="stable")
     ends = np.cumsum(np.bincount(token, minlength=width))
@@ -200,14 +200,17 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
     blocks = F.ceil(F.col("size_of_comp") / BLOCK).cast("int")
     placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.hash("node"), blocks)})
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("rep"), F.col("text").cast("string").alias("text"))
-    rows = placed.withColumn("rep", F.coalesce("rep", lowest)).join(texts, "rep")
+    # Members grow with the corpus, so this is a shuffle join at every size, never a broadcast.
+    rows = placed.withColumn("rep", F.coalesce("rep", lowest)).hint("merge").join(texts.hint("merge"), "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(n_groups))).otherwise(F.xxhash64("comp", "i", "j")))
 
     def compare(nodes: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         size = np.array([len(s) for s in sets])
         both = overlaps(sets)
-        near = both * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-9
+        near = np.empty(both.shape, bool)
+        for k in range(0, len(size), 256):
+            near[k : k + 256] = both[k : k + 256] * (1 + similarity) >= similarity * (size[k : k + 256, None] + size[None, :]) - 1e-9
         np.fill_diagonal(near, False)
         if (side != side[0]).any():
             near &= side[:, None] != side[None, :]
