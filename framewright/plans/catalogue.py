@@ -2,9 +2,652 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import math
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+from framewright.functions import arrays, ranges
+from framewright.operators import align, archive, discovery, evaluation, graph, lsh, network, stats, windows
+from framewright.sources.frames import lineitem_frames, posteriors, table, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+BITS, THRESHOLD = 32, 0.5
+DIMS = 64
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, and its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- archive algebra
+
+FRAMES = """f AS (SELECT l_orderkey AS seg_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS frame_no,
+  [l_quantity, l_extendedprice, l_discount, l_tax] AS features, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, l_linestatus FROM lineitem),
+n AS (SELECT seg_id, count(*) AS n FROM f GROUP BY seg_id)"""
+ROW = ", ".join(f"round(features[{i + 1}], 6) AS f{i}" for i in range(4))
+
+
+def flat(df: DataFrame, n: int = 4, *more: str) -> DataFrame:
+    """seg_id, frame_no and rounded features as columns, for comparison."""
+    return df.select("seg_id", "frame_no", *more, *[F.round(F.get("features", i), 6).alias(f"f{i}") for i in range(n)])
+
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no, {ROW} FROM f WHERE seg_id >= 1 AND (seg_id - 1) % 7 = 0")
+def archive_range_select(spark, sf_dir):
+    """Segments of the range 1:7:^0."""
+    f = lineitem_frames(spark, sf_dir)
+    return flat(f.where(ranges.progression(F.col("seg_id"), 1, 7, F.lit(2**62))))
+
+
+@query(f"WITH {FRAMES} SELECT f.seg_id, frame_no - 1 AS frame_no, {ROW} FROM f JOIN n USING (seg_id) WHERE frame_no >= 1 AND frame_no < n - 1")
+def archive_trim(spark, sf_dir):
+    return flat(archive.trim(lineitem_frames(spark, sf_dir), 1, 1))
+
+
+@query(f"WITH {FRAMES} SELECT f.seg_id, frame_no, label FROM f JOIN n USING (seg_id) WHERE frame_no IN (0, n - 1)")
+def archive_frame_range(spark, sf_dir):
+    """Frames of the range 0,^0 in each segment, without repeats."""
+    f = archive.with_length(lineitem_frames(spark, sf_dir))
+    return f.where((F.col("frame_no") == 0) | (F.col("frame_no") == F.col("n") - 1)).select("seg_id", "frame_no", "label")
+
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no, round(features[4], 6) AS f0, round(features[1], 6) AS f1, round(features[1], 6) AS f2 FROM f")
+def archive_feature_project(spark, sf_dir):
+    return flat(archive.project(lineitem_frames(spark, sf_dir), ranges.parse("^0,0,0", 4)), 3)
+
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no, {ROW}, round(features[4], 6) AS f4, round(features[3], 6) AS f5, round(features[2], 6) AS f6, round(features[1], 6) AS f7 FROM f")
+def archive_merge(spark, sf_dir):
+    f = lineitem_frames(spark, sf_dir)
+    return flat(archive.merge(f, archive.project(f, [3, 2, 1, 0])), 8)
+
+
+@query(f"WITH {FRAMES}, g AS (SELECT seg_id, frame_no, unnest([0, 1, 2, 3]) AS col, unnest(features) AS a, l_linestatus FROM f), "
+       "h AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN a * 1.01 ELSE a END AS b FROM g) SELECT seg_id, frame_no, col, round(a, 6) AS a, round(b, 6) AS b FROM h WHERE abs(a - b) > 0.5")
+def archive_diff(spark, sf_dir):
+    f = lineitem_frames(spark, sf_dir)
+    g = f.withColumn("features", F.transform("features", lambda x: F.when(F.col("l_linestatus") == "F", x * 1.01).otherwise(x)))
+    return archive.diff(f, g, 0.5).select("seg_id", "frame_no", "col", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query(f"WITH {FRAMES}, m AS (SELECT max(seg_id) + 1 AS o FROM f) SELECT seg_id, frame_no, {ROW} FROM f UNION ALL SELECT seg_id + o, frame_no, {ROW} FROM f, m WHERE l_linestatus = 'F'")
+def archive_concat(spark, sf_dir):
+    f = lineitem_frames(spark, sf_dir)
+    return flat(archive.concat(f, f.where("l_linestatus = 'F'")))
+
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no, round(2 * features[1] / (0.5 * features[1]) + 1, 6) AS f0, round(2 * features[2] / (0.5 * features[2]) + 1, 6) AS f1, "
+       "CASE WHEN features[3] = 0 THEN NULL ELSE round(2 * features[3] / (0.5 * features[3]) + 1, 6) END AS f2, CASE WHEN features[4] = 0 THEN NULL ELSE round(2 * features[4] / (0.5 * features[4]) + 1, 6) END AS f3 FROM f")
+def archive_combo(spark, sf_dir):
+    """2 f / 0.5 f + 1; 0/0 shown as null."""
+    f = lineitem_frames(spark, sf_dir)
+    rows = archive.combo(f, f, "div", 2.0, 0.5, 1.0)
+    return flat(rows.withColumn("features", F.transform("features", lambda x: F.when(~F.isnan(x), x))))
+
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no, CASE WHEN l_linestatus = 'F' THEN 9 ELSE label END AS label FROM f")
+def archive_patch_labels(spark, sf_dir):
+    f = lineitem_frames(spark, sf_dir)
+    return archive.patch_labels(f, f.where("l_linestatus = 'F'").withColumn("label", F.lit(9))).select("seg_id", "frame_no", "label")
+
+
+def reindexed(target: str) -> str:
+    return f"WITH {FRAMES}, t AS (SELECT seg_id, n, unnest({target}) AS want, unnest(range(len({target}))) AS frame_no FROM n) SELECT t.seg_id, t.frame_no, {ROW} FROM t JOIN f ON f.seg_id = t.seg_id AND f.frame_no = least(greatest(want, 0), n - 1)"
+
+
+@query(reindexed("range(-2, n + 2)"))
+def archive_pad(spark, sf_dir):
+    return flat(archive.pad(lineitem_frames(spark, sf_dir), 2))
+
+
+@query(reindexed("range(0, 3 + seg_id % 3)"))
+def archive_deslen(spark, sf_dir):
+    return flat(archive.set_length(lineitem_frames(spark, sf_dir), (3 + F.col("seg_id") % 3).cast("int")))
+
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no - seg_id % 3 AS frame_no, {ROW} FROM f WHERE frame_no >= seg_id % 3")
+def archive_skip(spark, sf_dir):
+    return flat(archive.skip(lineitem_frames(spark, sf_dir), F.col("seg_id") % 3))
+
+
+@query(f"WITH {FRAMES} SELECT seg_id * 3 + k AS seg_id, frame_no, {ROW} FROM f, range(3) r(k)")
+def archive_repeat(spark, sf_dir):
+    return flat(archive.repeat(lineitem_frames(spark, sf_dir), 3))
+
+
+@query(f"WITH {FRAMES} SELECT CAST(0 AS BIGINT) AS seg_id, row_number() OVER (ORDER BY seg_id, frame_no) - 1 AS frame_no, {ROW} FROM f")
+def archive_merge_segments(spark, sf_dir):
+    return flat(archive.merge_segments(lineitem_frames(spark, sf_dir)))
+
+
+@query(f"WITH {FRAMES} SELECT count(*) AS n_segs, CAST(sum(n) AS BIGINT) AS n_frames, CAST(4 AS BIGINT) AS n_features, max(n) AS longest FROM n")
+def archive_info(spark, sf_dir):
+    return archive.info(lineitem_frames(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- row transforms
+
+VECTORS = "v AS (SELECT vec_id, label, vec_id % 5 AS speaker, vec_id % 20 AS file, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS features FROM embeddings)"
+TEN = "t AS (SELECT vec_id, label, list_slice(features, 1, 10) AS x FROM v)"
+
+
+def listed(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
+    return df.select("vec_id", F.posexplode(value).alias("dim", "value")).withColumn("value", F.round("value", digits))
+
+
+def listed_sql(expression: str, ctes: str = "", digits: int = 6) -> str:
+    return f"WITH {VECTORS}, {TEN}{ctes}, r AS (SELECT vec_id, {expression} AS y FROM {'u' if ctes else 't'}) SELECT vec_id, unnest(range(len(y))) AS dim, round(unnest(y), {digits}) AS value FROM r"
+
+
+def ten(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).withColumn("x", F.slice("features", 1, 10))
+
+
+SOFT = ", u AS (SELECT vec_id, label, list_transform(e, lambda y: y / list_sum(e)) AS p FROM (SELECT vec_id, label, list_transform(x, lambda y: exp(y - list_max(x))) AS e FROM t))"
+
+
+@query(listed_sql("p", SOFT))
+def row_softmax(spark, sf_dir):
+    return listed(ten(spark, sf_dir).withColumn("x", arrays.softmax(F.col("x"))), "x")
+
+
+@query(listed_sql("list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z))))"))
+def row_l2(spark, sf_dir):
+    return listed(ten(spark, sf_dir).withColumn("x", arrays.l2(F.col("x"))), "x")
+
+
+@query(listed_sql("list_transform(x, lambda y: ln(greatest(y, 1e-10)))"))
+def row_safelog(spark, sf_dir):
+    return listed(ten(spark, sf_dir).withColumn("x", arrays.safelog(F.col("x"))), "x")
+
+
+@query(listed_sql("list_transform(range(10), lambda j: (x[1] + (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * x[10] + 2 * list_sum(list_transform(range(1, 9), lambda i: x[i + 1] * cos(pi() * i * j / 9)))) / 9)"))
+def row_dct(spark, sf_dir):
+    return listed(ten(spark, sf_dir).withColumn("x", arrays.dct(F.col("x"), 10)), "x")
+
+
+@query(listed_sql("list_transform(p, lambda y: least(greatest(floor(-24 * ln(y + 1e-37)), 0), 255))", SOFT))
+def row_lna8(spark, sf_dir):
+    return listed(ten(spark, sf_dir).withColumn("x", F.transform(arrays.lna8(arrays.softmax(F.col("x"))), lambda y: y.cast("double"))), "x")
+
+
+@query(listed_sql("list_transform(range(10), lambda i: CASE WHEN i = label THEN 1.0 ELSE 0.0 END)"))
+def row_one_hot(spark, sf_dir):
+    return listed(ten(spark, sf_dir).withColumn("x", arrays.one_hot(F.col("label"), 10)), "x")
+
+
+@query(f"WITH {VECTORS}, {TEN}{SOFT} SELECT vec_id, round(list_max(p), 6) AS top, round(list_max(p) - list_reverse_sort(p)[2], 6) AS margin, round(-list_sum(list_transform(p, lambda y: y * log2(y))), 6) AS entropy, list_position(p, list_max(p)) - 1 AS best FROM u")
+def row_confidence(spark, sf_dir):
+    rows = ten(spark, sf_dir).withColumn("p", arrays.softmax(F.col("x")))
+    p = F.col("p")
+    return rows.select("vec_id", F.round(F.array_max(p), 6).alias("top"), F.round(arrays.margin(p), 6).alias("margin"), F.round(arrays.entropy(p), 6).alias("entropy"), arrays.argmax(p).alias("best"))
+
+
+# ---------------------------------------------------------------- statistics
+
+LONG = f"{FRAMES}, e AS (SELECT seg_id, frame_no, label, unnest([0, 1, 2, 3]) AS dim, unnest(features) AS v FROM f)"
+
+
+@query(f"WITH {LONG} SELECT dim, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sd, min(v) AS low, max(v) AS high, "
+       "first(seg_id ORDER BY v, seg_id, frame_no) AS low_seg, first(frame_no ORDER BY v, seg_id, frame_no) AS low_frame, first(seg_id ORDER BY v DESC, seg_id, frame_no) AS high_seg, first(frame_no ORDER BY v DESC, seg_id, frame_no) AS high_frame FROM e GROUP BY dim")
+def stats_features(spark, sf_dir):
+    return stats.summary(lineitem_frames(spark, sf_dir)).withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 4)})
+
+
+HIST = "m AS (SELECT dim, min(v) AS lo, max(v) AS hi, count(*) AS total FROM e GROUP BY dim), x AS (SELECT e.*, total, CASE WHEN hi > lo THEN 20 * 0.9999 * (v - lo) / (hi - lo) ELSE 0 END AS x FROM e JOIN m USING (dim)), h AS (SELECT dim, CAST(floor(x) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY ALL)"
+
+
+@query(f"WITH {LONG}, {HIST} SELECT * FROM h")
+def stats_histogram(spark, sf_dir):
+    return stats.histogram(lineitem_frames(spark, sf_dir), 20)
+
+
+def normed(df: DataFrame, value: str = "z") -> DataFrame:
+    return df.select("seg_id", "frame_no", "dim", F.round(value, 6).alias(value))
+
+
+def normed_sql(group: str, sd: str) -> str:
+    return f"WITH {LONG} SELECT seg_id, frame_no, dim, round((v - avg(v) OVER w) / CASE WHEN coalesce({sd}(v) OVER w, 0) = 0 THEN 1 ELSE {sd}(v) OVER w END, 6) AS z FROM e WINDOW w AS (PARTITION BY dim{group})"
+
+
+@query(normed_sql("", "stddev_pop"))
+def norm_global(spark, sf_dir):
+    return normed(stats.normalise_all(lineitem_frames(spark, sf_dir)))
+
+
+@query(normed_sql(", seg_id // 100", "stddev_pop"))
+def norm_group(spark, sf_dir):
+    return normed(stats.normalise(lineitem_frames(spark, sf_dir), [F.floor(F.col("seg_id") / 100)]))
+
+
+@query(normed_sql(", label", "stddev_pop"))
+def norm_by_label(spark, sf_dir):
+    f = stats.exploded(lineitem_frames(spark, sf_dir))
+    s = f.groupBy("label", "dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))  # a row for each label and feature
+    rows = f.join(F.broadcast(s), ["label", "dim"])
+    return normed(rows.withColumn("z", (F.col("v") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))))
+
+
+@query(f"WITH {LONG}, {HIST}, b AS (SELECT *, sum(n) OVER (PARTITION BY dim ORDER BY bin) - n AS below FROM h) "
+       "SELECT seg_id, frame_no, x.dim, round((below + n * (x - bin)) / total, 6) AS u FROM x JOIN b ON b.dim = x.dim AND b.bin = CAST(floor(x) AS INTEGER)")
+def uniformise(spark, sf_dir):
+    return normed(stats.uniformise(lineitem_frames(spark, sf_dir), 20), "u")
+
+
+def cells_sql(expression: str, upper: bool, source: str = "f", a: str = "features", b: str = "features") -> str:
+    cells = [(i, j) for i in range(4) for j in range(i if upper else 0, 4)]
+    return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {expression.format(a=f'{a}[{i + 1}]', b=f'{b}[{j + 1}]')} FROM {source}" for i, j in cells)
+
+
+@query(f"WITH {FRAMES} " + cells_sql("round(covar_pop({a}, {b}), 4) + 0.0 AS cov", True))
+def cov_matrix(spark, sf_dir):
+    return stats.covariance(lineitem_frames(spark, sf_dir), 4).withColumn("cov", F.round("cov", 4) + 0.0)
+
+
+@query(f"WITH {FRAMES}, g AS (SELECT features, lag(features) OVER (PARTITION BY seg_id ORDER BY frame_no) AS past FROM f), p AS (SELECT * FROM g WHERE past IS NOT NULL), "
+       "c AS (" + cells_sql("corr({a}, {b}) AS r", False, "p", "features", "past") + ") SELECT i, j, round(-0.5 * log2(1 - r * r), 8) AS mi FROM c")
+def mi_lagged(spark, sf_dir):
+    return stats.lagged_information(lineitem_frames(spark, sf_dir), 4, 1).select("i", "j", F.round("mi", 8).alias("mi"))
+
+
+@query(f"WITH {FRAMES}, c AS (SELECT label, count(*) AS n, " + ", ".join(f"avg(features[{i + 1}]) AS m{i}" for i in range(4)) + ", "
+       + ", ".join(f"covar_pop(features[{i + 1}], features[{j + 1}]) AS c{i}_{j}" for i in range(4) for j in range(i, 4)) + " FROM f GROUP BY label), "
+       "g AS (SELECT *, sum(n) OVER () AS total, count(*) OVER () AS k, " + ", ".join(f"avg(m{i}) OVER () AS g{i}" for i in range(4)) + " FROM c) "
+       + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum(n / total * c{i}_{j} * n / (n - 1)), 4) + 0.0 AS within, round(sum(n / total * (m{i} - g{i}) * (m{j} - g{j})) / max(k), 6) + 0.0 AS between FROM g" for i in range(4) for j in range(i, 4)))
+def lda_scatter(spark, sf_dir):
+    return stats.scatter(lineitem_frames(spark, sf_dir), 4).withColumns({"within": F.round("within", 4) + 0.0, "between": F.round("between", 6) + 0.0})
+
+
+@query()
+def klt_apply(spark, sf_dir):
+    return flat(stats.klt(lineitem_frames(spark, sf_dir), 4, whiten=True))
+
+
+@query()
+def lda_apply(spark, sf_dir):
+    return flat(stats.lda(lineitem_frames(spark, sf_dir), 4, 2), 2)
+
+
+@query()
+def gaussianise(spark, sf_dir):
+    return normed(stats.gaussianise(lineitem_frames(spark, sf_dir), 20), "g")
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return stats.kmeans(vectors(spark, sf_dir), 8).select("vec_id", "cluster")
+
+
+POST = f"{VECTORS}, {TEN}{SOFT}, q AS (SELECT vec_id % 50 AS seg_id, vec_id, label, p, list_max(p) AS w FROM u), z AS (SELECT seg_id, w, unnest(range(10)) AS cls, unnest(p) AS v FROM q)"
+
+
+@query(f"WITH {POST} SELECT seg_id, cls, round(sum(w * v) / sum(w), 6) AS mean, round(sqrt(greatest(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2, 0)), 5) AS sd FROM z GROUP BY seg_id, cls")
+def segpost_summary(spark, sf_dir):
+    rows = stats.segment_posteriors(posteriors(spark, sf_dir), F.array_max("p"))
+    return rows.select("seg_id", "cls", F.round("mean", 6).alias("mean"), F.round("sd", 5).alias("sd"))
+
+
+@query(f"WITH {POST} SELECT seg_id, count(*) AS n, round(avg(CASE WHEN list_position(p, list_max(p)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM q GROUP BY seg_id")
+def frame_accuracy(spark, sf_dir):
+    rows = posteriors(spark, sf_dir)
+    return rows.groupBy("seg_id").agg(F.count("*").alias("n"), F.round(F.avg((arrays.argmax(F.col("p")) == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
+# ---------------------------------------------------------------- windows
+
+@query(f"WITH {FRAMES} SELECT seg_id, frame_no, " + ", ".join(f"round((lead(features, {k // 4}) OVER w)[{k % 4 + 1}], 6) AS f{k}" for k in range(12)) + " FROM f WINDOW w AS (PARTITION BY seg_id ORDER BY frame_no) QUALIFY lead(frame_no, 2) OVER w IS NOT NULL")
+def win_context(spark, sf_dir):
+    return flat(windows.context(lineitem_frames(spark, sf_dir), 3), 12)
+
+
+def filter_sql(weights: list[float]) -> str:
+    reach = len(weights) // 2
+    near = lambda k: f"features[{{d}}]" if k == 0 else f"coalesce({'lead' if k > 0 else 'lag'}(features, {abs(k)}) OVER w, {'last' if k > 0 else 'first'}_value(features) OVER a)[{{d}}]"
+    value = " + ".join(f"({float(w)}) * {near(k)}" for k, w in zip(range(-reach, reach + 1), weights, strict=True) if w)
+    return f"WITH {FRAMES} SELECT seg_id, frame_no, " + ", ".join(f"round({value.format(d=d + 1)}, 4) + 0.0 AS f{d}" for d in range(4)) + " FROM f WINDOW w AS (PARTITION BY seg_id ORDER BY frame_no), a AS (PARTITION BY seg_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def filtered(spark, sf_dir, weights: list[float]) -> DataFrame:
+    f = windows.weighted(lineitem_frames(spark, sf_dir), weights, 4)
+    return f.select("seg_id", "frame_no", *[(F.round(F.get("features", i), 4) + 0.0).alias(f"f{i}") for i in range(4)])
+
+
+@query(filter_sql(windows.delta_weights(5)))
+def win_delta(spark, sf_dir):
+    return filtered(spark, sf_dir, windows.delta_weights(5))
+
+
+@query(filter_sql(windows.double_delta_weights(5)))
+def win_double_delta(spark, sf_dir):
+    return filtered(spark, sf_dir, windows.double_delta_weights(5))
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, k, 0.1 * value AS m, 0.9 + 0.1 * (value - 0.1 * value) ** 2 AS v, value FROM o WHERE k = 1
+UNION ALL SELECT o.event_id, o.user_id, o.k, 0.9 * r.m + 0.1 * o.value, 0.9 * r.v + 0.1 * (o.value - (0.9 * r.m + 0.1 * o.value)) ** 2, o.value FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT event_id, round((value - m) / sqrt(v), 6) AS y FROM r""")
+def win_ewma(spark, sf_dir):
+    return windows.online_norm_events(table(spark, sf_dir, "events")).withColumn("y", F.round("y", 6))
+
+
+ISLANDS = """o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+a AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM o WHERE value > 50),
+s AS (SELECT user_id, min(i) AS start_frame, max(i) AS end_frame, count(*) AS n FROM a GROUP BY user_id, g)"""
+BRIDGED = """b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start_frame) AS k FROM (SELECT *, CASE WHEN start_frame - lag(end_frame) OVER (PARTITION BY user_id ORDER BY start_frame) - 1 <= 1 THEN 0 ELSE 1 END AS new FROM s)),
+c AS (SELECT user_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame FROM b GROUP BY user_id, k HAVING max(end_frame) - min(start_frame) + 1 >= 3)"""
+
+
+def speech(spark, sf_dir) -> DataFrame:
+    return windows.islands(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") > 50)
+
+
+@query(f"WITH {ISLANDS} SELECT * FROM s")
+def vad_islands(spark, sf_dir):
+    return speech(spark, sf_dir)
+
+
+@query(f"WITH {ISLANDS}, {BRIDGED} SELECT * FROM c")
+def vad_segments(spark, sf_dir):
+    return windows.bridged(speech(spark, sf_dir), ["user_id"], 1, 3)
+
+
+@query(f"WITH {ISLANDS}, {BRIDGED} SELECT o.user_id, i AS frame_no, start_frame, end_frame FROM o JOIN c ON o.user_id = c.user_id AND i BETWEEN start_frame AND end_frame")
+def vad_frame_join(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frames = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("frame_no"))
+    return windows.inside(frames, vad_segments(spark, sf_dir), ["user_id"], "frame_no").select("user_id", "frame_no", "start_frame", "end_frame")
+
+
+# ---------------------------------------------------------------- similarity joins
+
+PROJECTION = lsh.projection(DIMS, BITS)
+SIGNED = VECTORS + ", g AS (SELECT vec_id, label, speaker, file, " + " + ".join(f"CASE WHEN list_dot_product(features, [{', '.join(f'{float(x)}' for x in row)}]) >= 0 THEN {1 << b} ELSE 0 END" for b, row in enumerate(PROJECTION.tolist())) + " AS sig FROM v)"
+COS = f"cos(pi() * bit_count(xor(a.sig, b.sig)) / {BITS}.0)"
+EXACT = f"x AS (SELECT a.vec_id AS i, b.vec_id AS j, bit_count(xor(a.sig, b.sig)) AS h FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE {COS} > {THRESHOLD})"
+PAIRS = "p AS (SELECT a.label = b.label AS same, a.speaker = b.speaker AS same_speaker, bit_count(xor(a.sig, b.sig)) / 32.0 AS dist FROM g a JOIN g b ON a.vec_id < b.vec_id)"
+DISTANCES = "c AS (SELECT dist, count(*) AS n, sum(CAST(same AS INTEGER)) AS pos FROM p GROUP BY dist), k AS (SELECT *, sum(n) OVER (ORDER BY dist) AS cum_n, sum(pos) OVER (ORDER BY dist) AS cum_pos FROM c)"
+
+
+def signed(spark, sf_dir) -> DataFrame:
+    return lsh.signature(vectors(spark, sf_dir), PROJECTION).drop("features")
+
+
+def signed_pairs(spark, sf_dir) -> DataFrame:
+    rows = lsh.pairs(signed(spark, sf_dir), "vec_id")
+    return rows.select((F.col("a.label") == F.col("b.label")).alias("same"), (F.col("a.speaker") == F.col("b.speaker")).alias("same_speaker"), (lsh.hamming(F.col("a.sig"), F.col("b.sig")) / BITS).alias("dist"))
+
+
+@query(f"WITH {SIGNED}, {PAIRS}, {DISTANCES} SELECT CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(pos) AS BIGINT) AS n_same, round(sum(pos * cum_pos / cum_n) / sum(pos), 8) AS ap FROM k")
+def eval_average_precision(spark, sf_dir):
+    return evaluation.average_precision(signed_pairs(spark, sf_dir)).withColumn("ap", F.round("ap", 8))
+
+
+FLAGSHIP = eval_average_precision
+
+
+@query(f"WITH {SIGNED}, {EXACT} SELECT i, j, h, round(cos(pi() * h / {BITS}.0), 6) AS cos FROM x")
+def lsh_exact_join(spark, sf_dir):
+    return lsh.exact_join(signed(spark, sf_dir), "vec_id", BITS, THRESHOLD).withColumn("cos", F.round("cos", 6))
+
+
+@query(f"WITH {SIGNED}, {EXACT}, d AS (SELECT DISTINCT i + k AS i, j + k AS j FROM x, range(-2, 3) r(k)) "
+       f"SELECT i, j, bit_count(xor(a.sig, b.sig)) AS h, round({COS}, 6) AS cos FROM d JOIN g a ON a.vec_id = i JOIN g b ON b.vec_id = j WHERE {COS} > {THRESHOLD}")
+def lsh_diagonal_probe(spark, sf_dir):
+    own = signed(spark, sf_dir)
+    found = lsh.exact_join(own, "vec_id", BITS, THRESHOLD)
+    return lsh.diagonal_probe(found, own, "vec_id", BITS, THRESHOLD, 3).withColumn("cos", F.round("cos", 6))
+
+
+@query(f"WITH {SIGNED}, r AS (SELECT vec_id AS id, sig, p, row_number() OVER (PARTITION BY p ORDER BY (sig >> (p * 8)) + (sig % (1 << (p * 8))) * (1 << ({BITS} - p * 8)) % {1 << BITS}, vec_id) AS rn FROM g, range(4) q(p)), "
+       "m AS (SELECT DISTINCT least(x.id, y.id) AS i, greatest(x.id, y.id) AS j, bit_count(xor(x.sig, y.sig)) AS h FROM r x JOIN r y ON x.p = y.p AND y.rn > x.rn AND y.rn - x.rn <= 50) "
+       f"SELECT i, j, h, round(cos(pi() * h / {BITS}.0), 6) AS cos FROM m WHERE cos(pi() * h / {BITS}.0) > {THRESHOLD}")
+def lsh_beam_join(spark, sf_dir):
+    return lsh.beam_join(signed(spark, sf_dir), "vec_id", BITS, THRESHOLD).withColumn("cos", F.round("cos", 6))
+
+
+@query(f"WITH {SIGNED}, r AS (SELECT vec_id % 7 = 0 AS asked, vec_id AS id, sig, p, (sig >> (p * 8)) + (sig % (1 << (p * 8))) * (1 << ({BITS} - p * 8)) % {1 << BITS} AS key FROM g, range(4) q(p)), "
+       "t AS (SELECT p, key, id, sig, 0 AS side FROM r UNION ALL SELECT p, key, id, sig, 1 FROM r WHERE asked), o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY key, side, id) AS rn FROM t), "
+       "m AS (SELECT DISTINCT x.id AS query, y.id AS id, bit_count(xor(x.sig, y.sig)) AS h FROM o x JOIN o y ON x.p = y.p AND x.side = 1 AND y.side = 0 AND abs(x.rn - y.rn) <= 50) "
+       f"SELECT query, id, h, round(cos(pi() * h / {BITS}.0), 6) AS cos FROM m WHERE cos(pi() * h / {BITS}.0) > {THRESHOLD}")
+def search_by_example(spark, sf_dir):
+    """Every seventh vector is asked against an index of all."""
+    own = signed(spark, sf_dir)
+    step = BITS // 4
+    perms = F.explode(F.array(*[F.struct(F.lit(p).alias("perm"), lsh.permuted(F.col("sig"), p * step, BITS).alias("key")) for p in range(4)]))
+    index = own.select(F.col("vec_id").alias("id"), "sig", perms.alias("p")).select("p.*", "id", "sig")
+    return lsh.search(index, own.where("vec_id % 7 = 0"), "vec_id", BITS, THRESHOLD).withColumn("cos", F.round("cos", 6))
+
+
+# ---------------------------------------------------------------- discovery
+
+DX, DY = 2, 3
+KERNEL = ", ".join(f"({k}, {w!r})" for k, w in zip(range(-DY, DY + 1), discovery.kernel(DY), strict=True))
+DOTS = SIGNED + f", q AS (SELECT file, vec_id // 20 AS i, sig FROM g), dt AS (SELECT a.file, b.i - a.i AS yp, a.i + b.i AS xp, {COS} AS val FROM q a JOIN q b ON a.file = b.file AND a.i < b.i WHERE {COS} > 0.25)"
+MEDIAN = f"md AS (SELECT file, yp, xp, count(*) AS n FROM (SELECT file, yp, unnest(range(xp - {DX}, xp + {DX + 1})) AS xp FROM dt) GROUP BY ALL HAVING count(*) > {int(0.5 * (2 * DX + 1) / 2)})"
+HOUGH = f"kn(k, w) AS (VALUES {KERNEL}), hg AS (SELECT file, yp + k AS yp, sum(n * w) AS h FROM (SELECT file, yp, count(*) AS n FROM md GROUP BY file, yp), kn GROUP BY file, yp + k)"
+PEAKS = "pk AS (SELECT h.file, h.yp, h.h FROM hg h LEFT JOIN hg a ON a.file = h.file AND a.yp = h.yp - 1 LEFT JOIN hg b ON b.file = h.file AND b.yp = h.yp + 1 WHERE h.h > 3 AND h.h > coalesce(a.h, 0) AND h.h > coalesce(b.h, 0))"
+RUNS = ("bd AS (SELECT md.file, pk.yp, xp, sum(w) AS a FROM md, kn, pk WHERE pk.file = md.file AND pk.yp = md.yp + k GROUP BY md.file, pk.yp, xp HAVING sum(w) > 0.1), "
+        "ru AS (SELECT file, yp, min(xp) AS lo, max(xp) AS hi FROM (SELECT *, xp - row_number() OVER (PARTITION BY file, yp ORDER BY xp) AS g FROM bd) GROUP BY file, yp, g HAVING max(xp) - min(xp) + 1 > 2)")
+
+
+def found_dots(spark, sf_dir) -> DataFrame:
+    own = signed(spark, sf_dir).select("file", F.floor(F.col("vec_id") / 20).alias("frame_no"), "sig")
+    return discovery.dots(own, BITS, 0.25)
+
+
+def found_median(spark, sf_dir) -> DataFrame:
+    return discovery.median_filter(found_dots(spark, sf_dir), DX)
+
+
+def found_peaks(spark, sf_dir) -> DataFrame:
+    return discovery.peaks(discovery.hough(found_median(spark, sf_dir), DY), 3.0)
+
+
+@query(f"WITH {DOTS} SELECT file, yp, xp, round(val, 6) AS val FROM dt")
+def dots_matrix(spark, sf_dir):
+    return found_dots(spark, sf_dir).withColumn("val", F.round("val", 6))
+
+
+@query(f"WITH {DOTS}, {MEDIAN} SELECT * FROM md")
+def dots_median(spark, sf_dir):
+    return found_median(spark, sf_dir)
+
+
+@query(f"WITH {DOTS}, {MEDIAN}, {HOUGH} SELECT file, yp, round(h, 6) AS h FROM hg")
+def dots_hough(spark, sf_dir):
+    return discovery.hough(found_median(spark, sf_dir), DY).withColumn("h", F.round("h", 6))
+
+
+@query(f"WITH {DOTS}, {MEDIAN}, {HOUGH}, {PEAKS} SELECT file, yp, round(h, 6) AS h FROM pk")
+def dots_peaks(spark, sf_dir):
+    return found_peaks(spark, sf_dir).withColumn("h", F.round("h", 6))
+
+
+@query(f"WITH {DOTS}, {MEDIAN}, {HOUGH}, {PEAKS}, {RUNS} SELECT file, yp, CAST(trunc((lo - yp) / 2) AS INTEGER) AS xa, CAST(trunc((hi - yp) / 2) AS INTEGER) AS xb, CAST(trunc((lo + yp) / 2) AS INTEGER) AS ya, CAST(trunc((hi + yp) / 2) AS INTEGER) AS yb FROM ru")
+def dots_runs(spark, sf_dir):
+    return discovery.runs(found_median(spark, sf_dir), found_peaks(spark, sf_dir), DY, 2)
+
+
+# ---------------------------------------------------------------- graph
+
+DAY = 86400
+NODES = f"nd AS (SELECT o_orderkey AS node, o_custkey AS file, epoch(o_orderdate) // {DAY} AS \"start\", epoch(o_orderdate) // {DAY} + 30 + o_orderkey % 60 AS \"end\" FROM orders)"
+EDGES = 'ed AS (SELECT a.node AS a, b.node AS b, greatest(0.0, (a."end" - a."start" + b."end" - b."start") / (greatest(a."end", b."end") - least(a."start", b."start")) - 1) AS w FROM nd a JOIN nd b ON a.file = b.file AND a.node < b.node WHERE greatest(0.0, (a."end" - a."start" + b."end" - b."start") / (greatest(a."end", b."end") - least(a."start", b."start")) - 1) >= 0.5)'
+REACH = "r(node, reach) AS (SELECT node, node FROM nd UNION SELECT r.node, CASE WHEN e.a = r.reach THEN e.b ELSE e.a END FROM r JOIN ed e ON e.a = r.reach OR e.b = r.reach), cc AS (SELECT node, min(reach) AS component FROM r GROUP BY node)"
+
+
+def interval_nodes(spark, sf_dir) -> DataFrame:
+    day = F.floor(F.unix_timestamp("o_orderdate") / DAY)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("file"), day.alias("start"), (day + 30 + F.col("o_orderkey") % 60).alias("end"))
+
+
+def order_clusters(spark, sf_dir) -> DataFrame:
+    nodes = interval_nodes(spark, sf_dir)
+    return graph.components(nodes, graph.overlap_edges(nodes, 90, 0.5))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT a, b, round(w, 6) AS w FROM ed")
+def graph_overlap_edges(spark, sf_dir):
+    return graph.overlap_edges(interval_nodes(spark, sf_dir), 90, 0.5).withColumn("w", F.round("w", 6))
+
+
+@query(f"WITH RECURSIVE {NODES}, {EDGES}, {REACH} SELECT * FROM cc")
+def graph_components(spark, sf_dir):
+    return order_clusters(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {NODES}, {EDGES}, {REACH}, z AS (SELECT component AS cluster, count(*) AS size FROM cc GROUP BY 1 ORDER BY size DESC, cluster LIMIT 20), "
+       "y AS (SELECT cluster, size, node, row_number() OVER (PARTITION BY cluster ORDER BY md5(CAST(node AS VARCHAR)), node) AS k FROM z JOIN cc ON component = cluster) SELECT cluster, size, node FROM y WHERE k <= 10")
+def graph_top_clusters(spark, sf_dir):
+    return graph.largest(order_clusters(spark, sf_dir).withColumnRenamed("component", "cluster"), 20, 10)
+
+
+@query()
+def graph_dedup(spark, sf_dir):
+    own = order_clusters(spark, sf_dir).withColumnRenamed("component", "cluster")
+    return graph.greedy_dedup(own.join(interval_nodes(spark, sf_dir), "node"), 0.9)
+
+
+@query("SELECT doc_id AS doc, term, count(*) AS cnt FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents) GROUP BY ALL")
+def graph_bags(spark, sf_dir):
+    return graph.bags(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", " ")).alias("term")))
+
+
+@query("SELECT doc, concat_ws(' ', doc, string_agg(term || ':' || cnt, ' ' ORDER BY term)) AS line FROM (SELECT conv_id AS doc, length(text) AS term, count(*) AS cnt FROM conversations GROUP BY ALL) GROUP BY doc")
+def text_svmlight(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.length("text").alias("term"))
+    return graph.svmlight(graph.bags(rows))
+
+
+@query("SELECT doc_id, pos - 1 AS line_no, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE (pos - 1) % 3 = 0")
+def text_linecat(spark, sf_dir):
+    """Lines 0:3:^0 of every document."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.where(ranges.progression(F.col("line_no"), 0, 3, F.lit(2**31 - 1)))
+
+
+# ---------------------------------------------------------------- evaluation
+
+def grades(spark, sf_dir) -> DataFrame:
+    """Distances between vectors of one context (vec_id mod 4), in 32nds."""
+    own = signed(spark, sf_dir).withColumn("context", F.col("vec_id") % 4)
+    x = own.select("context", F.col("vec_id").alias("x"), F.col("label").alias("p_x"), F.col("speaker").alias("s_x"), F.col("sig").alias("u"))
+    a = own.select("context", F.col("vec_id").alias("a"), F.col("label").alias("p_a"), F.col("speaker").alias("s_a"), F.col("sig").alias("t"))
+    return x.join(a, "context").where("x <> a").withColumn("d", lsh.hamming(F.col("u"), F.col("t")))
+
+
+ABX = SIGNED + """, o AS (SELECT a.vec_id AS x, a.label AS p_x, a.speaker AS s_x, b.vec_id AS a, b.label AS p_a, b.speaker AS s_a, bit_count(xor(a.sig, b.sig)) AS d FROM g a JOIN g b ON a.vec_id % 4 = b.vec_id % 4 AND a.vec_id <> b.vec_id),
+tr AS (SELECT m.s_a, m.s_x, m.p_x, k.p_a AS p_b, avg(CASE WHEN m.d < k.d THEN 1.0 WHEN m.d = k.d THEN 0.5 ELSE 0.0 END) AS score, count(*) AS n FROM o m JOIN o k ON m.x = k.x AND m.s_a = k.s_a AND m.p_a = m.p_x AND k.p_a <> k.p_x GROUP BY ALL)"""
+
+
+@query(f"WITH {ABX} SELECT round((1 - avg(m)) * 100, 6) AS error FROM (SELECT p_x, p_b, avg(m) AS m FROM (SELECT s_a, s_x, p_x, p_b, avg(score) AS m FROM tr WHERE s_a <> s_x GROUP BY ALL) GROUP BY p_x, p_b)")
+def abx_across(spark, sf_dir):
+    cells = evaluation.discrimination(grades(spark, sf_dir).where("s_a <> s_x"))
+    return evaluation.error_rate(cells, ["s_a", "s_x", "p_x", "p_b"]).withColumn("error", F.round("error", 6))
+
+
+@query(f"WITH {ABX} SELECT round((1 - avg(m)) * 100, 6) AS error FROM (SELECT p_x, p_b, avg(m) AS m FROM (SELECT s_x, p_x, p_b, avg(score) AS m FROM tr WHERE s_a = s_x GROUP BY ALL) GROUP BY p_x, p_b)")
+def abx_within(spark, sf_dir):
+    cells = evaluation.discrimination(grades(spark, sf_dir).where("s_a = s_x"))
+    return evaluation.error_rate(cells, ["s_x", "p_x", "p_b"]).withColumn("error", F.round("error", 6))
+
+
+@query(f"WITH {ABX} SELECT p_x, " + ", ".join(f"round(avg(score) FILTER (WHERE p_b = {k}), 6) AS p{k}" for k in range(10)) + " FROM tr GROUP BY p_x")
+def abx_confusion(spark, sf_dir):
+    cells = evaluation.discrimination(grades(spark, sf_dir))
+    wide = cells.groupBy("p_x").pivot("p_b", list(range(10))).agg(F.round(F.avg("score"), 6))
+    return wide.select("p_x", *[F.col(str(k)).alias(f"p{k}") for k in range(10)])
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, label, speaker FROM v QUALIFY count(*) OVER (PARTITION BY label, speaker) <= 11")
+def abx_sample_items(spark, sf_dir):
+    """Items of (label, speaker) groups that aren't larger than 11; larger groups drop out whole."""
+    w = Window.partitionBy("label", "speaker")
+    return vectors(spark, sf_dir).withColumn("n", F.count("*").over(w)).where("n <= 11").select("vec_id", "label", "speaker")
+
+
+@query(f"WITH {SIGNED}, {PAIRS}, {DISTANCES} SELECT round(dist, 6) AS dist, round(cum_pos / cum_n, 8) AS precision, round(cum_pos / sum(pos) OVER (), 8) AS recall FROM k")
+def samediff_pr(spark, sf_dir):
+    return evaluation.precision_recall(signed_pairs(spark, sf_dir)).select(F.round("dist", 6).alias("dist"), F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
+
+
+@query(f"WITH {SIGNED}, {PAIRS}, {DISTANCES}, t AS (SELECT dist, cum_pos / cum_n AS p, cum_pos / sum(pos) OVER () AS r FROM k) SELECT round((p + r) / 2, 8) AS breakeven FROM t WHERE r > 0.01 ORDER BY abs(p - r), dist LIMIT 1")
+def samediff_breakeven(spark, sf_dir):
+    return evaluation.breakeven(signed_pairs(spark, sf_dir)).select(F.round("breakeven", 8).alias("breakeven"))
+
+
+@query(f"WITH {SIGNED}, {PAIRS}, {DISTANCES}, t AS (SELECT *, sum(n) OVER () AS all_n, sum(pos) OVER () AS all_pos FROM k) SELECT dist, round((cum_n - cum_pos) / (all_n - all_pos), 8) AS false_alarm FROM t WHERE cum_pos >= 0.5 * all_pos ORDER BY dist LIMIT 1")
+def samediff_fa_at_recall(spark, sf_dir):
+    return evaluation.false_alarms(signed_pairs(spark, sf_dir), 0.5).select("dist", F.round("false_alarm", 8).alias("false_alarm"))
+
+
+@query(f"WITH {SIGNED}, {PAIRS} SELECT round(avg(dist) FILTER (WHERE same), 8) AS m1, round(avg(dist) FILTER (WHERE NOT same), 8) AS m2, round((avg(dist) FILTER (WHERE same) - avg(dist) FILTER (WHERE NOT same)) ** 2 / (var_samp(dist) FILTER (WHERE same) + var_samp(dist) FILTER (WHERE NOT same)), 10) AS s FROM p")
+def samediff_separability(spark, sf_dir):
+    return evaluation.separability(signed_pairs(spark, sf_dir)).select(F.round("m1", 8).alias("m1"), F.round("m2", 8).alias("m2"), F.round("s", 10).alias("s"))
+
+
+@query(f"WITH {SIGNED}, {PAIRS}, c AS (SELECT same, same_speaker, least(CAST(floor(dist * 100) AS INTEGER), 99) AS own, count(*) AS n FROM p GROUP BY ALL), "
+       "t AS (SELECT *, sum(n) OVER (PARTITION BY same, same_speaker) AS total FROM c), s AS (SELECT *, unnest(range(greatest(own - 5, 0), least(own + 5, 99) + 1)) AS bin FROM t) "
+       "SELECT same, same_speaker, bin, round(sum(n) / max(total) / 11, 8) AS density FROM s GROUP BY same, same_speaker, bin")
+def samediff_densities(spark, sf_dir):
+    return evaluation.densities(signed_pairs(spark, sf_dir), 100, 5).withColumn("density", F.round("density", 8))
+
+
+# ---------------------------------------------------------------- alignment and networks
+
+def sequences(spark, sf_dir) -> DataFrame:
+    """Vectors as sequences of eight 8-wide frames."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("features", k * 8 + 1, 8))
+    return vectors(spark, sf_dir).select("vec_id", "file", parts.alias("frames"))
+
+
+def neighbours(spark, sf_dir) -> DataFrame:
+    """Each sequence beside the next of its file."""
+    w = Window.partitionBy("file").orderBy("vec_id")
+    return sequences(spark, sf_dir).select("vec_id", F.lead("vec_id").over(w).alias("other"), "frames", F.lead("frames").over(w).alias("other_frames")).where("other IS NOT NULL")
+
+
+@query()
+def align_dtw(spark, sf_dir):
+    return neighbours(spark, sf_dir).select("vec_id", "other", F.round(align.dtw_of(F.col("frames"), F.col("other_frames")), 8).alias("cost"))
+
+
+@query()
+def align_cast(spark, sf_dir):
+    return neighbours(spark, sf_dir).select("vec_id", "other", align.cast_of(F.col("frames"), F.col("other_frames")).alias("c")).select("vec_id", "other", "c.i", "c.j", F.round("c.cost", 8).alias("cost"))
+
+
+@query()
+def align_tokens(spark, sf_dir):
+    """Each turn of a conversation beside the next."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"), F.lead(F.split("text", " ")).over(w).alias("b")).where("b IS NOT NULL")
+    return rows.select("conv_id", "turn", F.round(align.tokens_of(F.col("a"), F.col("b")), 8).alias("cost"))
+
+
+HIDDEN, OUT = network.integer_weights(8, DIMS), network.integer_weights(10, 8)
+
+
+def layer_sql(x: str, weights: list[list[float]], each: str = "{}") -> str:
+    return "[" + ", ".join(each.format(f"list_dot_product({x}, [{', '.join(f'{w!r}::DOUBLE' for w in r)}])") for r in weights) + "]"
+
+
+@query(f"WITH {VECTORS}, l AS (SELECT vec_id, {layer_sql('features', HIDDEN, '1 / (1 + exp(-{}))')} AS h FROM v), z AS (SELECT vec_id, {layer_sql('h', OUT)} AS z FROM l), e AS (SELECT vec_id, list_transform(z, lambda y: exp(y - list_max(z))) AS e FROM z) "
+       "SELECT vec_id, unnest(range(10)) AS dim, round(unnest(list_transform(e, lambda y: y / list_sum(e))), 6) AS value FROM e")
+def mlp_forward(spark, sf_dir):
+    return listed(network.forward(vectors(spark, sf_dir), HIDDEN, OUT), "p")
+
+
+assert math.isclose(sum(discovery.kernel(DY)), 1, rel_tol=0.05)
