@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays, ranges
-from framewright.operators import align, archive, discovery, evaluation, graph, lsh, network, stats, windows
+from framewright.operators import align, archive, discovery, evaluation, frontend, graph, lsh, network, stats, windows
 from framewright.sources.frames import lineitem_frames, posteriors, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -650,4 +650,33 @@ def mlp_forward(spark, sf_dir):
     return listed(network.forward(vectors(spark, sf_dir), HIDDEN, OUT), "p")
 
 
+# ---------------------------------------------------------------- front end (a user's event values as a signal)
+
+SIGNAL = "sg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, array_agg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS x FROM events), fr AS (SELECT user_id, i // 8 AS frame_no, x FROM sg WHERE i % 8 = 0 AND len(x) = 16)"
+
+
+def signal_frames(spark, sf_dir) -> DataFrame:
+    return frontend.framed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 16, 8)
+
+
+@query(f"WITH {SIGNAL} SELECT user_id, frame_no, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 16), 6) AS rms, list_sum(list_transform(range(1, 16), lambda k: CASE WHEN (x[k] >= list_avg(x)) <> (x[k + 1] >= list_avg(x)) THEN 1 ELSE 0 END)) AS crossings FROM fr")
+def front_energy(spark, sf_dir):
+    """Energy of each frame, and how often it crosses its own mean."""
+    x = F.col("samples")
+    centred = F.transform(x, lambda v: v - arrays.total(x) / 16)
+    return signal_frames(spark, sf_dir).select("user_id", "frame_no", F.round(F.sqrt(arrays.total(F.transform(x, lambda v: v * v)) / 16), 6).alias("rms"), frontend.crossings(centred).cast("long").alias("crossings"))
+
+
+@query()
+def front_spectrum(spark, sf_dir):
+    rows = signal_frames(spark, sf_dir).select("user_id", "frame_no", frontend.spectra_of(F.col("samples"), 16).alias("p"))
+    return rows.select("user_id", "frame_no", F.posexplode("p").alias("bin", "power")).withColumn("power", F.round("power", 4))
+
+
+@query()
+def front_cepstra(spark, sf_dir):
+    rows = signal_frames(spark, sf_dir).select("user_id", "frame_no", frontend.cepstra_of(F.col("samples"), 32, 100.0, 8, 5).alias("c"))
+    return rows.select("user_id", "frame_no", F.posexplode("c").alias("k", "value")).withColumn("value", F.round("value", 6))
+
+
 assert math.isclose(sum(discovery.kernel(DY)), 1, rel_tol=0.05)
