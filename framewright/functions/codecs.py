@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BIAS = 132
 
@@ -25,22 +26,22 @@ def mulaw_samples(code: np.ndarray) -> np.ndarray:
     return np.where(code & 128, -size, size)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def to_mulaw(samples: pd.Series) -> pd.Series:
     return samples.map(lambda x: mulaw_bytes(np.asarray(x)).astype(np.int32))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def from_mulaw(codes: pd.Series) -> pd.Series:
     return codes.map(lambda x: mulaw_samples(np.asarray(x)).astype(np.int32))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def to_pre8(values: pd.Series) -> pd.Series:
     """8-bit codes through the normal distribution function."""
     return values.map(lambda x: np.array([min(255, int(256 * 0.5 * (1 + math.erf(v / math.sqrt(2))))) for v in x], np.int32))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def from_pre8(codes: pd.Series) -> pd.Series:
     return codes.map(lambda x: np.array([NormalDist().inv_cdf((c + 0.5) / 256) for c in x]))

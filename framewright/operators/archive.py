@@ -7,12 +7,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = Window.partitionBy("seg_id")
 KEYS = ["seg_id", "frame_no"]
 
 
 def with_length(df: DataFrame, out: str = "n") -> DataFrame:
-    return df.withColumn(out, F.count("*").over(SEGMENT).cast("int"))
+    return df.withColumn(out, F.count("*").over(Window.partitionBy("seg_id")).cast("int"))
 
 
 def trim(df: DataFrame, first: int, last: int) -> DataFrame:

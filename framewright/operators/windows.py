@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-FRAMES = Window.partitionBy("seg_id").orderBy("frame_no")
+
+def in_order() -> WindowSpec:
+    """A segment's frames up to the current one."""
+    return Window.partitionBy("seg_id").orderBy("frame_no")
 
 
 def context(df: DataFrame, width: int) -> DataFrame:
     """Features of `width` frames from each frame on; frames without that many are dropped."""
-    w = FRAMES.rowsBetween(0, width - 1)
+    w = in_order().rowsBetween(0, width - 1)
     rows = df.withColumn("__all", F.collect_list("features").over(w)).where(F.size("__all") == width)
     return rows.withColumn("features", F.flatten("__all")).drop("__all")
 
 
 def clamped(df: DataFrame, reach: int) -> DataFrame:
     """Adds `near`: the feature arrays at -reach .. +reach, edge frames repeated."""
-    first, last = F.first("features").over(FRAMES), F.last("features").over(FRAMES.rowsBetween(0, Window.unboundedFollowing))
-    parts = [F.coalesce(F.lag("features", -k).over(FRAMES), last if k > 0 else first) for k in range(-reach, reach + 1)]
+    first, last = F.first("features").over(in_order()), F.last("features").over(in_order().rowsBetween(0, Window.unboundedFollowing))
+    parts = [F.coalesce(F.lag("features", -k).over(in_order()), last if k > 0 else first) for k in range(-reach, reach + 1)]
     return df.withColumn("near", F.array(*parts))
 
 

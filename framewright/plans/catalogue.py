@@ -183,7 +183,7 @@ def row_lna8(spark, sf_dir):
     return listed(ten(spark, sf_dir).withColumn("x", F.transform(arrays.lna8(arrays.softmax(F.col("x"))), lambda y: y.cast("double"))), "x")
 
 
-@query(listed_sql("list_transform(range(10), lambda i: CASE WHEN i = label THEN 1.0 ELSE 0.0 END)"))
+@query(listed_sql("list_transform(range(10), lambda i: CASE WHEN i = label THEN 1::DOUBLE ELSE 0::DOUBLE END)"))
 def row_one_hot(spark, sf_dir):
     return listed(ten(spark, sf_dir).withColumn("x", arrays.one_hot(F.col("label"), 10)), "x")
 
@@ -375,7 +375,7 @@ def vad_frame_join(spark, sf_dir):
 PROJECTION = lsh.projection(DIMS, BITS)
 SIGNED = VECTORS + ", g AS (SELECT vec_id, label, speaker, file, " + " + ".join(f"CASE WHEN list_dot_product(features, [{', '.join(f'{float(x)}' for x in row)}]) >= 0 THEN {1 << b} ELSE 0 END" for b, row in enumerate(PROJECTION.tolist())) + " AS sig FROM v)"
 COS = f"cos(pi() * bit_count(xor(a.sig, b.sig)) / {BITS}.0)"
-EXACT = f"x AS (SELECT a.vec_id AS i, b.vec_id AS j, bit_count(xor(a.sig, b.sig)) AS h FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE {COS} > {THRESHOLD})"
+EXACT = f"x AS (SELECT a.vec_id AS i, b.vec_id AS j, CAST(bit_count(xor(a.sig, b.sig)) AS INTEGER) AS h FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE {COS} > {THRESHOLD})"
 PAIRS = "p AS (SELECT a.label = b.label AS same, a.speaker = b.speaker AS same_speaker, bit_count(xor(a.sig, b.sig)) / 32.0 AS dist FROM g a JOIN g b ON a.vec_id < b.vec_id)"
 DISTANCES = "c AS (SELECT dist, count(*) AS n, sum(CAST(same AS INTEGER)) AS pos FROM p GROUP BY dist), k AS (SELECT *, sum(n) OVER (ORDER BY dist) AS cum_n, sum(pos) OVER (ORDER BY dist) AS cum_pos FROM c)"
 
@@ -403,7 +403,7 @@ def lsh_exact_join(spark, sf_dir):
 
 
 @query(f"WITH {SIGNED}, {EXACT}, d AS (SELECT DISTINCT i + k AS i, j + k AS j FROM x, range(-2, 3) r(k)) "
-       f"SELECT i, j, bit_count(xor(a.sig, b.sig)) AS h, round({COS}, 6) AS cos FROM d JOIN g a ON a.vec_id = i JOIN g b ON b.vec_id = j WHERE {COS} > {THRESHOLD}")
+       f"SELECT i, j, CAST(bit_count(xor(a.sig, b.sig)) AS INTEGER) AS h, round({COS}, 6) AS cos FROM d JOIN g a ON a.vec_id = i JOIN g b ON b.vec_id = j WHERE {COS} > {THRESHOLD}")
 def lsh_diagonal_probe(spark, sf_dir):
     own = signed(spark, sf_dir)
     found = lsh.exact_join(own, "vec_id", BITS, THRESHOLD)
@@ -411,7 +411,7 @@ def lsh_diagonal_probe(spark, sf_dir):
 
 
 @query(f"WITH {SIGNED}, r AS (SELECT vec_id AS id, sig, p, row_number() OVER (PARTITION BY p ORDER BY (sig >> (p * 8)) + (sig % (1 << (p * 8))) * (1 << ({BITS} - p * 8)) % {1 << BITS}, vec_id) AS rn FROM g, range(4) q(p)), "
-       "m AS (SELECT DISTINCT least(x.id, y.id) AS i, greatest(x.id, y.id) AS j, bit_count(xor(x.sig, y.sig)) AS h FROM r x JOIN r y ON x.p = y.p AND y.rn > x.rn AND y.rn - x.rn <= 50) "
+       "m AS (SELECT DISTINCT least(x.id, y.id) AS i, greatest(x.id, y.id) AS j, CAST(bit_count(xor(x.sig, y.sig)) AS INTEGER) AS h FROM r x JOIN r y ON x.p = y.p AND y.rn > x.rn AND y.rn - x.rn <= 50) "
        f"SELECT i, j, h, round(cos(pi() * h / {BITS}.0), 6) AS cos FROM m WHERE cos(pi() * h / {BITS}.0) > {THRESHOLD}")
 def lsh_beam_join(spark, sf_dir):
     return lsh.beam_join(signed(spark, sf_dir), "vec_id", BITS, THRESHOLD).withColumn("cos", F.round("cos", 6))
@@ -419,7 +419,7 @@ def lsh_beam_join(spark, sf_dir):
 
 @query(f"WITH {SIGNED}, r AS (SELECT vec_id % 7 = 0 AS asked, vec_id AS id, sig, p, (sig >> (p * 8)) + (sig % (1 << (p * 8))) * (1 << ({BITS} - p * 8)) % {1 << BITS} AS key FROM g, range(4) q(p)), "
        "t AS (SELECT p, key, id, sig, 0 AS side FROM r UNION ALL SELECT p, key, id, sig, 1 FROM r WHERE asked), o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY key, side, id) AS rn FROM t), "
-       "m AS (SELECT DISTINCT x.id AS query, y.id AS id, bit_count(xor(x.sig, y.sig)) AS h FROM o x JOIN o y ON x.p = y.p AND x.side = 1 AND y.side = 0 AND abs(x.rn - y.rn) <= 50) "
+       "m AS (SELECT DISTINCT x.id AS query, y.id AS id, CAST(bit_count(xor(x.sig, y.sig)) AS INTEGER) AS h FROM o x JOIN o y ON x.p = y.p AND x.side = 1 AND y.side = 0 AND abs(x.rn - y.rn) <= 50) "
        f"SELECT query, id, h, round(cos(pi() * h / {BITS}.0), 6) AS cos FROM m WHERE cos(pi() * h / {BITS}.0) > {THRESHOLD}")
 def search_by_example(spark, sf_dir):
     """Every seventh vector is asked against an index of all."""
@@ -433,7 +433,7 @@ def search_by_example(spark, sf_dir):
 # ---------------------------------------------------------------- discovery
 
 DX, DY = 2, 3
-KERNEL = ", ".join(f"({k}, {w!r})" for k, w in zip(range(-DY, DY + 1), discovery.kernel(DY), strict=True))
+KERNEL = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in zip(range(-DY, DY + 1), discovery.kernel(DY), strict=True))
 DOTS = SIGNED + f", q AS (SELECT file, vec_id // 20 AS i, sig FROM g), dt AS (SELECT a.file, b.i - a.i AS yp, a.i + b.i AS xp, {COS} AS val FROM q a JOIN q b ON a.file = b.file AND a.i < b.i WHERE {COS} > 0.25)"
 MEDIAN = f"md AS (SELECT file, yp, xp, count(*) AS n FROM (SELECT file, yp, unnest(range(xp - {DX}, xp + {DX + 1})) AS xp FROM dt) GROUP BY ALL HAVING count(*) > {int(0.5 * (2 * DX + 1) / 2)})"
 HOUGH = f"kn(k, w) AS (VALUES {KERNEL}), hg AS (SELECT file, yp + k AS yp, sum(n * w) AS h FROM (SELECT file, yp, count(*) AS n FROM md GROUP BY file, yp), kn GROUP BY file, yp + k)"
@@ -659,7 +659,7 @@ def signal_frames(spark, sf_dir) -> DataFrame:
     return frontend.framed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 16, 8)
 
 
-@query(f"WITH {SIGNAL} SELECT user_id, frame_no, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 16), 6) AS rms, list_sum(list_transform(range(1, 16), lambda k: CASE WHEN (x[k] >= list_avg(x)) <> (x[k + 1] >= list_avg(x)) THEN 1 ELSE 0 END)) AS crossings FROM fr")
+@query(f"WITH {SIGNAL} SELECT user_id, frame_no, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 16), 6) AS rms, CAST(list_sum(list_transform(range(1, 16), lambda k: CASE WHEN (x[k] >= list_avg(x)) <> (x[k + 1] >= list_avg(x)) THEN 1 ELSE 0 END)) AS BIGINT) AS crossings FROM fr")
 def front_energy(spark, sf_dir):
     """Energy of each frame, and how often it crosses its own mean."""
     x = F.col("samples")

@@ -130,7 +130,7 @@ def timed_text(spark: SparkSession, path) -> DataFrame:
 
 def matches_text(spark: SparkSession, path) -> DataFrame:
     """Match lists: a line `file1 file2` heads the rows `xa xb ya yb score rho` under it."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     blocks = rows.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\S+ \S+$(?:\n(?!\S+ \S+$)\S.*)*"), F.lit(0))).alias("b"))
     lines = blocks.select(F.split("b", "\n").alias("l")).select(F.split(F.get("l", 0), " ").alias("h"), F.explode(F.slice("l", 2, 2**30)).alias("row"))
     p = F.split("row", " ")
