@@ -9,7 +9,7 @@ inserted, deleted or substituted).  Shorter lines always stay.
 2. One edit leaves the first or the second half of a line alone: only lines that
    share such a half, at a length within one, go on.  This filter is exact.
 3. These emit their deletion neighbourhood: the line itself and every variant with
-   one character less, as 128-bit keys.  Lines that differ by a substitution share
+   one character less (in the half that may differ), as hashed keys.  Lines that differ by a substitution share
    a variant with the same deleted place; by an insertion, one line is a variant of
    the other.  A variant and a place fix a line up to one character, so the groups
    are bounded by the alphabet, however many lines are alike.
@@ -47,22 +47,26 @@ def earlier(a: str, b: str) -> Column:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """k1, k2 (128-bit key), at (first occurrence) and line, for every distinct line of at least MIN_CHARS."""
-    lines = key_columns(docs).select("d", "h", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    lines = lines.select("d", "h", "p", F.trim("line").alias("line")).where(F.length("line") >= MIN_CHARS)
-    lines = lines.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.struct(*ORDER).alias("at"), "line")
-    return lines.groupBy("k1", "k2").agg(F.min(F.struct("at", "line")).alias("x")).select("k1", "k2", "x.at", "x.line")
-
+    """d, h, p (first occurrence), n (length) and half keys of every distinct line of at least MIN_CHARS; no text is shuffled.
 
-def halves(lines: DataFrame) -> DataFrame:
-    """A row for each half that a neighbour within one edit may share."""
-    n = F.length("line")
+    Lines within one edit share a first or second half: floor(s / 2) characters, s the shorter one's length.  A line of n
+    characters may be the shorter or the longer one, so it has keys for n and n - 1, which coincide for odd n."""
+    lines = key_columns(docs).select("d", "h", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = lines.select("d", "h", "p", F.trim("line").alias("line")).withColumn("n", F.length("line")).where(F.col("n") >= MIN_CHARS)
+    n = F.col("n")
+    first = lambda half: F.xxhash64(F.lit(0), half, F.substring("line", F.lit(1), half))
+    second = lambda half: F.xxhash64(F.lit(1), half, F.substring("line", n - half + 1, half))
+    own, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    row = F.struct(*ORDER, "n", first(own).alias("a"), second(own).alias("b"), F.when(own != less, first(less)).alias("c"), F.when(own != less, second(less)).alias("e"))
+    rows = lines.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), row.alias("x"))
+    return rows.groupBy("k1", "k2").agg(F.min("x").alias("x")).select("x.*")
 
-    def keys(shorter: Column, tag: int) -> list[Column]:
-        half = F.floor(shorter / 2).cast("int")
-        return [F.xxhash64(F.lit(0), shorter, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit(1), shorter, F.substring("line", n - half + 1, half))]
 
-    return lines.select("k1", "k2", F.explode(F.array(*keys(n, 0), *keys(n - 1, 1))).alias("half"))
+def hopeful(lines: DataFrame) -> DataFrame:
+    """d, h, p, first, second: the distinct lines whose first or second half another one shares."""
+    each = lines.select(*ORDER, F.posexplode(F.array("a", "b", "c", "e")).alias("side", "half")).where("half IS NOT NULL")
+    shared = each.withColumn("m", F.count("*").over(Window.partitionBy("half"))).where("m > 1")
+    return shared.groupBy(*ORDER).agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("second"))
 
 
 #: Two odd bases of polynomial hashes modulo 2^64, and the multiplier that spreads code points.
@@ -77,7 +81,7 @@ def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
     points ^= points >> np.uint64(29)
     n, out = len(points), np.empty((len(points) + 1, 2), np.uint64)
     for k, base in enumerate(BASES):
-        powers = np.cumprod(np.concatenate(([1], np.full(n, base, np.uint64))).astype(np.uint64), dtype=np.uint64)
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * powers[:n], dtype=np.uint64)))
         inverse = np.uint64(pow(base, -1, 2**64))
         out[0, k] = sums[n]
@@ -85,46 +89,63 @@ def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), np.arange(-1, n)
 
 
-def neighbourhoods(lines: DataFrame) -> DataFrame:
-    """k1, k2, at with a row (v1, v2, place) for each line and each of its deletions."""
-    schema = "k1 long, k2 long, d long, h long, p int, v1 long, v2 long, place int"
+def neighbourhoods(base: DataFrame, lines: DataFrame) -> DataFrame:
+    """d, h, p with a row (v, place) for each hopeful line and its deletions; the line itself (place -1) carries its text.
+
+    A shared first half puts the edit behind it, a shared second half before it: only those places are deleted."""
+    schema = "d long, h long, p int, v long, place int, line string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            size = batch["line"].str.len().to_numpy()
-            parts = np.cumsum(size) // 500_000  # variants in one frame
-            for _, own in batch.groupby(parts, sort=False):
-                each = [neighbourhood(x) for x in own["line"]]
-                counts = [len(p) for _, p in each]
-                keys = np.concatenate([v for v, _ in each])
-                frame = own.drop(columns="line").loc[own.index.repeat(counts)].reset_index(drop=True)
-                yield frame.assign(v1=keys[:, 0], v2=keys[:, 1], place=np.concatenate([p for _, p in each]).astype(np.int32))
-
-    return lines.select("k1", "k2", "at.*", "line").mapInPandas(run, schema)
-
-
-def near_duplicates(lines: DataFrame) -> DataFrame:
-    """k1, k2 of the distinct lines that have an earlier line within one edit."""
-    each = halves(lines)
-    shared = each.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    hopeful = each.join(shared, "half").select("k1", "k2").distinct()
-    variants = neighbourhoods(lines.join(hopeful, ["k1", "k2"])).select("k1", "k2", "v1", "v2", "place", F.struct(*ORDER).alias("at"))
-    key = Window.partitionBy("v1", "v2")
+            out, size = [], 0
+            for d, h, text, wanted in zip(batch["d"].tolist(), batch["h"].tolist(), batch["text"].tolist(), batch["wanted"], strict=True):
+                parts = text.split("\n")
+                for w in wanted:
+                    line = parts[w["p"]].strip(" ")
+                    keys, place = neighbourhood(line)
+                    half = (len(line) - 1) // 2
+                    take = (place < 0) | (w["first"] & (place >= half)) | (w["second"] & (place < len(line) - half))
+                    n = int(take.sum())
+                    out.append((np.full(n, d), np.full(n, h), np.full(n, w["p"], np.int32), keys[take, 0] ^ (keys[take, 1] >> 7), place[take].astype(np.int32), [line] + [None] * (n - 1)))
+                    size += n
+                    if size > 500_000:
+                        yield frame(out)
+                        out, size = [], 0
+            if out:
+                yield frame(out)
+
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*parts, strict=True))
+        data = {k: np.concatenate(c) for k, c in zip(("d", "h", "p", "v", "place"), columns, strict=False)}
+        return pd.DataFrame(data | {"line": [x for c in columns[5] for x in c]})
+
+    wanted = hopeful(lines).groupBy("d", "h").agg(F.collect_list(F.struct("p", "first", "second")).alias("wanted"))
+    # All of the documents' columns stay, so that this join and the last one share a single shuffle of the texts.
+    return base.join(wanted, ["d", "h"]).mapInPandas(run, schema)
+
+
+def near_duplicates(base: DataFrame, lines: DataFrame) -> DataFrame:
+    """d, h, p of the distinct lines that have an earlier line within one edit."""
+    variants = neighbourhoods(base, lines)
+    slim = variants.select("v", "place", F.struct(*ORDER).alias("at"))
+    key = Window.partitionBy("v")
     whole, less = F.min(F.when(F.col("place") < 0, F.col("at"))).over(key), F.min(F.when(F.col("place") >= 0, F.col("at"))).over(key)
-    same = F.min("at").over(Window.partitionBy("v1", "v2", "place"))
-    found = variants.select("k1", "k2", "at", F.when(F.col("place") < 0, less).otherwise(F.least(whole, same)).alias("other"))
-    earliest = found.where(earlier("other", "at")).groupBy("k1", "k2").agg(F.min("other").alias("other"))
-    text = lines.select("k1", "k2", "line").join(earliest, ["k1", "k2"])
-    others = lines.select(F.col("at").alias("other"), F.col("line").alias("other_line"))
-    return text.join(others, "other").where(F.levenshtein("line", "other_line") <= 1).select("k1", "k2")
+    same = F.min("at").over(Window.partitionBy("v", "place"))
+    found = slim.select("at", F.when(F.col("place") < 0, less).otherwise(F.least(whole, same)).alias("other"))
+    earliest = found.where(earlier("other", "at")).groupBy("at").agg(F.min("other").alias("other"))
+    texts = variants.where("place < 0").select(F.struct(*ORDER).alias("at"), "line")
+    others = texts.select(F.col("at").alias("other"), F.col("line").alias("other_line"))
+    both = earliest.join(texts, "at").join(others, "other")
+    return both.where(F.levenshtein("line", "other_line") <= 1).select("at.*")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines removed from `text`, and n_lines, n_removed (both null for a null text)."""
     lines = cut(distinct_lines(docs))
-    kept = lines.select("k1", "k2", "at.*").join(near_duplicates(lines), ["k1", "k2"], "left_anti")
+    base = key_columns(docs.drop("n_lines", "n_removed"))
+    kept = lines.select(*ORDER).join(near_duplicates(base, lines), list(ORDER), "left_anti")
     kept = kept.groupBy("d", "h").agg(F.collect_list("p").alias("__kept"))
-    rows = key_columns(docs.drop("n_lines", "n_removed")).join(kept, ["d", "h"], "left")
+    rows = base.join(kept, ["d", "h"], "left")
     parts = F.split("text", "\n")
     stays = lambda x, i: (F.length(F.trim(x)) < MIN_CHARS) | F.coalesce(F.array_contains("__kept", i), F.lit(False))
     rows = rows.withColumn("__lines", F.filter(parts, stays))

@@ -44,7 +44,9 @@ RUNS, LEVELS, LEAF = 8, 4, 256
 NEED = 14
 #: Nodes of a block in exact comparison; nodes of a task's group of small components on average.
 BLOCK, GROUP = 2_048, 1_000
-MEMO = 1_000_000
+MEMO = 150_000
+#: Multiplications up to which intersections are counted by a dense product.
+DENSE = 2e10
 FIND = re.compile(r"\w+").findall
 SALT = np.random.default_rng(20).integers(1, 2**63, (2, RUNS * LEVELS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -163,14 +165,14 @@ def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets."""
+    """Sizes of the intersections of all pairs of different sets."""
     m = len(sets)
     flat, doc = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[token] > 1
     new = np.cumsum(count > 1) - 1
     token, doc, width = new[token[shared]], doc[shared], int((count > 1).sum())
-    if m * m * width <= 2e10 and m * width <= 5e7:
+    if m * m * width <= DENSE and m * width <= 5e7:
         table = np.zeros((m, width), np.float32)
         table[doc, token] = 1
         return table @ table.T  # whole numbers, far below 2^24
@@ -205,14 +207,14 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(n_groups))).otherwise(F.xxhash64("comp", "i", "j")))
 
-    def compare(nodes: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    def compare(nodes: np.ndarray, copies: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray]) -> np.ndarray:
         size = np.array([len(s) for s in sets])
         both = overlaps(sets)
         near = np.empty(both.shape, bool)
         for k in range(0, len(size), 256):
             near[k : k + 256] = both[k : k + 256] * (1 + similarity) >= similarity * (size[k : k + 256, None] + size[None, :]) - 1e-9
         np.fill_diagonal(near, False)
-        if (side != side[0]).any():
+        if side is not None:
             near &= side[:, None] != side[None, :]
         label = labels_of(near)
         low = np.full(len(nodes), np.iinfo(np.int64).max)
@@ -221,7 +223,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 3), np.int64)]
-        for _, own in group.groupby(["comp", "i", "j"], sort=False):
+        for (_, i, j), own in group.groupby(["comp", "i", "j"], sort=False):
             own = own.drop_duplicates(["node", "text"])
             sets = [shingles(t, words) for t in own["text"]]
             names = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s).sum(dtype=np.uint64).view(np.int64))) for s in sets]
@@ -233,10 +235,10 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
             take = list(seen.values())
             if take:
                 part = own.iloc[take]
-                out.append(compare(part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy(), [sets[k] for k in take]))
+                out.append(compare(part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy() if i != j else None, [sets[k] for k in take]))
         return pd.DataFrame(np.concatenate(out), columns=["node", "root", "links"])
 
-    # A diagonal cell of a large component has one block, another cell two: only pairs across its blocks count there.
+    # A diagonal cell of a large component compares one block, another cell two: only pairs across its blocks count there.
     return rows.select("task", "comp", "i", "j", "block", "node", "s1", "s2", "copies", "text").groupBy("task").applyInPandas(run, "node long, root long, links long")
 
 

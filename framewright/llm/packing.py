@@ -39,7 +39,7 @@ GROUP = 4_000
 #: Sequences of a step group.
 STEP = 64
 #: Chunks a worker remembers before it starts afresh; bounds memory only.
-MEMO = 500_000
+MEMO = 150_000
 ROWS = 256
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")

@@ -36,7 +36,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, TABLE = 8, 16, 16, 1 << 15
 GRAMS = (3, 4, 5)
 STEPS, BATCH, RATE = 200, 48, 5e-3
 THRESHOLD = 0.3
-MEMO = 400_000
+MEMO = 100_000
 FIND = re.compile(r"\w+").findall
 GATES = [k + g for k in "fb" for g in "zrn"]  # direction, then update, reset, new state
 
@@ -65,8 +65,8 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
         inside = owner[: len(h)] == owner[n - 1 :]
-        rows.append((h[inside] % np.uint64(TABLE)).astype(np.int64))
-        owners.append(owner[: len(h)][inside])
+        rows.append((h[inside] % np.uint64(TABLE)).astype(np.int32))
+        owners.append(owner[: len(h)][inside].astype(np.int32))
     return np.concatenate(rows), np.concatenate(owners)
 
 
@@ -229,8 +229,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     number = {w: i for i, w in enumerate(vocabulary)}
     rows = [np.array([number[w] for w in s], np.int64) for s in split]
     word_row, (gram, gram_owner) = word_rows(vocabulary), gram_rows(vocabulary)
-    gram_starts = np.searchsorted(np.sort(gram_owner), np.arange(len(vocabulary) + 1))
+    gram_starts = np.concatenate(([0], np.cumsum(np.bincount(gram_owner, minlength=len(vocabulary)))))
     gram = gram[np.argsort(gram_owner, kind="stable")]
+    del gram_owner
     # The first coordinate of each embedding starts at what the training labels say of it.
     distinct = [np.unique(r) for r in rows]
     spread = lambda r: np.unique(gram[np.repeat(gram_starts[r] - np.cumsum(n := gram_starts[r + 1] - gram_starts[r]) + n, n) + np.arange(n.sum())])
@@ -294,11 +295,13 @@ class Scorer:
     def rows_of(self, split: list[list[str]]) -> np.ndarray:
         if self.used > MEMO:
             self.clear()
-        if new := list(set().union(*split).difference(self.number)):
+        unknown = list(set().union(*split).difference(self.number))
+        for k in range(0, len(unknown), 4_096):
+            new = unknown[k : k + 4_096]
             own, end = self.net.shares(self.net.vectors(new)), self.used + len(new)
             for g in GATES:
                 if end > len(self.shares[g]):
-                    self.shares[g] = np.concatenate([self.shares[g][: self.used], np.zeros((end + self.used // 2 - self.used, HIDDEN), np.float32)])
+                    self.shares[g] = np.concatenate([self.shares[g][: self.used], np.zeros((end + MEMO // 4 - self.used, HIDDEN), np.float32)])
                 self.shares[g][self.used : end] = own[g]
             self.number.update(zip(new, range(self.used, end), strict=True))
             self.used = end
@@ -340,7 +343,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own = Scorer(net.value)
         for batch in batches:
             texts = batch.fillna("").tolist()
-            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[i : i + 128]) for i in range(0, len(texts), 128))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[i : i + 64]) for i in range(0, len(texts), 64))]))
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(F.col("text").cast("string")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -355,6 +358,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own = Scorer(net.value)
         for batch in batches:
             texts = batch.fillna("").tolist()
-            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[i : i + 128]) for i in range(0, len(texts), 128))]) < THRESHOLD)
+            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[i : i + 64]) for i in range(0, len(texts), 64))]) < THRESHOLD)
 
     return docs.where(clean(F.col("text").cast("string")))
