@@ -1,7 +1,7 @@
 """Hierarchical multi-length sequence packing.
 
 1. Tokenize each document once (one narrow stage).  Equal white-space chunks have
-   equal ids, so a worker keeps a bounded memo from chunk to ids.
+   equal ids, so a worker keeps bounded memos from chunk, and from word, to ids.
 2. Cut: a document of more than `window` ids gives full windows and one rest, so
    every piece and its checksum come from that single pass.
 3. Route: a piece belongs to the smallest context tier (256, 512, 1024, 2048 by
@@ -38,12 +38,35 @@ TIERS = (256, 512, 1024, 2048)
 GROUP = 4_000
 #: Sequences of a step group.
 STEP = 64
-#: Chunks a worker remembers before it starts afresh; bounds memory only.
-MEMO = 150_000
+#: Entries of a memo's generation in a worker; bounds memory only.
+MEMO = 200_000
+#: New pieces that are encoded together, as one text.
+TOGETHER = 1_024
 ROWS = 256
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(r"[ \t\r\n]+")
+#: Marks that end a run of letters and never join with them (an apostrophe may).
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+class Memo(dict):
+    """A dict of two generations: what is met again moves from the older one to this one."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has."""
+        new = keys.difference(self)
+        again = new.intersection(self.older)
+        self.update((k, self.older[k]) for k in again)
+        return list(new - again)
+
+    def turn(self) -> None:
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
 
 
 class ChunkTokenizer:
@@ -53,22 +76,49 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        self.plain, self.marking = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = max(t for t in self.plain.get_added_tokens_decoder())
+        self.mark, self.mark_id = self.plain.get_added_tokens_decoder()[special].content, special
+        self.chunks, self.pieces = Memo(), Memo()
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Encodes new pieces in one text, parted by a special token; pieces that may hold one themselves, one by one."""
+        for p in pieces:
+            if "<" in p:
+                self.pieces[p] = np.array(self.plain.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [p for p in pieces if "<" not in p]
+        for i in range(0, len(rest), TOGETHER):
+            own = rest[i : i + TOGETHER]
+            ids = np.array(self.marking.encode_batch_fast([f" {self.mark} ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            marks, raw = np.flatnonzero(ids == self.mark_id), ids.tobytes()
+            begins, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]
+            self.pieces.update(zip(own, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        self.chunks.turn()
+        self.pieces.turn()
         split = [SPLIT.split(t) if ODD.search(t) else t.split() for t in texts]
-        if new := list(set().union(*split).difference(self.memo)):
-            for chunk, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.array(coded.ids, "<u4").tobytes()
-        of = self.memo.__getitem__
+        if new := self.chunks.missing(set().union(*split)):
+            parted = list(map(parts_of, new))
+            self.learn_pieces(self.pieces.missing(set().union(*parted)))
+            of = self.pieces.__getitem__
+            self.chunks.update((c, b"".join(map(of, p))) for c, p in zip(new, parted, strict=True))
+        of = self.chunks.__getitem__
         return [b"".join(map(of, s)) for s in split]
 
 
+def parts_of(chunk: str) -> tuple[str, ...]:
+    """Pieces whose ids joined are the chunk's: letters and the punctuation behind them, where it is as simple as that."""
+    word = chunk.rstrip(PUNCTUATION)
+    if not word.isalpha():
+        return (chunk,)
+    tail = chunk[len(word) :]
+    word = word.lower() if word.isascii() else word  # the vocabulary has no capital letters
+    return (word, tail) if tail else (word,)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
