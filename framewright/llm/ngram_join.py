@@ -8,7 +8,7 @@ words is one shingle of all of them, so empty texts equal each other).
    the token at one sampled coordinate; buckets of more than LEAF nodes are split
    again by the run's next coordinate, up to four times.  A pair of similarity s
    meets in a run with probability s to the depth, so the runs miss a pair of 0.8
-   with probability under 3e-6 at depth one and 0.6 % at depth four.
+   with probability under 3e-6 at depth one and 1.5 % at depth four.
 3. Small buckets are compared in full on the sketches (at least 14 of 32 tokens and
    compatible sizes, which a pair of 0.8 fails once in 10^5); a bucket still too
    large after four equal tokens is linked without comparing.
