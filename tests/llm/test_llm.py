@@ -292,6 +292,18 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert got[99] == "Welcome to the site\nStory number 99 is its own.\nCall us at once"
 
 
+def test_style_tree_decides_in_and_beside_articles(spark):
+    """What all articles of a site repeat goes, copies of a page aren't repetition, and a mark on the whole page or on a paragraph loses nothing."""
+    page = lambda i: f"<body class='no-sidebar'><div class='by'>By writer {i}</div><div class='top'>Welcome</div><nav>Menu {i}</nav><article><h2 id='related-work'>Work {i}</h2><p class='notice'>Story {i}.</p><p>Call us</p></article></body>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(40)]
+    rows += [(100 + i, f"http://copies.example/{i}", page(7)) for i in range(40)]
+    rows += [(200 + i, f"http://form.example/{i}", f"<form><div>Own text {i} of this page</div><div>Same line</div><nav>Menu</nav></form>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"By writer {i}\nWork {i}\nStory {i}." for i in range(40))
+    assert all(got[100 + i] == "Work 7\nStory 7.\nCall us" for i in range(40))
+    assert all(got[200 + i] == f"Own text {i} of this page" for i in range(3))
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.text(alphabet="<>/!-pdivbra \"'=&;x\n", max_size=80))
 def test_parser_never_fails(page):
