@@ -4,13 +4,15 @@ A document is its set of five-word shingles (lower-cased words; a text of fewer
 words is one shingle of all of them, so empty texts equal each other).
 
 1. Equal sets collapse to one node that counts its copies.
-2. A node's sketch is 32 min-hash tokens.  In each of 8 runs the nodes are split by
-   the token at one sampled coordinate; buckets of more than LEAF nodes are split
-   again by the run's next coordinate, up to four times.  A pair of similarity s
-   meets in a run with probability s to the depth, so the runs miss a pair of 0.8
-   with probability under 3e-6 at depth one and 1.5 % at depth four.
-3. Small buckets are compared in full on the sketches (at least 14 of 32 tokens and
-   compatible sizes, which a pair of 0.8 fails once in 10^5); a bucket still too
+2. A node's sketch is a min-hash token for each run and level.  In each of 10 runs
+   the nodes are split by the token at the run's first coordinate; buckets of more
+   than LEAF nodes are split again by the next, up to four times.  A pair of
+   similarity s meets in a run with probability s to the depth at least, so nodes
+   that were ever in too large a bucket are split in 19 runs more.  A pair of 0.8
+   that misses the first 10 either differs in all first coordinates or takes part in
+   all 29: the numbers follow from MISS, a third of it for each of the two.
+3. Small buckets are compared in full on the sketches (at least 13 of 32 tokens, which
+   a pair of 0.8 fails twice in 10^7, and compatible sizes); a bucket still too
    large after four equal tokens is linked without comparing.
 4. What is linked forms candidate components.  Within each, all pairs are compared
    exactly on whole shingle sets, in blocks of bounded size for large components:
@@ -39,9 +41,14 @@ from framewright.llm.common import cut
 from framewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-RUNS, LEVELS, LEAF = 8, 4, 256
-#: Equal sketch tokens that a candidate pair needs.
-NEED = 14
+#: Chance with which a pair of SIMILARITY may be missed.
+MISS = 1e-6
+LEVELS, LEAF = 4, 256
+#: Runs of all nodes, whose first tokens may not all differ, and all runs, which may not all part a pair at the last level.
+FIRST_RUNS = math.ceil(math.log(MISS / 3) / math.log(1 - SIMILARITY))
+RUNS = math.ceil(math.log(MISS / 3) / math.log(1 - SIMILARITY**LEVELS))
+#: Tokens that buckets compare, and how many of them must be equal for a candidate pair.
+COMPARED, NEED = 32, 13
 #: Nodes of a block in exact comparison; nodes of a task's group of small components on average.
 BLOCK, GROUP = 2_048, 1_000
 MEMO = 150_000
@@ -126,10 +133,17 @@ def labels_of(near: np.ndarray) -> np.ndarray:
 
 def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): every node that a run put beside a similar one, with the smallest node of its group there."""
-    path = [F.array(*[F.xxhash64(F.lit(r), *[F.get("sketch", r * LEVELS + i) for i in range(level + 1)]) for r in range(RUNS)]) for level in range(LEVELS)]
-    rows = nodes.select("node", F.explode(F.arrays_zip(*[p.alias(f"k{i}") for i, p in enumerate(path)])).alias("k")).select("node", "k.*")
-    many = rows.groupBy("k0").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(rows.join(many, "k0").select("node", "n", *[f"k{i}" for i in range(LEVELS)]))
+
+    def dealt(part: DataFrame, runs: range) -> DataFrame:
+        """node, its paths k0 ... in each run, and the n nodes that share k0."""
+        path = [F.array(*[F.xxhash64(F.lit(r), *[F.get("sketch", r * LEVELS + i) for i in range(level + 1)]) for r in runs]) for level in range(LEVELS)]
+        rows = part.select("node", F.explode(F.arrays_zip(*[p.alias(f"k{i}") for i, p in enumerate(path)])).alias("k")).select("node", "k.*")
+        many = rows.groupBy("k0").agg(F.count("*").alias("n")).where("n > 1")
+        return cut(rows.join(many, "k0").select("node", "n", *[f"k{i}" for i in range(LEVELS)]))
+
+    rows = dealt(nodes, range(FIRST_RUNS))
+    deep = rows.where(F.col("n") > LEAF).select("node").distinct()
+    rows = rows.union(dealt(nodes.join(deep, "node", "left_semi"), range(FIRST_RUNS, RUNS)))
     leaves = rows.where(F.col("n") <= LEAF).select("node", F.col("k0").alias("leaf"))
     for level in range(1, LEVELS):
         rows = rows.where(F.col("n") > LEAF).drop("n")
@@ -140,7 +154,7 @@ def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFra
     linked = packed.join(packed.groupBy("leaf").agg(F.min("node").alias("b")), "leaf").select(F.col("node").alias("a"), "b")
 
     # No leaf has more than LEAF nodes, so these lists are bounded.
-    grouped = leaves.join(nodes.select("node", "size", "sketch"), "node").groupBy("leaf").agg(
+    grouped = leaves.join(nodes.select("node", "size", F.slice("sketch", 1, COMPARED).alias("sketch")), "node").groupBy("leaf").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("size").alias("sizes"), F.flatten(F.collect_list("sketch")).alias("sketches")
     )
 

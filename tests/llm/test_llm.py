@@ -354,6 +354,17 @@ def test_classes_against_brute_force(spark, monkeypatch):
     assert kept == {c for c, _ in want.values()}
 
 
+def test_candidates_reach_their_recall_in_full_buckets(spark, monkeypatch):
+    """Pairs of similarity 0.8, all of whose buckets are too large down to the last level."""
+    monkeypatch.setattr(ngram_join, "LEAF", 1)
+    r, n = np.random.default_rng(6), 4000
+    first = r.integers(-(2**31), 2**31, (n, ngram_join.SALT.shape[1]))
+    second = np.where(r.random(first.shape) < 0.8, first, r.integers(-(2**31), 2**31, first.shape))
+    nodes = spark.createDataFrame([(i, 100, x) for i, x in enumerate(np.concatenate([first, second]).tolist())], "node long, size long, sketch array<int>")
+    found = {(x["b"], x["a"]) for x in ngram_join.candidate_edges(nodes).collect()}
+    assert sum((i, n + i) in found for i in range(n)) == n
+
+
 def test_overlaps_both_ways(monkeypatch):
     r = np.random.default_rng(7)
     core = r.integers(0, 2**40, 120)
