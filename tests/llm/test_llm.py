@@ -404,6 +404,17 @@ def test_url_rules(spark):
         url_filters.rules_of([("block", f"h{i}.example", "/") for i in range(url_filters.MAX_RULES + 1)], ())
 
 
+def test_patterns_without_whole_tokens(spark):
+    """The verdict doesn't depend on what other URLs hold."""
+    for more in ([], ["http://x.io/free"] * 5, ["http://x.io/money"] * 5):
+        urls = ["http://x.io/carefree-money/", "http://x.io/free-moneyback/", "http://x.io/carefree-moneyback", "http://x.io/free/money", *more]
+        got = {r["page_id"]: r["verdict"] for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+        assert [got[i] for i in range(4)] == ["block", "block", "block", "allow"]
+    kept = {r.name: r.tokens for r in url_filters.rules_of()}
+    assert kept["free-money"] == () and kept["casino"] == ("casino",) and kept["ad-banner"] == ("banner",) and kept["click-tracker"] == ("click",) and kept["ad-server"] in ((), ("ads",))
+    assert not any(url_filters.whole("ab", p) for p in ("ab", "/ab/|cd", "(?:/ab/)?x", "/ab", "ab/", "[/ab/]", "/ab/?"))
+
+
 # ---------------------------------------------------------------- 8 audio
 
 def test_law_tables():
