@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a fresh one where that is unset and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -19,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs a reread."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"  # one folder to remove for each application
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

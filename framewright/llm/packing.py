@@ -1,7 +1,8 @@
 """Hierarchical multi-length sequence packing.
 
 1. Tokenize each document once (one narrow stage).  Equal white-space chunks have
-   equal ids, so a worker keeps bounded memos from chunk, and from word, to ids.
+   equal ids, so a worker keeps bounded memos from chunk, and from word, to ids;
+   chunks of plain letters and marks go to the merge model by their words.
 2. Cut: a document of more than `window` ids gives full windows and one rest, so
    every piece and its checksum come from that single pass.
 3. Route: a piece belongs to the smallest context tier (256, 512, 1024, 2048 by
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,33 +42,38 @@ GROUP = 4_000
 STEP = 64
 #: Entries of a memo's generation in a worker; bounds memory only.
 MEMO = 200_000
-#: New pieces that are encoded together, as one text.
+#: New chunks that are encoded together, as one text.
 TOGETHER = 1_024
 ROWS = 256
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(r"[ \t\r\n]+")
-#: Marks that end a run of letters and never join with them (an apostrophe may).
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: A chunk of letters with one lower-case letter each, which no normal form changes, and the marks behind it: two words
+#: to the tokenizer.  The dotted capital I lower-cases to two characters and an apostrophe may join letters; they are left out.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ƺ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
-class Memo(dict):
-    """A dict of two generations: what is met again moves from the older one to this one."""
+class Memo:
+    """Two generations of a dict: what is met again moves from the older to the newer one."""
 
     def __init__(self):
+        self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that neither generation has."""
-        new = keys.difference(self)
-        again = new.intersection(self.older)
-        self.update((k, self.older[k]) for k in again)
-        return list(new - again)
+        newer, older, out = self.newer, self.older, []
+        for k in keys:
+            if k not in newer:
+                if (known := older.get(k)) is None:
+                    out.append(k)
+                else:
+                    newer[k] = known
+        return out
 
     def turn(self) -> None:
-        if len(self) > MEMO:
-            self.older = dict(self)
-            self.clear()
+        if len(self.newer) > MEMO:
+            self.newer, self.older = {}, self.newer
 
 
 class ChunkTokenizer:
@@ -74,51 +81,63 @@ class ChunkTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.plain, self.marking = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
         special = max(t for t in self.plain.get_added_tokens_decoder())
         self.mark, self.mark_id = self.plain.get_added_tokens_decoder()[special].content, special
-        self.chunks, self.pieces = Memo(), Memo()
-
-    def learn_pieces(self, pieces: list[str]) -> None:
-        """Encodes new pieces in one text, parted by a special token; pieces that may hold one themselves, one by one."""
-        for p in pieces:
-            if "<" in p:
-                self.pieces[p] = np.array(self.plain.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        rest = [p for p in pieces if "<" not in p]
-        for i in range(0, len(rest), TOGETHER):
-            own = rest[i : i + TOGETHER]
-            ids = np.array(self.marking.encode_batch_fast([f" {self.mark} ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            marks, raw = np.flatnonzero(ids == self.mark_id), ids.tobytes()
-            begins, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]
-            self.pieces.update(zip(own, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
+        self.merge = self.plain.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The character that stands for each byte in the vocabulary; letters come as Latin-1 readings of their UTF-8 bytes.
+        spelt = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
+        self.spelling = spelt | {b: c for x in ("àÀĀǀ") for b, c in zip(x.encode(), level.pre_tokenize_str(x)[0][0], strict=True)}
+        self.spelling |= {b: level.pre_tokenize_str(bytes((0xC3, b)).decode())[0][0][1] for b in range(0x80, 0xC0)}
+        self.spelling |= {b: level.pre_tokenize_str(bytes((b, 0x80)).decode())[0][0][0] for b in range(0xC3, 0xC8)}
+        self.chunks, self.words = Memo(), Memo()
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word as the tokenizer's own patterns part words, in lower case."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+
+    def together(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of other chunks: in one text, parted by a special token; chunks that may hold one themselves, one by one."""
+        for i in range(0, len(chunks), TOGETHER):
+            own = chunks[i : i + TOGETHER]
+            rest = [c for c in own if "<" not in c]
+            ids = np.array(self.marking.encode_batch_fast([f" {self.mark} ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
+            marks, raw = (4 * np.flatnonzero(ids == self.mark_id)).tolist(), ids.tobytes()
+            parts = map(raw.__getitem__, map(slice, [0, *(m + 4 for m in marks)], [*marks, len(raw)]))
+            for c in own:
+                yield np.array(self.plain.encode(c, add_special_tokens=False).ids, "<u4").tobytes() if "<" in c else next(parts)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Puts new chunks into the memo: plain ones by their words, the others by the whole tokenizer."""
+        of, odd, plain = self.chunks.newer, [], []
+        for c in chunks:
+            if m := PLAIN(c):
+                plain.append((c, m[1].lower(), m[2]))
+            else:
+                odd.append(c)
+        words = self.words.newer
+        for w in self.words.missing({x for _, *parts in plain for x in parts}):
+            words[w] = self.word(w) if w else b""
+        for c, word, tail in plain:
+            of[c] = words[word] + words[tail]
+        of.update(zip(odd, self.together(odd), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
         self.chunks.turn()
-        self.pieces.turn()
+        self.words.turn()
         split = [SPLIT.split(t) if ODD.search(t) else t.split() for t in texts]
         if new := self.chunks.missing(set().union(*split)):
-            parted = list(map(parts_of, new))
-            self.learn_pieces(self.pieces.missing(set().union(*parted)))
-            of = self.pieces.__getitem__
-            self.chunks.update((c, b"".join(map(of, p))) for c, p in zip(new, parted, strict=True))
-        of = self.chunks.__getitem__
+            self.learn(new)
+        of = self.chunks.newer.__getitem__
         return [b"".join(map(of, s)) for s in split]
 
 
-def parts_of(chunk: str) -> tuple[str, ...]:
-    """Pieces whose ids joined are the chunk's: letters and the punctuation behind them, where it is as simple as that."""
-    word = chunk.rstrip(PUNCTUATION)
-    if not word.isalpha():
-        return (chunk,)
-    tail = chunk[len(word) :]
-    word = word.lower() if word.isascii() else word  # the vocabulary has no capital letters
-    return (word, tail) if tail else (word,)
-
-
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
@@ -203,7 +222,8 @@ def pack_group(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tupl
 
 
 def pack(cut_pieces: DataFrame, n_groups: int, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """Adds sequence_id, offset, tier, sequence_tokens and step_group to pieces."""
+    """Adds sequence_id, offset, tier, sequence_tokens and step_group to pieces, and drops their `row`, a stored number of
+    each piece that deals them to groups: so equal pieces (of many empty documents without ids, say) spread too."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
@@ -224,9 +244,9 @@ def pack(cut_pieces: DataFrame, n_groups: int, tiers: tuple[int, ...] = TIERS) -
         out["sequence_id"], out["offset"] = high + seq, ends - lengths[order] - firsts[seq]
         out["tier"], out["sequence_tokens"] = np.array([t for t, _ in sequences])[seq], totals[seq]
         out["step_group"] = high + step[seq]
-        return out.drop(columns="packing_group")
+        return out.drop(columns=["packing_group", "row"])
 
-    grouped = cut_pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_groups)))
+    grouped = cut_pieces.withColumn("packing_group", F.pmod(F.xxhash64("row"), F.lit(n_groups)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, sequence_tokens long, step_group long"
     return grouped.groupBy("packing_group").applyInPandas(run, schema)
 
@@ -236,5 +256,5 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int
 
     The pieces (a few integers each, never ids) are written to the shared folder
     once; their count sets the number of packing groups."""
-    cut_pieces = cut(pieces(docs, path, end_id, tiers[-1]))
+    cut_pieces = cut(pieces(docs, path, end_id, tiers[-1]).withColumn("row", F.monotonically_increasing_id()))
     return pack(cut_pieces, max(1, -(-cut_pieces.count() // GROUP)), tiers)

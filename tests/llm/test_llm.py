@@ -5,10 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -199,10 +201,34 @@ def test_tokens_of_odd_chunks():
     tok = Tokenizer.from_file(queries.WORD_BPE)
     tok.encode_special_tokens = True
     own = packing.ChunkTokenizer(queries.WORD_BPE)
-    texts = ["a\x1cb\x1f!", "ΑΣ ΟΔΟΣ. Σ", "é ́e", "<|endoftext|> x", "it's  I'LL don t\x85y", "İstanbul ǅ", "​ ﻿", ""]
+    texts = ["a\x1cb\x1f!", "ΑΣ ΟΔΟΣ. Σ", "é e\u0301e", "<|endoftext|> x<|endoftext|>.", "it's  I'LL don t\x85y", "İstanbul'da İ. son ǅ!", "İ", "\u200b \ufeff", "a\u0301b é. ẋ.", ""]
+    texts += [x for c in map(chr, range(0xA0, 0x250)) for x in (f"{c}a.", f"b{c}!", f"{c}{c}")]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aZéÉİıſßǅΣσĸŉ'.,!?<|>_-19½² \t\n\x1c\u0301\u0307\u200b中あ"), st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn"))), max_size=40))
+def test_tokens_of_mixed_text(text):
+    own, tok = chunk_and_usual()
+    assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=1)
+def chunk_and_usual():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.WORD_BPE)
+    tok.encode_special_tokens = True
+    return packing.ChunkTokenizer(queries.WORD_BPE), tok
+
+
+def test_equal_pieces_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    out = packing.pack_documents(spark.createDataFrame([(None, None)] * 200, "doc_id long, text string"), queries.WORD_BPE)
+    rows = out.collect()
+    assert len(rows) == 200 and len({r["sequence_id"] >> 32 for r in rows}) > 10
+
+
 # ---------------------------------------------------------------- 4 fingerprints
 
 
@@ -227,41 +253,97 @@ def test_fingerprints(spark):
     assert got[700]["fingerprint"] == got[900]["fingerprint"]
 
 
+def xx(*values) -> int:
+    """Spark's xxhash64 of strings and longs (ints as `np.int32`), signed."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else int(v).to_bytes(4 if isinstance(v, np.int32) else 8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def kmers_of(text: str) -> list[tuple[int, int]]:
+    """(33-bit hash, place) of every occurrence-numbered k-mer."""
+    words = re.findall(fingerprints.TOKEN, text, re.A)
+    size = [2 if len(w) > 1 else 6 for w in words]
+    grams = [words[i : i + size[i]] for i in range(len(words) - 1)] if len(words) > 1 else [[" ".join(words)]]
+    seen: Counter = Counter()
+    out = []
+    for place, g in enumerate(grams):
+        h = xx(*g) >> 31
+        n = seen[h]
+        seen[h] += 1
+        out.append((h if n == 0 else xx(h, np.int32(n)) >> 31, place))
+    return out
+
+
+def signature_by_loops(text: str) -> list[int]:
+    kmers, bins = kmers_of(text), 2 * fingerprints.M
+    of = lambda h: (h >> 26) + bins // 2
+    low = {b: min(k for k in kmers if of(k[0]) == b) for b in {of(h) for h, _ in kmers}}
+    filled = sorted(low)
+    own = [low[e] if e in low else low[min(filled, key=lambda b, e=e: xx(np.int32(b), np.int32(e)) >> 7)] for e in range(bins)]
+    pairs = [sorted(own[i : i + 2], key=lambda k: k[1]) for i in range(0, bins, 2)]
+    return [xx(a[0], b[0]) >> 32 for a, b in pairs]
+
+
 def test_signature_by_definition(spark):
-    """The Spark expressions against a loop over all k-mers and all functions."""
-    from pyspark.sql import functions as F
-
-    texts = ["a b c a b d a b", "one", "", "p q", " ".join(str(i * i % 50) for i in range(200))]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    pairs = {tuple(w) for t in texts for w in zip(re.split(r"\s+", t), re.split(r"\s+", t)[1:], strict=False)} | {(t,) for t in texts}
-    named = spark.createDataFrame([(list(p),) for p in pairs], "w array<string>")
-    base = {tuple(r["w"]): r["h"] for r in named.select("w", F.when(F.size("w") == 1, F.xxhash64(F.get("w", 0))).otherwise(F.xxhash64(F.get("w", 0), F.get("w", 1))).alias("h")).collect()}
-    got = {r["i"]: r["s"] for r in fingerprints.signature(df, "t", "s").select("i", "s").collect()}
-    low = fingerprints.PLACE_BITS
-    for i, t in enumerate(texts):
-        words = re.split(r"\s+", t)
-        kmers = [(t,)] if len(words) < 2 else list(zip(words, words[1:], strict=False))
-        places: dict = {}
-        for p, k in enumerate(kmers):
-            places.setdefault(base[k] >> low, []).append(p)
-        ask = [(h, n) for h, own in places.items() for n in range(1, len(own))]
-        later = {}
-        if ask:
-            later = {(r["h"], r["n"]): r["v"] for r in spark.createDataFrame(ask, "h long, n int").select("h", "n", F.xxhash64("h", "n").alias("v")).collect()}
-        every = sorted(((h if n == 0 else later[(h, n)] >> low), p) for h, own in places.items() for n, p in enumerate(own))
-        want = []
-        for f in range(fingerprints.M):
-            bound = -(2 ** (63 - low)) + f * 2 ** (64 - low) // fingerprints.M
-            rank = sorted(every, key=lambda x: ((x[0] - bound) % 2 ** (64 - low), x[1]))
-            two = sorted((rank[0], rank[1 % len(rank)]), key=lambda x: x[1])
-            want.append((two[0][0], two[1][0]))
-        hashed = [r["v"] for r in spark.createDataFrame([(k, *w) for k, w in enumerate(want)], "k int, a long, b long").select("k", F.hash("a", "b").alias("v")).orderBy("k").collect()]
-        assert got[i] == hashed, t
+    """The Spark expressions against loops over all k-mers and all bins."""
+    texts = ["a b c a b d a b", "one", "", " \t", "p q", "中文字" * 30, "x" * 25 + " word " + "y" * 21, "the same the same the same", " ".join(str(i * i % 50) for i in range(400)), " ".join(f"w{i}" for i in range(3000))]
+    got = {r["t"]: r["s"] for r in fingerprints.signature(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "s").select("t", "s").collect()}
+    for t in texts:
+        assert got[t] == signature_by_loops(t), t[:40]
+
+
+def test_signatures_against_independent_orders():
+    """Likeness of a text to an edited one: as near to its expectation as with an order of its own for each position."""
+    rng, errors = random.Random(4), {"own": [], "independent": [], "bias": []}
+    for n in (3, 8, 20, 60, 200):
+        for _ in range(30):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            b = [w if rng.random() < 0.7 else f"e{rng.randrange(10**6)}" for w in a]
+            ka, kb = kmers_of(" ".join(a)), kmers_of(" ".join(b))
+
+            def two(kmers, salt):
+                best = sorted(kmers, key=lambda k: xx(k[0], salt))[:2]
+                return tuple(k[0] for k in sorted(best, key=lambda k: k[1]))
+
+            like = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
+            many = [two(ka, f) == two(kb, f) for f in range(6 * fingerprints.M)]
+            truth, drawn = sum(many[fingerprints.M :]) / len(many[fingerprints.M :]), sum(many[: fingerprints.M]) / fingerprints.M
+            mine = like(signature_by_loops(" ".join(a)), signature_by_loops(" ".join(b)))
+            errors["own"].append(abs(mine - truth))
+            errors["bias"].append(mine - truth)
+            errors["independent"].append(abs(drawn - truth))
+    mean = {k: float(np.mean(v)) for k, v in errors.items()}
+    print(mean)
+    assert mean["own"] <= 1.5 * mean["independent"] + 0.01 and abs(mean["bias"]) < 0.02, mean
+
+
+def test_texts_without_white_space(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)), "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(400)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))]
+    got = {x["doc_id"]: x for x in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(0 < got[i]["near_edited"] < 0.5 and got[i]["near_next"] < 0.1 for i in range(3))
+
+
+def test_crowded_and_sparse_ids(spark, monkeypatch):
+    """Rows without ids, ids that repeat and ids far apart: the next row by (id, text hash), in blocks of any size."""
+    r = random.Random(9)
+    rows = [(None, f"none {i} {r.random()}") for i in range(60)] + [(7, f"seven {i} {r.random()}") for i in range(60)] + [(r.randrange(-(2**62), 2**62), f"far {i} {r.random()}") for i in range(60)] + [(8, "x y"), (6, "z")]
+    order = sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], xx(x[1])))
+    for crowd in (4096, 8):
+        monkeypatch.setattr(fingerprints, "CROWD", crowd)
+        got = Counter((x["doc_id"], x["edited_sha256"]) for x in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        want = Counter()
+        for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+            want[(i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest())] += 1
+        assert got == want
 
 
 def test_successors(spark):
     ids = [0, 1, 5, 1023, 1024, 5000, 2**40, -7]
-    got = {r["v"]: r["next"] for r in fingerprints.successors(spark.createDataFrame([(i,) for i in ids], "v long"), "v").collect()}
+    got = {r["v"]: r["next"]["v"] for r in fingerprints.successors(spark.createDataFrame([(i,) for i in ids], "v long"), ["v"]).collect()}
     order = sorted(ids)
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
