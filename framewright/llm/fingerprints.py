@@ -1,14 +1,21 @@
 """Order MinHash fingerprints: sketches that follow edit distance, not only set overlap.
 
-Each text becomes its word k-mers, numbered by occurrence so that repeats count.
-Hash function i of m orders all 64-bit k-mer hashes cyclically from i * 2^64 / m;
-the l smallest k-mers under it are kept in the order in which they stand in the
-text, and the hash of that tuple is position i of the signature.  One sort of the
-k-mers serves all m functions.  Everything is DataFrame expressions in one pass.
-
-Null texts count as empty; a text of fewer than k words has one k-mer, all of it.
-Equal texts have equal fingerprints.  Repeated doc_id rows are ordered by text.
-A null doc_id sorts first.  Columns other than doc_id and text are ignored.
+A text becomes tokens: its words, and of a run of more than 20 characters without
+white space (Chinese, Thai, a long key) each character.  A k-mer is two tokens in a
+row, or six where it begins with a single character; k-mers are numbered by
+occurrence, so repeats count.  Position i of a signature has two bins of the hash
+range of its own: in each the minimal k-mer is selected, the two are put in the order
+in which they stand in the text, and the hash of that tuple is the position's value.
+A bin without a k-mer borrows the minimum of another one, by a ranking of the filled
+bins that is the bin's own (so different empty bins draw independently, and the same
+one draws alike in two texts).  For texts of 3 to 200 words with 30 % of the words
+changed, a likeness is 0.033 off on average; with 64 independent orders of all k-mers
+it would be 0.025 (`test_signatures_against_independent_orders`).
+Everything is DataFrame expressions in one pass.
+
+Null texts count as empty; a text of fewer than two tokens has one k-mer, all of it.
+Equal texts have equal fingerprints.  A null doc_id sorts first; rows of one doc_id
+are ordered by their text's hash.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,30 +25,34 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import cut
 
-#: Words of a k-mer, positions of a signature (a power of two).
-K, M = 2, 64
-#: Bits of an identifier that a block of neighbouring documents spans.
-BLOCK_BITS = 9
-
-
-#: A k-mer is one long: the upper bits of its hash, then its place in the text.
-PLACE_BITS = 24
+#: Tokens of a k-mer that begins with a word, and with a single character; positions of a signature (a power of two).
+K, CHARS, M = 2, 6, 64
+#: A word of at most 20 characters, or a character of a longer run.
+TOKEN = r"(?<!\S)\S{1,20}(?!\S)|\S"
+#: Bits of an identifier that a block of neighbouring documents spans; rows beyond which a block is split by id and text hash.
+BLOCK_BITS, CROWD = 9, 4_096
+#: Ranges over which the blocks' own order is found.
+RANGES = 64
+#: A k-mer is one long: the upper bits of its hash, then its place in the text (an array has fewer than 2^31 items).
+PLACE_BITS = 31
 LOW = (1 << PLACE_BITS) - 1
 
 
 def signature(df: DataFrame, text: str, out: str, k: int = K, m: int = M) -> DataFrame:
     """Adds `out`, an array of m 32-bit integers: the Order MinHash (tuples of 2) of column `text` (not null)."""
-    bits = 64 - (m.bit_length() - 1)
-    names = {n: f"__{out}_{n}" for n in ("words", "kmers", "starts", "all", "first", "spots", "chosen")}
-    words, kmers, starts, every, first, spots, chosen = map(F.col, names.values())
+    bins = 2 * m
+    bits = 64 - (bins.bit_length() - 1)
+    names = {n: f"__{out}_{n}" for n in ("words", "kmers", "starts", "all", "first", "spots", "own")}
+    words, kmers, starts, every, first, spots, own = map(F.col, names.values())
     none = F.lit(0).cast("long")
     at = lambda a, j: F.coalesce(F.get(a, j), none)
-    spot = lambda h: (F.shiftright(h, bits) + m // 2).cast("int")
+    spot = lambda h: (F.shiftright(h, bits) + m).cast("int")
     kmer = lambda h, place: h.bitwiseAND(F.lit(~LOW)).bitwiseOR(place.cast("long").bitwiseAND(F.lit(LOW)))
     same = lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
-    rows = df.withColumn(names["words"], F.split(F.col(text), r"\s+"))
+    rows = df.withColumn(names["words"], F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)))
+    gram = lambda i, n: F.xxhash64(*[F.get(words, i + j) for j in range(n)])
     whole = F.array(kmer(F.xxhash64(F.array_join(words, " ")), F.lit(0)))
-    many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: kmer(F.xxhash64(*[F.get(words, i + j) for j in range(k)]), i))
+    many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: kmer(F.when(F.length(F.get(words, i)) > 1, gram(i, k)).otherwise(gram(i, CHARS)), i))
     rows = rows.withColumn(names["kmers"], F.sort_array(F.when(F.size(words) < k, whole).otherwise(many)))
     # Equal k-mers stand side by side; the later ones are hashed with their number, and all are sorted again.
     rows = rows.withColumn(names["starts"], F.filter(F.sequence(F.lit(0), F.size(kmers) - 1), lambda j: (j == 0) | ~same(at(kmers, j - 1), at(kmers, j))))
@@ -49,20 +60,23 @@ def signature(df: DataFrame, text: str, out: str, k: int = K, m: int = M) -> Dat
     numbered = lambda r: F.transform(F.sequence(r["a"] + 1, r["b"] - 1), lambda j: kmer(F.xxhash64(F.shiftright(at(kmers, j), PLACE_BITS), j - r["a"]), at(kmers, j)))
     again = F.sort_array(F.concat(F.transform(starts, lambda j: at(kmers, j)), F.flatten(F.transform(runs, numbered))))
     rows = rows.withColumn(names["all"], F.when(F.size(starts) == F.size(kmers), kmers).otherwise(again))
-    # Where each m-th of the hash range begins among the sorted k-mers; a function without its own takes the next.
+    # Where each bin's k-mers begin among the sorted ones; a bin and such an index are packed into one long.
     rows = rows.withColumn(names["first"], F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda j: (j == 0) | (spot(at(every, j - 1)) != spot(at(every, j)))))
     rows = rows.withColumn(names["spots"], F.transform(first, lambda j: spot(at(every, j))))
-    later = lambda i: F.array_position(spots, F.coalesce(F.array_min(F.filter(spots, lambda s: s >= i)), F.lit(-1)))
-    own = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.when(F.array_contains(spots, i), F.array_position(spots, i)).otherwise(later(i)).cast("int"))
-    rows = rows.withColumn(names["chosen"], F.transform(own, lambda q: F.coalesce(F.get(first, F.greatest(q - 1, F.lit(0))), F.lit(0))))
-
-    def of(j: Column) -> Column:
-        a, b = at(every, j), at(every, (j + 1) % F.size(every))
+    packed = lambda b, j: F.shiftleft(b.cast("long"), 32) + j
+    rank = lambda b, e, j: F.xxhash64(b, e).bitwiseAND(F.lit(~(bins - 1))).bitwiseOR(j.cast("long"))
+    lender = lambda e: F.array_min(F.transform(spots, lambda b, j: rank(b, e, j))).bitwiseAND(F.lit(bins - 1)).cast("int")
+    borrowed = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(bins - 1)), spots), lambda e: packed(e, F.get(first, lender(e))))
+    filled = F.sort_array(F.concat(F.zip_with(spots, first, packed), borrowed))
+    rows = rows.withColumn(names["own"], F.transform(filled, lambda x: at(every, x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))))
+
+    def of(i: Column) -> Column:
+        a, b = at(own, 2 * i), at(own, 2 * i + 1)
         in_order = a.bitwiseAND(F.lit(LOW)) <= b.bitwiseAND(F.lit(LOW))
         a, b = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
-        return F.when(in_order, F.hash(a, b)).otherwise(F.hash(b, a))
+        return F.shiftright(F.when(in_order, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a)), 32).cast("int")
 
-    return rows.withColumn(out, F.transform(chosen, of)).drop(*names.values())
+    return rows.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), of)).drop(*names.values())
 
 
 def likeness(a: Column, b: Column, m: int = M) -> Column:
@@ -74,40 +88,50 @@ def text_of(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def successors(values: DataFrame, v: str) -> DataFrame:
-    """For distinct integers v: the next larger one, and after the last the first.  The one-task step sees a row for 2^10 neighbouring values."""
-    up = F.shiftright(v, 10)
-    rows = values.select(v, up.alias("__up"), F.lead(v).over(Window.partitionBy(up).orderBy(v)).alias("__next"))
-    groups = values.groupBy(up.alias("__up")).agg(F.min(v).alias("__head"))
-    heads = groups.select("__up", F.coalesce(F.lead("__head").over(Window.orderBy("__up")), F.min("__head").over(Window.partitionBy())).alias("__after"))
-    return rows.join(heads, "__up").select(v, F.coalesce("__next", "__after").alias("next"))
+def successors(values: DataFrame, cols: list[str]) -> DataFrame:
+    """cols and `next` (a struct of them): for distinct rows the following one, and after the last the first.
+
+    Rows are dealt by range; the one-task step sees a row for each of RANGES ranges, whatever the values are."""
+    ranged = cut(values.repartitionByRange(RANGES, *cols).withColumn("__range", F.spark_partition_id()))
+    item = F.struct(*cols)
+    rows = ranged.withColumn("__next", F.lead(item).over(Window.partitionBy("__range").orderBy(*cols)))
+    heads = ranged.groupBy("__range").agg(F.min(item).alias("__head"))
+    heads = heads.select("__range", F.coalesce(F.lead("__head").over(Window.orderBy("__range")), F.min("__head").over(Window.partitionBy())).alias("__after"))
+    return rows.join(heads, "__range").select(*cols, F.coalesce("__next", "__after").alias("next"))
 
 
-def with_next(df: DataFrame, key: str, order: list[str], cols: list[str], shorten: dict[str, Column]) -> DataFrame:
-    """Adds next_<c> for each c of cols: its value in the next row by (key, order); after the last row, in the first.
+def with_next(df: DataFrame, key: str, tie: str, cols: list[str], shorten: dict[str, Column]) -> DataFrame:
+    """Adds next_<c> for each c of cols: its value in the next row by (key, tie), both long; after the last row, in the first.
 
-    Rows meet in blocks of neighbouring keys, and the outcome is written once (shorten says what of it is needed);
-    only a block's first row is then sent to the last row of the block before it."""
+    Rows meet in blocks of neighbouring keys.  A block of more than CROWD rows (its keys repeat, or are null) is split by
+    key and by ranges of the tie, so no key's rows meet in one task.  The outcome is written once (shorten says what of it
+    is needed); only a block's first row is then sent to the last row of the block before it."""
+    names = ["__block", "__key", "__part"]
     block = F.shiftright(key, BLOCK_BITS)
-    own = Window.partitionBy("__block").orderBy(key, *order)
-    rows = df.withColumn("__block", block)
+    crowds = df.groupBy(block.alias("__block")).agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD)
+    # Few or none, but not bounded: the planner broadcasts them only if their file is small.
+    crowds = cut(crowds.select("__block", F.ceil(F.log2(F.col("__n") / (CROWD / 2))).cast("int").alias("__bits")))
+    rows = df.withColumn("__block", block).join(crowds, "__block", "left")
+    rows = rows.withColumns({"__key": F.when(F.col("__bits").isNotNull(), F.col(key)).otherwise(F.lit(0)), "__part": F.coalesce(F.expr(f"shiftright({tie}, 64 - __bits)"), F.lit(0).cast("long"))})
+    own = Window.partitionBy(*names).orderBy(key, tie)
     rows = rows.withColumns({"__n": F.row_number().over(own), "__last": F.lead(F.lit(1)).over(own).isNull()} | {f"next_{c}": F.lead(c).over(own) for c in cols})
-    rows = cut(rows.withColumns(shorten))
-    follow = successors(rows.where("__last").select("__block"), "__block")
-    heads = rows.where("__n = 1").select(F.col("__block").alias("next"), F.struct(*cols).alias("__head"))
-    edges = follow.join(heads, "next").select("__block", "__head")
-    inner = rows.where("NOT __last").drop("__block", "__n", "__last")
-    ends = rows.where("__last").join(edges, "__block").withColumns({f"next_{c}": F.col("__head")[c] for c in cols}).withColumns(shorten)
+    rows = cut(rows.drop("__bits").withColumns(shorten))
+    follow = successors(rows.where("__last").select(*names), names)
+    heads = rows.where("__n = 1").select(F.struct(*names).alias("next"), F.struct(*cols).alias("__head"))
+    edges = follow.join(heads, "next").select(*names, "__head")
+    inner = rows.where("NOT __last").drop("__n", "__last", *names)
+    ends = rows.where("__last").join(edges, names).withColumns({f"next_{c}": F.col("__head")[c] for c in cols}).withColumns(shorten)
     return inner.unionByName(ends.select(*inner.columns))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of the text whose second half the next document's beginning replaced."""
     lowest = F.lit(-(2**63)).cast("long")
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.withColumn("__tie", F.xxhash64("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(signature(rows, "text", "sig"), "__key", ["text"], ["text", "sig"], {"next_text": F.substring("next_text", F.lit(1), half)})
+    rows = with_next(signature(rows, "text", "sig"), "__id", "__tie", ["text", "sig"], {"next_text": F.substring("next_text", F.lit(1), half)})
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), "next_text"))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited", "sig", "next_sig")
     rows = signature(rows, "edited", "edited_sig")
