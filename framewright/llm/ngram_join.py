@@ -4,20 +4,21 @@ A document is its set of five-word shingles (lower-cased words; a text of fewer
 words is one shingle of all of them, so empty texts equal each other).
 
 1. Equal sets collapse to one node that counts its copies.
-2. A node's sketch is a min-hash token for each run and level.  In each of 10 runs
-   the nodes are split by the token at the run's first coordinate; buckets of more
-   than LEAF nodes are split again by the next, up to four times.  A pair of
-   similarity s meets in a run with probability s to the depth at least, so nodes
-   that were ever in too large a bucket are split in 19 runs more.  A pair of 0.8
-   that misses the first 10 either differs in all first coordinates or takes part in
-   all 29: the numbers follow from MISS, a third of it for each of the two.
-3. Small buckets are compared in full on the sketches (at least 13 of 32 tokens, which
-   a pair of 0.8 fails twice in 10^7, and compatible sizes); a bucket still too
-   large after four equal tokens is linked without comparing.
-4. What is linked forms candidate components.  Within each, all pairs are compared
-   exactly on whole shingle sets, in blocks of bounded size for large components:
-   no pair rows exist, only each node's number of links and one edge to its group.
-5. Verified edges give the classes.
+2. A node's sketch is 64 tokens sampled from its set by min-hash.  In a run all nodes
+   start in one bucket; a bucket is split by one sampled token, in a quarter of the
+   paths by two, so a node takes 1 / SIMILARITY branches on average and a pair at
+   the threshold is expected to stay together on one path at every depth.  Buckets of
+   more than LEAF nodes are split on, up to LEVELS times.
+3. Runs are repeated until the chance to miss a pair at the threshold is MISS at most:
+   `runs_for` computes it from the branching and the sampling.  Nodes that were in
+   too large a bucket take part in the number of runs that the deepest level needs.
+4. Small buckets are compared in full on the sketches (at least NEED equal tokens, and
+   compatible sizes).  So is a bucket that a further token hardly splits (its sets are
+   alike) or that is too large at the last level, in cells of bounded size.
+5. The candidate pairs' components are compared exactly on whole shingle sets, in
+   blocks of bounded number and bytes: no pair rows exist, only each node's number of
+   links and one edge to its group.
+6. Verified edges give the classes.
 
 Copies are never expanded into pairs.  Documents without an id keep a null id.
 Extra columns are ignored; repeated rows count as copies; an empty table gives an
@@ -26,36 +27,74 @@ empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.common import cut
 from framewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Chance with which a pair of SIMILARITY may be missed.
-MISS = 1e-6
-LEVELS, LEAF = 4, 256
-#: Runs of all nodes, whose first tokens may not all differ, and all runs, which may not all part a pair at the last level.
-FIRST_RUNS = math.ceil(math.log(MISS / 3) / math.log(1 - SIMILARITY))
-RUNS = math.ceil(math.log(MISS / 3) / math.log(1 - SIMILARITY**LEVELS))
-#: Tokens that buckets compare, and how many of them must be equal for a candidate pair.
-COMPARED, NEED = 32, 13
-#: Nodes of a block in exact comparison; nodes of a task's group of small components on average.
-BLOCK, GROUP = 2_048, 1_000
+#: Chance with which a pair of SIMILARITY may be missed: a third each in the first runs, in the deep ones, in comparing sketches.
+MISS = 1e-5
+#: Sampled tokens of a sketch; one path in BRANCH splits by two of them.
+TOKENS, BRANCH = 64, 4
+LEVELS, LEAF = 6, 512
+#: A bucket of which this share stays together under one more token holds sets that are alike.
+ALIKE = 0.75
+#: Nodes of a block in which large buckets are compared on sketches.
+CELL = 8_192
+
+
+def meets(depth: int, share: float) -> float:
+    """Chance that a pair with this share of equal tokens has a path of the depth in common, in one run."""
+    q = 1.0
+    for _ in range(depth):
+        miss = 1 - share * q
+        q = 1 - ((1 - 1 / BRANCH) * miss + miss * miss / BRANCH)
+    return q
+
+
+def shares(similarity: float) -> list[tuple[float, float]]:
+    """(share of equal tokens, its probability) of two sets of the similarity."""
+    return [(k / TOKENS, comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k)) for k in range(TOKENS + 1)]
+
+
+def runs_for(depth: int, similarity: float = SIMILARITY, miss: float = MISS / 3) -> int:
+    """Runs after which a pair of the similarity is missed at a depth with the chance `miss` at most."""
+    each, runs = [(p, 1 - meets(depth, share)) for share, p in shares(similarity)], 1
+    while sum(p * q**runs for p, q in each) > miss:
+        runs += 1
+    return runs
+
+
+def need(similarity: float = SIMILARITY, miss: float = MISS / 3) -> int:
+    """Equal tokens that a pair of the similarity falls short of with the chance `miss` at most."""
+    total, k = 0.0, -1
+    for k, (_, p) in enumerate(shares(similarity)):
+        total += p
+        if total > miss:
+            break
+    return k
+
+
+#: Nodes of a block in exact comparison, and its shingles on average; the same of a task's group of small components.
+BLOCK, WEIGHT = 2_048, 3_000_000
+GROUP, GROUP_WEIGHT = 1_000, 1_000_000
 MEMO = 150_000
 #: Multiplications up to which intersections are counted by a dense product.
 DENSE = 2e10
 FIND = re.compile(r"\w+").findall
-SALT = np.random.default_rng(20).integers(1, 2**63, (2, RUNS * LEVELS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+SALT = np.random.default_rng(20).integers(1, 2**63, (2, TOKENS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: For an id that is null: it comes last.
+NO_ID = 2**63 - 1
 
 
 class WordHashes(dict):
@@ -89,12 +128,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, size, s1, s2 (128 bits that name the set) and the sketch of each document."""
-    schema = "doc_id long, size long, s1 long, s2 long, sketch array<int>"
+    """doc_id, key (hash of the text), size, s1, s2 (128 bits that name the set) and the sketch of each document."""
+    schema = "doc_id long, key long, size long, s1 long, s2 long, sketch array<int>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
+            texts, ids, keys = batch["text"].tolist(), batch["doc_id"].tolist(), batch["key"].to_numpy()
             for i in range(0, len(texts), 256):
                 sets = [shingles(t, words) for t in texts[i : i + 256]]
                 flat = np.concatenate(sets)
@@ -107,6 +146,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(ids[i : i + 256], dtype="Int64"),
+                        "key": keys[i : i + 256],
                         "size": size,
                         "s1": np.add.reduceat(flat, starts).view(np.int64),
                         "s2": np.add.reduceat(mixed(flat), starts).view(np.int64),
@@ -114,7 +154,13 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return texts_of(docs).select("doc_id", "text", "key").mapInPandas(run, schema)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, id (never null), text and key of each document: id and key together name a text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
 def labels_of(near: np.ndarray) -> np.ndarray:
@@ -131,51 +177,88 @@ def labels_of(near: np.ndarray) -> np.ndarray:
     return label
 
 
+def linked(nodes: np.ndarray, size: np.ndarray, sketch: np.ndarray, needed: int, similarity: float) -> np.ndarray:
+    """(node, smallest node of its component) for the pairs with enough equal tokens; a node is compared with what isn't reached yet."""
+    rest, pool, pairs = np.arange(len(nodes)), sketch, []
+    while len(rest):
+        own, front = [rest[0]], [rest[0]]
+        rest, pool = rest[1:], pool[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = (pool == sketch[x]).sum(axis=1) >= needed
+            near &= np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]) - 1e-9
+            if near.any():
+                hit = rest[near]
+                own.extend(hit)
+                front.extend(hit)
+                rest, pool = rest[~near], pool[~near]
+        if len(own) > 1:
+            ids = np.sort(nodes[own])
+            pairs.append(np.stack([ids[1:], np.full(len(ids) - 1, ids[0])], axis=1))
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+
+
 def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): every node that a run put beside a similar one, with the smallest node of its group there."""
-
-    def dealt(part: DataFrame, runs: range) -> DataFrame:
-        """node, its paths k0 ... in each run, and the n nodes that share k0."""
-        path = [F.array(*[F.xxhash64(F.lit(r), *[F.get("sketch", r * LEVELS + i) for i in range(level + 1)]) for r in runs]) for level in range(LEVELS)]
-        rows = part.select("node", F.explode(F.arrays_zip(*[p.alias(f"k{i}") for i, p in enumerate(path)])).alias("k")).select("node", "k.*")
-        many = rows.groupBy("k0").agg(F.count("*").alias("n")).where("n > 1")
-        return cut(rows.join(many, "k0").select("node", "n", *[f"k{i}" for i in range(LEVELS)]))
-
-    rows = dealt(nodes, range(FIRST_RUNS))
-    deep = rows.where(F.col("n") > LEAF).select("node").distinct()
-    rows = rows.union(dealt(nodes.join(deep, "node", "left_semi"), range(FIRST_RUNS, RUNS)))
-    leaves = rows.where(F.col("n") <= LEAF).select("node", F.col("k0").alias("leaf"))
-    for level in range(1, LEVELS):
-        rows = rows.where(F.col("n") > LEAF).drop("n")
-        many = rows.groupBy(f"k{level}").agg(F.count("*").alias("n")).where("n > 1")
-        rows = rows.join(many, f"k{level}")
-        leaves = leaves.union(rows.where(F.col("n") <= LEAF).select("node", F.col(f"k{level}").alias("leaf")))
-    packed = rows.where(F.col("n") > LEAF).select("node", F.col(f"k{LEVELS - 1}").alias("leaf"))
-    linked = packed.join(packed.groupBy("leaf").agg(F.min("node").alias("b")), "leaf").select(F.col("node").alias("a"), "b")
-
-    # No leaf has more than LEAF nodes, so these lists are bounded.
-    grouped = leaves.join(nodes.select("node", "size", F.slice("sketch", 1, COMPARED).alias("sketch")), "node").groupBy("leaf").agg(
+    first, runs, needed = runs_for(1, similarity), runs_for(LEVELS, similarity), need(similarity)
+    rng = np.random.default_rng(21)
+    order = [rng.permutation(TOKENS)[: 2 * LEVELS].tolist() for _ in range(max(first, runs))]  # a run's tokens: two for each level
+
+    def children(path: Column, one: Column, two: Column) -> Column:
+        both = F.when(F.pmod(F.xxhash64(path), F.lit(BRANCH)) == 0, F.xxhash64(path, F.lit(2), two))
+        return F.explode(F.filter(F.array(F.xxhash64(path, one), both), lambda x: x.isNotNull())).alias("path")
+
+    def started(part: DataFrame, own: range) -> DataFrame:
+        runs_ = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.get("sketch", order[r][0]).alias("one"), F.get("sketch", order[r][1]).alias("two")) for r in own])).alias("x")
+        rows = part.select("node", runs_).select("node", "x.*")
+        return rows.select("node", "run", F.lit(None).cast("long").alias("up"), children(F.col("run").cast("long"), F.col("one"), F.col("two")))
+
+    def split(big: DataFrame, level: int) -> DataFrame:
+        rows = big.join(nodes.select("node", "sketch"), "node")
+        token = lambda k: F.get("sketch", F.get(F.array(*[F.lit(o[2 * level + k]) for o in order]), F.col("run")))
+        return rows.select("node", "run", F.col("n").alias("up"), children(F.col("path"), token(0), token(1)))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        # The counts are written first: then both sides of the join come straight from a shuffle, and Spark splits a hot bucket.
+        many = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        return cut(rows.join(many, "path"))
+
+    met = counted(started(nodes, range(first)))
+    done, big = [met], met.where(F.col("n") > LEAF)
+    if not big.isEmpty():
+        deep = cut(big.select("node").distinct())
+        if runs > first:
+            more = counted(started(nodes.join(deep, "node", "left_semi"), range(first, runs)))
+            done.append(more)
+            big = big.unionByName(more.where(F.col("n") > LEAF))
+        for level in range(1, LEVELS):
+            met = counted(split(big, level))
+            done.append(met)
+            big = met.where((F.col("n") > LEAF) & (F.col("n") < ALIKE * F.col("up")))
+            if level < LEVELS - 1 and big.isEmpty():
+                break
+    last = len(done) - 1
+    whole = [d.where((F.col("n") <= LEAF) | (F.coalesce(F.col("n") >= ALIKE * F.col("up"), F.lit(False)) if k < last else F.lit(True))) for k, d in enumerate(done)]
+    rows = whole[0]
+    for w in whole[1:]:
+        rows = rows.unionByName(w)
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    rows = rows.select("node", "path", blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))
+    # No cell has many more than 2 * CELL nodes, so these lists are bounded.
+    grouped = rows.select("node", cell.alias("cell")).join(nodes.select("node", "size", "sketch"), "node").groupBy("cell").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("size").alias("sizes"), F.flatten(F.collect_list("sketch")).alias("sketches")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            out = [np.zeros((0, 2), np.int64)]
             for own, size, flat in zip(batch["nodes"], batch["sizes"], batch["sketches"], strict=True):
-                sketch = np.asarray(flat).reshape(len(own), -1)
-                near = np.empty((len(own), len(own)), bool)
-                for i in range(len(own)):
-                    fits = np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9
-                    near[i] = ((sketch == sketch[i]).sum(axis=1) >= NEED) & fits
-                label = labels_of(near)
-                own = np.asarray(own)
-                low = np.full(len(own), np.iinfo(np.int64).max)
-                np.minimum.at(low, label, own)
-                pair = np.stack([own, low[label]], axis=1)
-                out.append(pair[pair[:, 0] != pair[:, 1]])
+                out.append(linked(np.asarray(own), np.asarray(size), np.asarray(flat).reshape(len(own), -1), needed, similarity))
             yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    return grouped.mapInPandas(run, "a long, b long").union(linked)
+    return grouped.mapInPandas(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -186,7 +269,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     shared = count[token] > 1
     new = np.cumsum(count > 1) - 1
     token, doc, width = new[token[shared]], doc[shared], int((count > 1).sum())
-    if m * m * width <= DENSE and m * width <= 5e7:
+    if m * m * width <= DENSE and m * width <= 2.5e7:
         table = np.zeros((m, width), np.float32)
         table[doc, token] = 1
         return table @ table.T  # whole numbers, far below 2^24
@@ -210,14 +293,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """node, root, links: partial results of exact comparison, block by block.
 
-    members: node, rep (document id), s1, s2, copies, comp, size_of_comp."""
-    lowest = F.lit(-(2**63)).cast("long")
-    n_groups = max(1, -(-members.count() // GROUP))
-    blocks = F.ceil(F.col("size_of_comp") / BLOCK).cast("int")
-    placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.hash("node"), blocks)})
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("rep"), F.col("text").cast("string").alias("text"))
+    members: node, id and key of a document that has it, s1, s2, size, copies, comp, size_of_comp, weight_of_comp."""
+    count, weight = members.agg(F.count("*"), F.sum("size")).first()
+    n_groups = max(1, -(-count // GROUP), -(-(weight or 0) // GROUP_WEIGHT))
+    blocks = F.greatest(F.ceil(F.col("size_of_comp") / BLOCK), F.ceil(F.col("weight_of_comp") / WEIGHT)).cast("int")
+    placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.hash("node"), blocks)}).drop("size")
     # Members grow with the corpus, so this is a shuffle join at every size, never a broadcast.
-    rows = placed.withColumn("rep", F.coalesce("rep", lowest)).hint("merge").join(texts.hint("merge"), "rep")
+    rows = placed.hint("merge").join(texts_of(docs).select("id", "key", "text").hint("merge"), ["id", "key"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(n_groups))).otherwise(F.xxhash64("comp", "i", "j")))
 
@@ -241,7 +323,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
             own = own.drop_duplicates(["node", "text"])
             sets = [shingles(t, words) for t in own["text"]]
             names = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s).sum(dtype=np.uint64).view(np.int64))) for s in sets]
-            right = [n == (a, b) for n, a, b in zip(names, own["s1"], own["s2"], strict=True)]  # an id may belong to several texts
+            right = [n == (a, b) for n, a, b in zip(names, own["s1"], own["s2"], strict=True)]  # hashes of texts may agree
             seen: dict[int, int] = {}
             for k, node in enumerate(own["node"]):
                 if right[k]:
@@ -256,28 +338,39 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
     return rows.select("task", "comp", "i", "j", "block", "node", "s1", "s2", "copies", "text").groupBy("task").applyInPandas(run, "node long, root long, links long")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """doc_id, class_id (smallest id of its class) and n_links (other documents at or above the similarity)."""
+def classed(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents, and for each set: s1, s2, size, its class, its number of links, and the smallest id and name in its class."""
     each = cut(sketches(docs, words))
-    nodes = each.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    name = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")
+    nodes = each.groupBy("s1", "s2", "size").agg(F.min(name).alias("name"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    comps = cut(components(cut(candidate_edges(nodes, similarity))))
-    sizes = comps.groupBy("label").agg(F.count("*").alias("size_of_comp"))
-    members = cut(comps.join(sizes, "label").join(nodes.select("node", "rep", "s1", "s2", "copies"), "node").withColumnRenamed("label", "comp"))
+    comps = cut(components(cut(candidate_edges(nodes, similarity).distinct())))
+    members = comps.join(nodes.select("node", "name.*", "s1", "s2", "size", "copies"), "node")
+    sizes = members.groupBy("label").agg(F.count("*").alias("size_of_comp"), F.sum("size").alias("weight_of_comp"))
+    members = cut(members.join(sizes, "label").withColumnRenamed("label", "comp"))
     partial = cut(exact_links(docs, members, similarity, words))
     final = components(partial.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = partial.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "s1", "s2", "size", "rep", "copies").join(links, "node", "left").join(final, "node", "left")
+    known = nodes.drop("sketch").join(links, "node", "left").join(final, "node", "left")
     known = cut(known.withColumns({"links": F.coalesce("links", F.lit(0)), "label": F.coalesce("label", "node")}))
-    named = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    per_set = cut(known.join(named, "label").select("s1", "s2", "size", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    named = known.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min("name").alias("keeper"))
+    return each, cut(known.join(named, "label").select("s1", "s2", "size", "label", "class_id", "keeper", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """doc_id, class_id (smallest id of its class) and n_links (other documents at or above the similarity)."""
+    each, per_set = classed(docs, similarity, words)
     return each.select("doc_id", "s1", "s2", "size").join(per_set, ["s1", "s2", "size"]).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """The documents, one of each class (the one with the smallest id).  Documents without an id can't be told apart by it and stay."""
-    keepers = classes(docs, similarity, words).select(F.col("class_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    return docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The documents, one of each class: the one with the smallest id (a null one comes last), then text hash, then hash of all columns."""
+    _, per_set = classed(docs, similarity, words)
+    keepers = per_set.select(F.col("keeper.id").alias("__id"), F.col("keeper.key").alias("__key")).distinct()
+    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(F.col("text").cast("string")), "__row": F.xxhash64(*docs.columns)})
+    kept = named.join(keepers, ["__id", "__key"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__row"))
+    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
 
 
 def sql() -> str:
