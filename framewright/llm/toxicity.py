@@ -7,31 +7,37 @@ of words, forwards and backwards; attention pools their states; a logistic unit
 gives the window's score.  A text's score is the largest over all overlapping
 windows that cover it, so length never dilutes a passage.
 
-Training is a bounded job on the driver (TRAIN_DOCS labelled documents of at most
-TRAIN_CHARS characters, drawn by hash, half of each label where there are enough).
+Training is one bounded task (TRAIN_DOCS labelled documents of at most TRAIN_CHARS
+characters, drawn by hash, half of each label where there are enough); the driver
+sees its weights only.  Windows overlap by half, so any passage of up to 17 words
+lies in one of them whole.
 Each document teaches through its own best window, after a first phase over all
 windows.  Scoring is one narrow stage over the whole corpus; a worker remembers
 the vectors of words it has met, up to MEMO of them.
 
 Rows with crc32(doc_id as text) mod 4 = 2 are held out: never learnt from.  Null
 and empty texts score as one window without words.  Null ids are scored and not
-held out.  Repeated rows get equal scores; an empty label table gives the prior 0.
+held out.  Repeated rows get equal scores; an empty label table gives the prior 0, an
+empty document table an empty result.  Other columns are ignored by `score` and pass
+through `keep_clean`.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documented bounds of the training sample: documents, and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 4_000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, TABLE = 8, 16, 16, 1 << 15
 GRAMS = (3, 4, 5)
 STEPS, BATCH, RATE = 200, 48, 5e-3
@@ -111,6 +117,12 @@ class Network:
             self.w |= {f"x{g}": normal(d, h), f"h{g}": normal(h, h) * 0.5, f"c{g}": np.zeros(h, np.float32)}
         self.w |= {"attf": normal(h, h), "attb": normal(h, h), "att0": np.zeros(h, np.float32), "query": normal(h), "outf": normal(h), "outb": normal(h), "out0": np.full(1, -1.0, np.float32)}
 
+    @classmethod
+    def of(cls, weights: dict[str, np.ndarray]) -> Network:
+        net = cls.__new__(cls)
+        net.w = weights
+        return net
+
     def vectors(self, words: list[str]) -> np.ndarray:
         """Inputs of distinct words: word embedding beside the mean of character embeddings."""
         grams, owner = gram_rows(words)
@@ -320,30 +332,45 @@ class Scorer:
             np.maximum.at(best, np.array([j for *_, j in own]), self.net.forward(self.shares, *laid_out(words, own)))
         return sigmoid(best.astype(np.float64))
 
+    def many(self, texts: pd.Series, block: int = 64) -> np.ndarray:
+        """Scores of a batch of texts, some at a time; a missing one counts as empty."""
+        own = texts.fillna("").tolist()
+        return np.concatenate([np.zeros(0), *(self.scores(own[i : i + block]) for i in range(0, len(own), block))])
 
-def training_sample(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """At most n labelled texts that aren't held out, at most half of either label, the first by hash of the id."""
+
+def training_sample(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
+    """__text and __toxic of at most 2n labelled texts that aren't held out, in the order of the id's hash."""
     known = labels.where(~held_out(F.col("doc_id"))).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
-    # Each pick has n rows at most; so it is small enough to be sent to every task, and its texts to the driver.
+    # Each pick has n rows at most; so it is small enough to be sent to every task.
     picked = [known.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y in (1, 0)]
-    short = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where(F.length("text") <= TRAIN_CHARS)
-    rows = short.join(F.broadcast(picked[0].union(picked[1])), "__id").orderBy(F.xxhash64("__id"), "__id", "text").limit(2 * n).collect()
-    out = [(r["text"], r["__toxic"]) for y in (1, 0) for r in [r for r in rows if r["__toxic"] == y][: n // 2]]
-    return [t for t, _ in out], [y for _, y in out]
+    short = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).where(F.length("__text") <= TRAIN_CHARS)
+    rows = short.join(F.broadcast(picked[0].union(picked[1])), "__id").orderBy(F.xxhash64("__id"), "__id", "__text").limit(2 * n)
+    return rows.select("__text", "__toxic")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> Broadcast:
+    """The weights, learnt in one task from n texts at most, half of either label; a few MB."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"__text": [], "__toxic": []}), *batches])
+        own = pd.concat([rows[rows["__toxic"] == y].head(n // 2) for y in (1, 0)])
+        net = train(own["__text"].tolist(), [int(y) for y in own["__toxic"]])
+        yield pd.DataFrame({"weights": [pickle.dumps(net.w)]})
+
+    row = training_sample(docs, labels, n).repartition(1).sortWithinPartitions(F.xxhash64("__text"), "__text").mapInPandas(fit, "weights binary").first()
+    return docs.sparkSession.sparkContext.broadcast(pickle.loads(row["weights"]) if row else train([], []).w)  # Spark may plan no task over no rows
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    spark = docs.sparkSession
-    net = spark.sparkContext.broadcast(train(*training_sample(docs, labels)))
+    weights = fitted(docs, labels)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Scorer(net.value)
+        own = Scorer(Network.of(weights.value))
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[i : i + 64]) for i in range(0, len(texts), 64))]))
+            yield pd.Series(own.many(batch))
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(F.col("text").cast("string")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -351,13 +378,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    net = docs.sparkSession.sparkContext.broadcast(train(*training_sample(docs, labels)))
+    weights = fitted(docs, labels)
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Scorer(net.value)
+        own = Scorer(Network.of(weights.value))
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[i : i + 64]) for i in range(0, len(texts), 64))]) < THRESHOLD)
+            yield pd.Series(own.many(batch) < THRESHOLD)
 
     return docs.where(clean(F.col("text").cast("string")))
