@@ -1,13 +1,16 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line (trimmed of spaces) of at least `MIN_CHARS` characters goes if an earlier
+A line (trimmed of spaces) of at least `min_chars` characters goes if an earlier
 line, by (doc_id, text hash, line number), lies within one edit (a character
-inserted, deleted or substituted).  Shorter lines always stay.
+inserted, deleted or substituted).  Shorter lines always stay: `min_chars` (20 by
+default, 1 for all lines) says what a line worth comparing is.
 
 1. Equal lines become one row with their first occurrence (map-side combined, so
    a line that a third of all documents share costs a row for each task).
 2. One edit leaves the first or the second half of a line alone: only lines that
-   share such a half, at a length within one, go on.  This filter is exact.
+   share such a half, at a length within one, go on.  This filter is exact.  Halves
+   are counted with partial sums and joined back, so one that a third of all lines
+   share is split over tasks.
 3. These emit their deletion neighbourhood: the line itself and every variant with
    one character less (in the half that may differ), as hashed keys.  Lines that differ by a substitution share
    a variant with the same deleted place; by an insertion, one line is a variant of
@@ -18,7 +21,8 @@ inserted, deleted or substituted).  Shorter lines always stay.
 
 Null texts stay null; texts without lines to drop stay as they are.  A document
 stored twice (same id and text) counts once, and both copies keep the same lines.
-Other columns pass through unchanged.
+Other columns pass through unchanged, but for n_lines and n_removed, which are the
+result's.  Working columns begin with two underscores.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from pyspark.sql import functions as F
 from framewright.llm.common import cut
 
 MIN_CHARS = 20
-ORDER = ("d", "h", "p")  # document, text hash, line number
+ORDER = ("__d", "__h", "__p")  # document, text hash, line number
 
 
 def key_columns(docs: DataFrame) -> DataFrame:
     lowest = F.lit(-(2**63)).cast("long")
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), lowest), "h": F.xxhash64("text")})
+    return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), lowest), "__h": F.xxhash64("text")})
 
 
 def earlier(a: str, b: str) -> Column:
@@ -46,13 +50,13 @@ def earlier(a: str, b: str) -> Column:
     return F.col(a) < F.col(b)
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """d, h, p (first occurrence), n (length) and half keys of every distinct line of at least MIN_CHARS; no text is shuffled.
+def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """__d, __h, __p (first occurrence), n (length) and half keys of every distinct line of at least min_chars; no text is shuffled.
 
     Lines within one edit share a first or second half: floor(s / 2) characters, s the shorter one's length.  A line of n
     characters may be the shorter or the longer one, so it has keys for n and n - 1, which coincide for odd n."""
-    lines = key_columns(docs).select("d", "h", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    lines = lines.select("d", "h", "p", F.trim("line").alias("line")).withColumn("n", F.length("line")).where(F.col("n") >= MIN_CHARS)
+    lines = key_columns(docs).select("__d", "__h", F.posexplode(F.split("text", "\n")).alias("__p", "line"))
+    lines = lines.select(*ORDER, F.trim("line").alias("line")).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     n = F.col("n")
     first = lambda half: F.xxhash64(F.lit(0), half, F.substring("line", F.lit(1), half))
     second = lambda half: F.xxhash64(F.lit(1), half, F.substring("line", n - half + 1, half))
@@ -63,10 +67,11 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def hopeful(lines: DataFrame) -> DataFrame:
-    """d, h, p, first, second: the distinct lines whose first or second half another one shares."""
+    """__d, __h, __p, first, second: the distinct lines whose first or second half another one shares."""
     each = lines.select(*ORDER, F.posexplode(F.array("a", "b", "c", "e")).alias("side", "half")).where("half IS NOT NULL")
-    shared = each.withColumn("m", F.count("*").over(Window.partitionBy("half"))).where("m > 1")
-    return shared.groupBy(*ORDER).agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("second"))
+    # The halves are written first: then both sides of the join come straight from a shuffle, and Spark splits a hot half.
+    shared = cut(each.groupBy("half").agg(F.count("*").alias("m")).where("m > 1").select("half"))
+    return each.join(shared, "half").groupBy(*ORDER).agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("second"))
 
 
 #: Two odd bases of polynomial hashes modulo 2^64, and the multiplier that spreads code points.
@@ -90,23 +95,23 @@ def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbourhoods(base: DataFrame, lines: DataFrame) -> DataFrame:
-    """d, h, p with a row (v, place) for each hopeful line and its deletions; the line itself (place -1) carries its text.
+    """__d, __h, __p with a row (v, place) for each hopeful line and its deletions; the line itself (place -1) carries its text.
 
     A shared first half puts the edit behind it, a shared second half before it: only those places are deleted."""
-    schema = "d long, h long, p int, v long, place int, line string"
+    schema = "__d long, __h long, __p int, v long, place int, line string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, size = [], 0
-            for d, h, text, wanted in zip(batch["d"].tolist(), batch["h"].tolist(), batch["text"].tolist(), batch["wanted"], strict=True):
+            for d, h, text, wanted in zip(batch["__d"].tolist(), batch["__h"].tolist(), batch["text"].tolist(), batch["__wanted"], strict=True):
                 parts = text.split("\n")
                 for w in wanted:
-                    line = parts[w["p"]].strip(" ")
+                    line = parts[w["__p"]].strip(" ")
                     keys, place = neighbourhood(line)
                     half = (len(line) - 1) // 2
                     take = (place < 0) | (w["first"] & (place >= half)) | (w["second"] & (place < len(line) - half))
                     n = int(take.sum())
-                    out.append((np.full(n, d), np.full(n, h), np.full(n, w["p"], np.int32), keys[take, 0] ^ (keys[take, 1] >> 7), place[take].astype(np.int32), [line] + [None] * (n - 1)))
+                    out.append((np.full(n, d), np.full(n, h), np.full(n, w["__p"], np.int32), keys[take, 0] ^ (keys[take, 1] >> 7), place[take].astype(np.int32), [line] + [None] * (n - 1)))
                     size += n
                     if size > 500_000:
                         yield frame(out)
@@ -116,16 +121,16 @@ def neighbourhoods(base: DataFrame, lines: DataFrame) -> DataFrame:
 
     def frame(parts: list[tuple]) -> pd.DataFrame:
         columns = list(zip(*parts, strict=True))
-        data = {k: np.concatenate(c) for k, c in zip(("d", "h", "p", "v", "place"), columns, strict=False)}
+        data = {k: np.concatenate(c) for k, c in zip((*ORDER, "v", "place"), columns, strict=False)}
         return pd.DataFrame(data | {"line": [x for c in columns[5] for x in c]})
 
-    wanted = hopeful(lines).groupBy("d", "h").agg(F.collect_list(F.struct("p", "first", "second")).alias("wanted"))
+    wanted = hopeful(lines).groupBy("__d", "__h").agg(F.collect_list(F.struct("__p", "first", "second")).alias("__wanted"))
     # All of the documents' columns stay, so that this join and the last one share a single shuffle of the texts.
-    return base.join(wanted, ["d", "h"]).mapInPandas(run, schema)
+    return base.join(wanted, ["__d", "__h"]).mapInPandas(run, schema)
 
 
 def near_duplicates(base: DataFrame, lines: DataFrame) -> DataFrame:
-    """d, h, p of the distinct lines that have an earlier line within one edit."""
+    """__d, __h, __p of the distinct lines that have an earlier line within one edit."""
     variants = neighbourhoods(base, lines)
     slim = variants.select("v", "place", F.struct(*ORDER).alias("at"))
     key = Window.partitionBy("v")
@@ -139,15 +144,15 @@ def near_duplicates(base: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "other_line") <= 1).select("at.*")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with repeated lines removed from `text`, and n_lines, n_removed (both null for a null text)."""
-    lines = cut(distinct_lines(docs))
+    lines = cut(distinct_lines(docs, min_chars))
     base = key_columns(docs.drop("n_lines", "n_removed"))
     kept = lines.select(*ORDER).join(near_duplicates(base, lines), list(ORDER), "left_anti")
-    kept = kept.groupBy("d", "h").agg(F.collect_list("p").alias("__kept"))
-    rows = base.join(kept, ["d", "h"], "left")
+    kept = kept.groupBy("__d", "__h").agg(F.collect_list("__p").alias("__kept"))
+    rows = base.join(kept, ["__d", "__h"], "left")
     parts = F.split("text", "\n")
-    stays = lambda x, i: (F.length(F.trim(x)) < MIN_CHARS) | F.coalesce(F.array_contains("__kept", i), F.lit(False))
+    stays = lambda x, i: (F.length(F.trim(x)) < min_chars) | F.coalesce(F.array_contains("__kept", i), F.lit(False))
     rows = rows.withColumn("__lines", F.filter(parts, stays))
     return rows.select(
         *[F.array_join("__lines", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
