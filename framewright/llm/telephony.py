@@ -5,7 +5,8 @@ ADPCM (4 bits, blocks of a fixed size, each with its own header) decodes step by
 step within a block but across all blocks of a batch at once, so numpy works on
 columns of blocks.  Every function is bounded by one Arrow batch; no shuffle.
 
-Null texts or media count as empty (a payload of one 64-byte unit of zeros).
+Null texts count as empty (a payload of one 64-byte unit of zeros).  Media that are
+null, or no WAV file of a known kind, have null PCM; of ADPCM, whole blocks decode.
 Equal inputs give equal outputs, whatever batch they fall in.  Repeated rows stay.
 """
 
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import cut
+
 RATE, TARGET_RATE, UNIT = 8_000, 16_000, 64
 MULAW, ALAW, ADPCM, PCM = 7, 6, 0x11, 1  # RIFF format tags
 #: Index steps of 4-bit ADPCM codes (the sign bit is apart).
@@ -51,10 +54,10 @@ def alaw_table() -> np.ndarray:
 
 
 def decode_adpcm(data: np.ndarray, block: int = UNIT) -> np.ndarray:
-    """Mono 4-bit ADPCM: (blocks, samples) from bytes whose number is a multiple of `block`.
+    """Mono 4-bit ADPCM: (blocks, samples) from bytes; a last block that isn't whole is left out.
 
     A block is a 16-bit first sample, a step index, a spare byte, then two codes a byte, low half first."""
-    rows = data.reshape(-1, block)
+    rows = data[: len(data) // block * block].reshape(-1, block)
     value = rows[:, 0].astype(np.int32) | rows[:, 1].astype(np.int8).astype(np.int32) << 8
     index = np.minimum(rows[:, 2].astype(np.int32), len(STEPS) - 1)
     steps, moves = np.array(STEPS, np.int32), np.array(INDEX_STEPS, np.int32)
@@ -118,7 +121,7 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     at, tag, rate, align = 12, 0, 0, 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 22 <= len(media):
             tag, _, rate, _, align = struct.unpack_from("<HHIIH", media, at + 8)
         elif name == b"data":
             return tag, rate, align, media[at + 8 : at + 8 + size]
@@ -131,33 +134,39 @@ def expand(tag: int, data: bytes, align: int = UNIT) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if tag in (MULAW, ALAW):
         return (mulaw_table() if tag == MULAW else alaw_table())[raw]
-    if tag == ADPCM:
+    if tag == ADPCM and align > 4:
         return decode_adpcm(raw, align).ravel()
-    return raw.view("<i2") if tag == PCM else raw.astype(np.int16)
+    if tag == PCM:
+        return raw[: len(raw) // 2 * 2].view("<i2")
+    raise ValueError(f"format {tag} with blocks of {align} bytes isn't known")
+
+
+def samples(media: bytes | None, target: int = TARGET_RATE) -> np.ndarray | None:
+    """PCM of a WAV file at `target` Hz; None for null and for what isn't one of a known kind."""
+    try:
+        tag, rate, align, data = read_wav(media or b"")
+        return resample(expand(tag, data, align), rate, target) if rate else None
+    except (ValueError, struct.error):
+        return None
 
 
 def decode_media(df: DataFrame, media: str = "media", target: int = TARGET_RATE) -> DataFrame:
-    """Adds `pcm` (little-endian 16-bit samples at `target` Hz) to rows with a WAV column; null stays null."""
+    """Adds `pcm` (little-endian 16-bit samples at `target` Hz) to rows with a WAV column, to be stored beside it or in its place."""
 
     @F.pandas_udf("binary")
     def pcm(column: pd.Series) -> pd.Series:
-        def one(x: bytes | None) -> bytes | None:
-            if x is None:
-                return None
-            tag, rate, align, data = read_wav(x)
-            return resample(expand(tag, data, align), rate, target).astype("<i2").tobytes()
-
-        return column.map(one)
+        waves = (samples(x, target) for x in column)
+        return pd.Series([None if w is None else w.astype("<i2").tobytes() for w in waves], dtype=object)
 
     return df.withColumn("pcm", pcm(F.col(media)))
 
 
-def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """Adds `out`: each text's UTF-8 bytes, zero-filled to whole units, as the mu-law samples of a WAV file."""
+def store(df: DataFrame, text: str = "text", out: str = "media", tag: int = MULAW) -> DataFrame:
+    """Adds `out`: each text's UTF-8 bytes, zero-filled to whole units, as the mu-law (or A-law) samples of a WAV file."""
 
     @F.pandas_udf("binary")
     def wav(column: pd.Series) -> pd.Series:
-        return column.fillna("").map(lambda t: write_wav(payload_of(t)))
+        return column.fillna("").map(lambda t: write_wav(payload_of(t), tag))
 
     return df.withColumn(out, wav(F.col(text)))
 
@@ -167,8 +176,9 @@ def payload_of(text: str) -> bytes:
     return raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
 
 
-def features(media: list[bytes], target: int = TARGET_RATE) -> list[tuple[bytes, str]]:
-    """(coded samples read back, feature text) of each mu-law file; the ADPCM reading runs across all of them at once."""
+def features(media: list[bytes], target: int = TARGET_RATE) -> list[tuple[bytes, bytes, str]]:
+    """(coded samples read back, resampled PCM, feature text) of each file: its own samples, and its bytes as A-law and as
+    ADPCM samples; the ADPCM reading runs across all files at once."""
     read = [read_wav(m) for m in media]
     blocks = np.array([len(r[3]) // UNIT for r in read])
     wave = decode_adpcm(np.frombuffer(b"".join(r[3] for r in read), np.uint8)).astype(np.int64)
@@ -179,25 +189,30 @@ def features(media: list[bytes], target: int = TARGET_RATE) -> list[tuple[bytes,
         fine = resample(pcm, rate, target)
         wide = fine.astype(np.int64)
         sign = pcm >= 0
-        out.append((data, f"samples={len(pcm)};rms={np.sqrt((pcm.astype(np.int64) ** 2).mean()):.3f};crossings={np.count_nonzero(sign[1:] != sign[:-1])};"
-                          f"rate={target};resampled={len(fine)};peak={np.abs(wide).max()};resampled_rms={np.sqrt((wide**2).mean()):.3f};adpcm_rms={np.sqrt(int(p) / (n * wave.shape[1])):.3f}"))
+        other = expand(ALAW if tag == MULAW else MULAW, data).astype(np.int64)
+        out.append((data, fine.astype("<i2").tobytes(), f"samples={len(pcm)};rms={np.sqrt((pcm.astype(np.int64) ** 2).mean()):.3f};crossings={np.count_nonzero(sign[1:] != sign[:-1])};"
+                          f"rate={target};resampled={len(fine)};peak={np.abs(wide).max()};resampled_rms={np.sqrt((wide**2).mean()):.3f};other_law_rms={np.sqrt((other**2).mean()):.3f};adpcm_rms={np.sqrt(int(p) / (n * wave.shape[1])):.3f}"))
     return out
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text as mu-law audio, reads it back and returns digests and features."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Stores each text as mu-law audio in the shared folder, reads it back and returns digests and features.
+
+    The media table is written; the resampled PCM, eight times as large, exists in the tasks only."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
     names = [x.split()[0] for x in schema.split(", ")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    stored = cut(store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))).drop("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, docs = batch["text"].fillna("").tolist(), batch["doc_id"].tolist()
-            for i in range(0, len(texts), 512):
-                media = [write_wav(payload_of(t)) for t in texts[i : i + 512]]
+            for i in range(0, len(batch), 512):
+                own = batch.iloc[i : i + 512]
+                media = own["media"].tolist()
                 rows = [
-                    (d, len(t.encode()), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f)
-                    for d, t, m, (x, f) in zip(docs[i : i + 512], texts[i : i + 512], media, features(media), strict=True)
+                    (d, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f, len(p), hashlib.sha256(p).hexdigest())
+                    for d, n, m, (x, p, f) in zip(own["doc_id"].tolist(), own["n_bytes"].tolist(), media, features(media), strict=True)
                 ]
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
