@@ -1,12 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text; a template is a short license notice.  A block meets
+A template is a short license notice.  A block is a run of as many words as half as
+many again as the template has, wherever it starts in the text and across line
+breaks, so a notice that is wrapped or has some words put in is found.  A block meets
 a template if it holds at least `threshold` of the template's distinct words.
 The join follows the prefix-filter method: the words of the templates are ordered
 by their count over all documents, rarest first; blocks and templates are sorted
 arrays of those ranks.  A block that qualifies shares a rank of the template's
 prefix (rarest words first), is long enough, and leaves room after the first
-shared position; only what passes these filters is intersected in full.
+shared position.  So an index from prefix words to templates is asked at each such
+word of a text, and only blocks around it are formed, filtered and counted.
 
 Everything runs inside rows (no shuffle of texts); the one aggregate is the word
 count, a row for each template word.  Templates are a parameter, so every literal
@@ -32,8 +35,9 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-THRESHOLD = 0.8
-#: (label, notice) — short public license notices.
+#: Share of a template's distinct words, and words of a block for each word of the template.
+THRESHOLD, SPAN = 0.8, 1.5
+#: (label, notice) — fixed values: short public license notices.
 TEMPLATES = (
     ("notice-gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("notice-lgpl", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"),
@@ -53,6 +57,7 @@ class Template:
     label: str
     words: tuple[str, ...]  # distinct
     need: int  # words that a block must share
+    span: int  # words of a block
 
 
 def lowered(text: Column) -> Column:
@@ -63,8 +68,9 @@ def lowered(text: Column) -> Column:
 def templates_of(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
     out = []
     for label, text in templates:
-        words = tuple(dict.fromkeys(re.findall(WORD, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))))
-        out.append(Template(label, words, max(1, math.ceil(threshold * len(words) - 1e-9))))
+        every = re.findall(WORD, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        words = tuple(dict.fromkeys(every))
+        out.append(Template(label, words, max(1, math.ceil(threshold * len(words) - 1e-9)), math.ceil(SPAN * len(every))))
     return out
 
 
@@ -76,34 +82,47 @@ def global_order(docs: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (count.get(w, 0), w))
 
 
-def containments(text: Column, templates: list[Template], order: list[str]) -> Column:
-    """Distinct structs (label, share) of every template that a line of the text (lower-cased) meets."""
+def containments(words: Column, templates: list[Template], order: list[str]) -> Column:
+    """Structs (label, share) of every template that some block of the words (lower-cased) meets, with its largest share near each prefix word."""
     rank = {w: i for i, w in enumerate(order)}
-    ranked = {t.label: sorted(rank[w] for w in t.words) for t in templates}
-    prefix = {t.label: ranked[t.label][: len(t.words) - t.need + 1] for t in templates}
-    rare = sorted({order[i] for own in prefix.values() for i in own})
-    vocabulary = F.array(*map(F.lit, order))
-    # Lines without any prefix word can't meet a template; they go before anything else is computed.
-    hopeful = F.filter(F.split(text, "\n"), lambda line: F.exists(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: w.isin(rare)))
-    block = lambda line: F.array_sort(F.transform(F.array_intersect(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), vocabulary), lambda w: F.array_position(vocabulary, w).cast("int") - 1))
-    table = F.array(*[F.struct(F.lit(t.label).alias("label"), F.lit(t.need).alias("need"), F.array(*map(F.lit, ranked[t.label])).alias("ranks"), F.array(*map(F.lit, prefix[t.label])).alias("prefix")) for t in templates])
-
-    def met(b: Column) -> Column:
-        def passes(t: Column) -> Column:
-            start = F.array_min(F.array_intersect(F.slice(b, 1, F.greatest(F.size(b) - t["need"] + 1, F.lit(0))), t["prefix"]))  # first shared rank
-            room = 1 + F.least(F.size(b) - F.array_position(b, start), F.size(t["ranks"]) - F.array_position(t["ranks"], start))
-            return (F.size(b) >= t["need"]) & start.isNotNull() & (room >= t["need"]) & (F.size(F.array_intersect(b, t["ranks"])) >= t["need"])
-
-        share = lambda t: F.size(F.array_intersect(b, t["ranks"])) / F.size(t["ranks"])
-        return F.transform(F.filter(table, passes), lambda t: F.struct(t["label"].alias("label"), share(t).alias("share")))
-
-    return F.array_distinct(F.flatten(F.transform(F.transform(hopeful, block), met)))
+    index: dict[str, list[Column]] = {}
+    for t in templates:
+        ranked = sorted(t.words, key=rank.__getitem__)
+        entry = F.struct(F.lit(t.label).alias("label"), F.lit(t.need).alias("need"), F.lit(t.span).alias("span"), F.array(*map(F.lit, ranked)).alias("words"))
+        for w in ranked[: len(ranked) - t.need + 1]:
+            index.setdefault(w, []).append(entry)
+    by_word = F.create_map(*[x for w, own in sorted(index.items()) for x in (F.lit(w), F.array(*own))])
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(index)), i)), lambda i: i.isNotNull())
+    asked = F.flatten(F.transform(places, lambda p: F.transform(F.element_at(by_word, F.get(words, p)), lambda t: F.struct(p.alias("place"), t.alias("t")))))
+
+    def near(x: Column) -> Column:
+        """The template's ranks (from 1; 0 for other words) of the words that share a block with the prefix word."""
+        first = F.greatest(x["place"] - x["t"]["span"] + 1, F.lit(0))
+        around = F.slice(words, first + 1, x["place"] + x["t"]["span"] - first)
+        return F.struct(F.transform(around, lambda w: F.array_position(x["t"]["words"], w).cast("int")).alias("ranks"), (x["place"] - first).alias("at"), x["t"].alias("t"))
+
+    def best(x: Column) -> Column:
+        """The largest number of template words in a block that holds the prefix word (blocks may begin with a template word)."""
+        n, need, span = F.size(x["t"]["words"]), x["t"]["need"], x["t"]["span"]
+
+        def held(start: Column) -> Column:
+            block = F.array_sort(F.array_distinct(F.filter(F.slice(x["ranks"], start + 1, span), lambda r: r > 0)))
+            size, low = F.size(block), F.array_min(block)  # of sorted ranks, all shared: the lowest is the first shared position
+            passes = (size >= need) & (low <= n - need + 1) & (1 + F.least(size - 1, n - low) >= need)
+            return F.when(passes, size)
+
+        starts = F.filter(F.sequence(F.lit(0), x["at"]), lambda s: F.get(x["ranks"], s) > 0)
+        return F.array_max(F.transform(starts, held))
+
+    hopeful = lambda x: F.size(F.array_distinct(F.filter(x["ranks"], lambda r: r > 0))) >= x["t"]["need"]
+    found = F.transform(F.filter(F.transform(asked, near), hopeful), lambda x: F.struct(x["t"]["label"].alias("label"), (best(x) / F.size(x["t"]["words"])).alias("share")))
+    return F.filter(found, lambda m: m["share"].isNotNull())
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each document.
 
-    score: 1 if a phrase occurs, else the largest share of a template that one line holds (0 if none meets the threshold)."""
+    score: 1 if a phrase occurs, else the largest share of a template that a block holds (0 if none meets the threshold)."""
     own = templates_of(templates, threshold)
     order = global_order(docs, sorted({w for t in own for w in t.words}))
     pairs = [(p.split(), label) for p, label in phrases]
@@ -114,7 +133,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(heads), i)), lambda i: i.isNotNull())
     label = lambda i: F.coalesce(*[F.when(F.slice(words, i + 1, len(p)) == F.array(*map(F.lit, p)), F.lit(name)) for p, name in pairs])
     hits = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), label(i).alias("label"))), lambda h: h["label"].isNotNull())
-    rows = rows.withColumn("__hits", hits).withColumn("__met", containments(F.col("__text"), own, order))
+    rows = rows.withColumn("__hits", hits).withColumn("__met", containments(words, own, order))
     places, base = F.transform("__hits", lambda h: h["at"]), F.transform("__hits", lambda h: h["label"])
     every = F.concat(base, F.transform("__met", lambda m: m["label"]))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
@@ -127,22 +146,24 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
 
 
 def sql() -> str:
-    """The same result in SQL: phrases by position, and every line against every template."""
+    """The same result in SQL: phrases by position, and every block that begins with a template's word against that template."""
     q = lambda s: "'" + s + "'"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda x: f"translate(coalesce({x}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     cases = " ".join(f"WHEN list_slice(words, i, i + {len(p.split()) - 1}) = [{', '.join(map(q, p.split()))}] THEN {q(label)}" for p, label in PHRASES)
     heads = ", ".join(q(p.split()[0]) for p, _ in PHRASES)
-    templates = ", ".join(f"({q(t.label)}, [{', '.join(map(q, t.words))}], {t.need})" for t in templates_of())
+    templates = ", ".join(f"({q(t.label)}, [{', '.join(map(q, t.words))}], {t.need}, {t.span})" for t in templates_of())
+    vocabulary = ", ".join(map(q, sorted({w for t in templates_of() for w in t.words})))
     return f"""
 WITH d AS (SELECT doc_id, {low('text')} AS t, regexp_extract_all({low('text')}, '{word}') AS words FROM documents),
 h AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, i, CASE {cases} END AS label
       FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) WHERE words[i] IN ({heads})) WHERE label IS NOT NULL),
 p AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
-tpl(label, tokens, need) AS (VALUES {templates}),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS tokens FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-c AS (SELECT doc_id, label, max(len(list_intersect(l.tokens, tpl.tokens)) / len(tpl.tokens)) AS share FROM l, tpl
-      WHERE len(list_intersect(l.tokens, tpl.tokens)) >= need GROUP BY doc_id, label),
+tpl(label, tokens, need, span) AS (VALUES {templates}),
+b AS (SELECT doc_id, i, list_slice(words, i, i + {max(t.span for t in templates_of()) - 1}) AS block
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) WHERE words[i] IN ({vocabulary})),
+c AS (SELECT doc_id, label, max(n / len(tokens)) AS share
+      FROM (SELECT doc_id, label, tokens, need, len(list_intersect(list_slice(block, 1, span), tokens)) AS n FROM b, tpl WHERE list_contains(tokens, block[1])) WHERE n >= need GROUP BY doc_id, label),
 m AS (SELECT doc_id, max(share) AS share FROM c GROUP BY doc_id),
 e AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM c) GROUP BY doc_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
