@@ -159,6 +159,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str]], dict[str, str]]:
         return 0
 
     at, end = 0, len(page)
+    unclosed: set[str] = set()  # raw elements whose end doesn't come any more
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
@@ -182,7 +183,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str]], dict[str, str]]:
             elif k := find((tag,), BLOCK):
                 close(k)
         elif tag in RAW:
-            done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            done = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if not done:
+                unclosed.add(tag)
             if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 at = done.end() if done else (end if tag in ("script", "style") else at)
         elif tag in VOID:

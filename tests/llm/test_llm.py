@@ -79,6 +79,8 @@ def test_licenses_against_brute_force(spark):
         words = r.choice(notes).split()
         for _ in range(r.randrange(4)):
             words.pop(r.randrange(len(words)))
+        if i % 3 == 0:
+            words = [w + r.choice(["", "", "\n", "\n# ", " and"]) for w in words]
         texts.append(f"Some words first.\n{' '.join(words)}\nMIT  License, the CC-BY\x00mit license" if i % 2 else " ".join(words))
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,10 +89,9 @@ def test_licenses_against_brute_force(spark):
         words = re.findall(licenses.WORD, low)
         hits = [(k, label) for k in range(len(words)) for p, label in licenses.PHRASES if words[k : k + len(p.split())] == p.split()]
         met = {}
-        for line in low.split("\n"):
-            own = set(re.findall(licenses.WORD, line))
-            for x in licenses.templates_of():
-                share = len(own & set(x.words)) / len(x.words)
+        for x in licenses.templates_of():
+            for k in range(len(words)):
+                share = len(set(words[k : k + x.span]) & set(x.words)) / len(x.words)
                 if share >= licenses.THRESHOLD - 1e-9:
                     met[x.label] = max(met.get(x.label, 0), share)
         assert got[i]["n_words"] == len(words) and got[i]["n_base"] == len(hits)
@@ -99,6 +100,13 @@ def test_licenses_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(1.0 if hits else max(met.values(), default=0.0))
 
 
+def test_wrapped_notice_and_scattered_words(spark):
+    grant = "Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n * of this software and associated documentation files"
+    scattered = (" filler" * 9).join(grant.replace("*", " ").split())
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(1, grant), (2, scattered), (3, "x " * 5000 + grant + " y" * 5000)], "doc_id long, text string")).collect()}
+    assert got == {1: "notice-mit-grant", 2: "", 3: "notice-mit-grant"}
+
+
 # ---------------------------------------------------------------- 2 toxicity
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -125,6 +133,9 @@ def test_toxicity_learns_and_holds_out(spark):
     flipped = spark.createDataFrame([(i, q, 1 - t if got[i]["held_out"] else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
     assert {x["doc_id"]: x["score"] for x in toxicity.score(d, flipped).collect()} == pytest.approx({k: v["score"] for k, v in got.items()})
     assert toxicity.score(d, lab.limit(0)).where("predicted = 1").count() == 0
+    assert toxicity.score(d.limit(0), lab).count() == 0
+    clash = d.selectExpr("doc_id", "text", "'x' AS score", "'y' AS held_out", "1 AS predicted", "'z' AS __text")
+    assert {x["doc_id"]: x["score"] for x in toxicity.score(clash, lab).collect()} == pytest.approx({k: v["score"] for k, v in got.items()})
     kept = toxicity.keep_clean(d.withColumn("score", d.doc_id), lab)
     assert kept.columns == ["doc_id", "text", "score"] and 1002 not in {x["doc_id"] for x in kept.collect()}
 
@@ -153,6 +164,27 @@ def test_toxicity_gradients():
         assert grads[name][at] == pytest.approx((up - down) / (2 * step), rel=0.02, abs=2e-4), name
 
 
+def test_scores_one_window_at_a_time():
+    """The scorer's batches, memo and layout against the network on each window by itself."""
+    net, r = toxicity.Network(5), random.Random(5)
+    texts = ["", "one", *(" ".join(r.choice("abcdefgh") * r.randrange(1, 6) for _ in range(n)) for n in (5, 32, 33, 47, 48, 49, 300, 2000))]
+    got = toxicity.Scorer(net).scores(texts, block=7)
+    for t, score in zip(texts, got, strict=True):
+        words, best = toxicity.FIND(t.lower()), -np.inf
+        for s, e in toxicity.windows_of(len(words)):
+            own = sorted(set(words[s:e])) or ["any"]
+            index = np.array([[own.index(w)] for w in words[s:e]] or [[0]])
+            live = None if e > s else np.zeros((1, 1), np.float32)
+            best = max(best, float(net.forward(net.shares(net.vectors(own)), index, live)[0]))
+        assert score == pytest.approx(float(toxicity.sigmoid(np.float64(best))), abs=1e-5)
+
+
+@given(st.integers(17, 400), st.integers(1, 17), st.data())
+def test_any_passage_lies_in_a_window_whole(n, size, data):
+    at = data.draw(st.integers(0, n - size))
+    assert any(s <= at and at + size <= e for s, e in toxicity.windows_of(n))
+
+
 @given(st.integers(0, 500))
 def test_windows_cover_everything(n):
     own = toxicity.windows_of(n)
@@ -393,6 +425,37 @@ def test_parser_never_fails(page):
     assert all(t == " ".join(t.split()) and t for t, _, _ in blocks)
 
 
+def test_importances_by_brute_force(spark):
+    """Evidence of each block of a small site, from its definition: entropies and counts over pages of different text."""
+    from math import log
+
+    r = random.Random(15)
+    page = lambda i: "<body>" + f"<div class='a'>{r.choice(['Top', 'Up', 'High'])}</div>" + ("<div class='b'><p>Same words</p></div>" if i % 2 else "<div class='b'><p>Same words</p><ul><li>x</li></ul></div>") + f"<p>Own {i}</p></body>"
+    pages = [(i, f"http://site.example/{i}", page(i)) for i in range(9)]
+    df = spark.createDataFrame([*pages, (99, "http://site.example/copy", pages[0][2])], "page_id long, url string, html string")
+    tree = html_tree.parsed(df)
+    got = {(x["node"], x["hash"]): x["evidence"] for x in html_tree.importances(tree).collect()}
+    rows = {x["page_id"]: x for x in tree.where("page_id < 99").collect()}
+    shapes, texts = {}, Counter()
+    for x in rows.values():
+        for n, s in zip(x["style_nodes"], x["style_hashes"], strict=True):
+            shapes.setdefault(n, Counter())[s] += 1
+        texts.update(set(zip(x["feature_nodes"], x["feature_hashes"], strict=True)))
+    assert any(c > 1 for c in texts.values())
+    for (node, text), c in texts.items():
+        if c > 1:
+            m = sum(shapes[node].values())
+            presentation = -sum(k / m * log(k / m) for k in shapes[node].values()) / log(m)
+            content = 1 - log(c) / log(m)
+            assert got[(node, text)] == pytest.approx(0.5 + (0.9 * content + 0.1 * presentation - 0.5) * (1 - 1 / m))
+
+
+def test_pages_with_clashing_columns_and_long_ones(spark):
+    rows = [(1, "http://h.example/a", PAGE, 1, "x"), (2, "http://h.example/b", "<p>" + "word " * 200_000 + "</p>" + "<svg>" * 20_000, 2, "y")]
+    out = {r["page_id"]: r for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long, uid string")).collect()}
+    assert out[1]["text"].startswith("A & B") and out[2]["n_chars"] == 999_999
+
+
 # ---------------------------------------------------------------- 6 n-gram join
 
 def classes_by_brute_force(texts: dict) -> dict:
@@ -431,22 +494,57 @@ def test_classes_against_brute_force(spark, monkeypatch):
     # Tiny leaves and blocks take the paths of large groups.
     monkeypatch.setattr(ngram_join, "LEAF", 2)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "CELL", 2)
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.classes(df).collect()} == want
     kept = {r["doc_id"] for r in ngram_join.keep_one(df).collect()}
     assert kept == {c for c, _ in want.values()}
 
 
+def test_ids_that_repeat_and_are_missing(spark):
+    """Rows of one id with different texts, and rows without ids, are documents of their own."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, "quite another text under the same id", "b"), (2, long + " end", "c"), (None, "no id and its own text", "d"), (None, long, "e"), (1, long, "f"), (None, "no id and its own text", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    kept = ngram_join.keep_one(df).collect()
+    assert sorted(r["text"] for r in kept) == sorted({rows[0][1], rows[1][1], rows[3][1]}) and {r["doc_id"] for r in kept if r["text"] == long} == {1}
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.classes(df).collect())
+    assert got == Counter([(1, 1, 3), (1, 1, 0), (2, 1, 3), (None, None, 1), (None, 1, 3), (1, 1, 3), (None, None, 1)])
+
+
 def test_candidates_reach_their_recall_in_full_buckets(spark, monkeypatch):
     """Pairs of similarity 0.8, all of whose buckets are too large down to the last level."""
     monkeypatch.setattr(ngram_join, "LEAF", 1)
     r, n = np.random.default_rng(6), 4000
-    first = r.integers(-(2**31), 2**31, (n, ngram_join.SALT.shape[1]))
+    first = r.integers(-(2**31), 2**31, (n, ngram_join.TOKENS))
     second = np.where(r.random(first.shape) < 0.8, first, r.integers(-(2**31), 2**31, first.shape))
     nodes = spark.createDataFrame([(i, 100, x) for i, x in enumerate(np.concatenate([first, second]).tolist())], "node long, size long, sketch array<int>")
     found = {(x["b"], x["a"]) for x in ngram_join.candidate_edges(nodes).collect()}
     assert sum((i, n + i) in found for i in range(n)) == n
 
 
+def test_runs_follow_the_target(monkeypatch):
+    """The chance that a pair shares a path, by playing it; more runs for more depth, less similarity and less to miss."""
+    r, depth, share, n = random.Random(3), 4, 0.8, 40_000
+
+    def together(level: int) -> bool:
+        return level == depth or any(r.random() < share and together(level + 1) for _ in range(1 + (r.random() < 1 / ngram_join.BRANCH)))
+
+    assert abs(sum(together(0) for _ in range(n)) / n - ngram_join.meets(depth, share)) < 0.01
+    assert ngram_join.runs_for(1) < ngram_join.runs_for(3) < ngram_join.runs_for(3, 0.6) and ngram_join.runs_for(2, miss=1e-2) < ngram_join.runs_for(2, miss=1e-4)
+
+
+def test_linked_against_all_pairs():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1000, (12, ngram_join.TOKENS))
+    sketch = np.concatenate([np.where(r.random(b.shape) < 0.8, b, r.integers(1000, 2000, b.shape))[None] for b in base for _ in range(8)])
+    nodes, size = r.permutation(len(sketch)), np.full(len(sketch), 50)
+    near = (sketch[:, None] == sketch[None]).sum(axis=2) >= 40
+    label = ngram_join.labels_of(near)
+    want = {(int(n), int(nodes[label == k].min())) for k in set(label.tolist()) for n in nodes[label == k]}
+    got = ngram_join.linked(nodes, size, sketch, 40, 0.8)
+    assert {tuple(x) for x in got.tolist()} == {(a, b) for a, b in want if a != b}
+
+
 def test_overlaps_both_ways(monkeypatch):
     r = np.random.default_rng(7)
     core = r.integers(0, 2**40, 120)
@@ -482,8 +580,23 @@ def test_url_rules(spark):
         best = max(fits, default=(0, None, "block" if bad else "allow"))
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best[1], best[2]), u
     assert url_filters.judge(rows.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        url_filters.rules_of([("block", f"h{i}.example", "/") for i in range(url_filters.MAX_RULES + 1)], ())
+    again = url_filters.judge(rows.union(rows)).collect()
+    assert Counter(map(str, again)) == Counter({str(r): 2 for r in got.values()})
+
+
+def test_many_url_rules(spark, monkeypatch):
+    """Rules in the expression and rules in a table judge alike."""
+    r = random.Random(12)
+    hosts = [("block" if i % 3 else "allow", f"h{i % 40}.example" if i % 2 else f"s{i}.h{i % 40}.example", f"/p{i % 7}/" if i % 5 else "/") for i in range(300)]
+    hosts = list({(h, p): (v, h, p) for v, h, p in hosts}.values())
+    patterns = [(f"w{i}", (f"w{i}",), url_filters.EDGE[0] + f"w{i}" + url_filters.EDGE[1]) for i in range(60)] + [("part", ("part",), "part[0-9]")]
+    urls = [f"http://s{r.randrange(300)}.h{r.randrange(45)}.example/p{r.randrange(9)}/w{r.randrange(90)}/x" for _ in range(300)] + ["http://a.example/apart7", "http://h1.example/" + "long/" * 3000, None, ""]
+    pages = spark.createDataFrame([(i % 200, u, "clash") for i, u in enumerate(urls * 2)], "page_id long, url string, rule string")
+    rules = url_filters.rules_of(hosts, patterns)
+    want = url_filters.judge(pages, rules)
+    assert want.where("rule IS NOT NULL").count() and want.where("pattern = 'part'").count() == 2
+    monkeypatch.setattr(url_filters, "LITERAL", 10)
+    assert same(url_filters.judge(pages, rules), want)
 
 
 def test_patterns_without_whole_tokens(spark):
@@ -542,10 +655,35 @@ def test_media_round_trip(spark, docs):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     stored = telephony.decode_media(telephony.store(docs)).where("doc_id = 5").first()
+    for i, t, _ in AWKWARD:
+        payload = telephony.payload_of(t or "")
+        media = telephony.write_wav(payload)
+        pcm = telephony.resample(telephony.mulaw_table()[np.frombuffer(payload, np.uint8)], 8000, 16000).astype("<i2").tobytes()
+        read = lambda tag, payload=payload: telephony.expand(tag, payload).astype(float)
+        rms = lambda x: f"{np.sqrt((x**2).mean()):.3f}"
+        mu, sign = read(telephony.MULAW), read(telephony.MULAW) >= 0
+        fine = np.frombuffer(pcm, "<i2").astype(float)
+        assert (rows[i]["media_bytes"], rows[i]["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert (rows[i]["pcm_bytes"], rows[i]["pcm_sha256"]) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+        want = {"samples": str(len(mu)), "rms": rms(mu), "crossings": str((sign[1:] != sign[:-1]).sum()), "rate": "16000", "resampled": str(len(fine)), "peak": str(int(np.abs(fine).max())), "resampled_rms": rms(fine), "other_law_rms": rms(read(telephony.ALAW)), "adpcm_rms": rms(read(telephony.ADPCM))}
+        assert dict(x.split("=") for x in rows[i]["feature"].split(";")) == want
     tag, rate, _, data = telephony.read_wav(bytes(stored["media"]))
     assert (tag, rate, data.rstrip(b"\0")) == (7, 8000, b"short") and len(stored["pcm"]) == 2 * 2 * 64
 
 
+def test_laws_and_bad_media(spark):
+    """Both laws decode through their tables, whole ADPCM blocks decode, and what is no such file has no PCM."""
+    raw = bytes(range(256))
+    files = {1: telephony.write_wav(raw, telephony.ALAW), 2: telephony.write_wav(raw), 3: telephony.write_wav(raw[:150], telephony.ADPCM, align=64), 4: telephony.write_wav(raw[:101], telephony.PCM, bits=16, align=2),
+             5: b"", 6: None, 7: b"RIFF....WAVEfmt ", 8: telephony.write_wav(raw, 99), 9: raw, 10: telephony.write_wav(raw)[:30], 11: telephony.write_wav(b"")}
+    df = spark.createDataFrame(list(files.items()), "id int, media binary")
+    got = {r["id"]: None if r["pcm"] is None else np.frombuffer(bytes(r["pcm"]), "<i2") for r in telephony.decode_media(df, target=8000).collect()}
+    assert got[1].tolist() == telephony.alaw_table().tolist() and got[2].tolist() == telephony.mulaw_table().tolist()
+    assert len(got[3]) == 2 * 121 and len(got[4]) == 50 and len(got[11]) == 0 and all(got[i] is None for i in (5, 6, 7, 8, 9, 10))
+    law = telephony.decode_media(telephony.store(spark.createDataFrame([("short",)], "text string"), tag=telephony.ALAW), target=8000).first()
+    assert np.frombuffer(bytes(law["pcm"]), "<i2")[:5].tolist() == telephony.alaw_table()[list(b"short")].tolist()
+
+
 # ---------------------------------------------------------------- 9 lines
 
 def edit(a: str, b: str) -> int:
@@ -585,6 +723,17 @@ def test_lines_against_brute_force(spark):
     assert {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup(df).collect()} == want
 
 
+def test_lines_keep_other_columns(spark):
+    """Columns of any name pass through, repeated rows and rows without ids too, and short lines are compared if asked for."""
+    rows = [(1, "a line that is long enough\nshort", "x", 7, "p"), (2, "a line that is long enough!\nshort", "y", 8, "q"), (2, "a line that is long enough!\nshort", "y", 8, "q"), (None, None, "z", 9, None), (3, "", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string, h long, n_lines string")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "d", "h", "n_lines", "n_removed"]
+    assert Counter((r["doc_id"], r["text"], r["d"], r["h"]) for r in out.collect()) == Counter([(1, rows[0][1], "x", 7), (2, "short", "y", 8), (2, "short", "y", 8), (None, None, "z", 9), (3, "", None, None)])
+    short = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, min_chars=1).collect()}
+    assert short == {1: rows[0][1], 2: "", None: None, 3: ""}
+
+
 @settings(deadline=None)
 @given(st.text(min_size=1, max_size=30))
 def test_neighbourhood_keys(line):
