@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions import ranges
+
 KEYS = ["seg_id", "frame_no"]
 
 
@@ -19,15 +21,28 @@ def trim(df: DataFrame, first: int, last: int) -> DataFrame:
     return with_length(df).where((F.col("frame_no") >= first) & (F.col("frame_no") < F.col("n") - last)).withColumn("frame_no", F.col("frame_no") - first).drop("n")
 
 
-def project(df: DataFrame, columns: list[int]) -> DataFrame:
-    """Feature columns in the given order, with repeats."""
-    return df.withColumn("features", F.array(*[F.get("features", i) for i in columns]))
+def project(df: DataFrame, columns: list[int], field: str = "features") -> DataFrame:
+    """Columns of the features (or of another array, such as labels) in the given order, with repeats."""
+    return df.withColumn(field, F.array(*[F.get(field, i) for i in columns]))
+
+
+def zipped(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both archives frame by frame (all of a's columns, b's features as __f); a frame that only one of them has is an error."""
+    left, right = a.withColumn("__a", F.lit(True)), b.select(*KEYS, F.col("features").alias("__f"), F.lit(True).alias("__b"))
+    both = left.join(right, KEYS, "full")
+    where = F.concat(F.lit("archives differ at segment "), F.col("seg_id").cast("string"), F.lit(", frame "), F.col("frame_no").cast("string"))
+    fits = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(where).cast("boolean")).otherwise(F.lit(True))
+    return both.where(fits).drop("__a", "__b")
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Features of both archives side by side, frame by frame."""
-    other = b.select(*KEYS, F.col("features").alias("__f"))
-    return a.join(other, KEYS).withColumn("features", F.concat("features", "__f")).drop("__f")
+    return zipped(a, b).withColumn("features", F.concat("features", "__f")).drop("__f")
+
+
+def with_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of one archive beside labels (seg_id, frame_no, label) of another, frame by frame."""
+    return zipped(features.drop("label"), labels.select(*KEYS, F.col("label").alias("features"))).withColumnRenamed("__f", "label")
 
 
 def mismatched(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -36,26 +51,43 @@ def mismatched(a: DataFrame, b: DataFrame) -> DataFrame:
     return n[0].join(n[1], "seg_id", "full").where(~F.col("n_a").eqNullSafe(F.col("n_b")))
 
 
-def diff(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    """seg_id, frame_no, column and both values where features differ by more than the tolerance."""
-    both = a.select(*KEYS, F.col("features").alias("x")).join(b.select(*KEYS, F.col("features").alias("y")), KEYS)
+def diff(a: DataFrame, b: DataFrame, tolerance: float, first: bool = False) -> DataFrame:
+    """seg_id, frame_no, column and both values where features differ by more than the tolerance; `first`: only the first such place."""
+    both = zipped(a.select(*KEYS, "features"), b).select(*KEYS, F.col("features").alias("x"), F.col("__f").alias("y"))
     rows = both.select(*KEYS, F.posexplode(F.arrays_zip("x", "y")).alias("col", "v")).select(*KEYS, "col", F.col("v.x").alias("a"), F.col("v.y").alias("b"))
-    return rows.where(F.abs(F.col("a") - F.col("b")) > tolerance)
+    rows = rows.where(F.abs(F.col("a") - F.col("b")) > tolerance)
+    return rows.orderBy(*KEYS, "col").limit(1) if first else rows
 
 
 def concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """b's segments after a's (ids offset by a's largest + 1)."""
-    offset = a.agg((F.coalesce(F.max("seg_id"), F.lit(-1)) + 1).alias("__o"))  # one row
-    moved = b.join(F.broadcast(offset)).withColumn("seg_id", F.col("seg_id") + F.col("__o")).drop("__o")
-    return a.unionByName(moved)
+    """b's segments after a's (ids offset by a's largest + 1); an error if their features aren't equally wide."""
+    offset = a.agg((F.coalesce(F.max("seg_id"), F.lit(-1)) + 1).alias("__o"), F.max(F.size("features")).alias("__w"))  # one row
+    moved = b.join(F.broadcast(offset)).withColumn("seg_id", F.col("seg_id") + F.col("__o"))
+    fits = F.when(F.size("features") != F.col("__w"), F.raise_error(F.lit("archives of different widths")).cast("boolean")).otherwise(F.lit(True))
+    return a.unionByName(moved.where(fits).drop("__o", "__w"))
+
+
+#: Division by zero gives a signed infinity, 0/0 is not a number.
+OPERATIONS = {
+    "add": lambda x, y: x + y,
+    "sub": lambda x, y: x - y,
+    "mul": lambda x, y: x * y,
+    "div": lambda x, y: F.when(y != 0, x / F.when(y != 0, y)).when((x == 0) | F.isnan(x), float("nan")).otherwise(F.signum(x) * float("inf")),
+}
+
+
+def arithmetic(archives: list[DataFrame], gains: list[float], operations: list[str], plus: float = 0.0) -> DataFrame:
+    """g1 a (op) g2 b (op) ... + plus, from left to right, feature by feature, over any number of archives of equal frames."""
+    rows = archives[0].withColumn("features", F.transform("features", lambda x: x * gains[0]))
+    for other, gain, op in zip(archives[1:], gains[1:], operations, strict=True):
+        scaled = F.transform("__f", lambda x: x * gain)  # noqa: B023
+        rows = zipped(rows, other).withColumn("features", F.zip_with("features", scaled, OPERATIONS[op])).drop("__f")
+    return rows.withColumn("features", F.transform("features", lambda x: x + plus))
 
 
 def combo(a: DataFrame, b: DataFrame, op: str, scale_a: float = 1.0, scale_b: float = 1.0, plus: float = 0.0) -> DataFrame:
-    """scale_a * a (op) scale_b * b + plus, feature by feature; division by zero gives a signed infinity, 0/0 is not a number."""
-    x_over_y = lambda x, y: F.when(y != 0, x / F.when(y != 0, y)).when(x == 0, float("nan")).otherwise(F.signum(x) * float("inf"))
-    does = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": x_over_y}[op]
-    both = a.join(b.select(*KEYS, F.col("features").alias("__f")), KEYS)
-    return both.withColumn("features", F.zip_with("features", "__f", lambda x, y: does(x * scale_a, y * scale_b) + plus)).drop("__f")
+    """scale_a * a (op) scale_b * b + plus, feature by feature."""
+    return arithmetic([a, b], [scale_a, scale_b], [op], plus)
 
 
 def patch_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -106,3 +138,65 @@ def info(df: DataFrame) -> DataFrame:
     """One row: segments, frames, feature and longest-segment sizes."""
     per = df.groupBy("seg_id").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("w"))
     return per.agg(F.count("*").alias("n_segs"), F.sum("n").alias("n_frames"), F.max("w").cast("long").alias("n_features"), F.max("n").alias("longest"))
+
+
+def contiguous(df: DataFrame, first: int, last: int) -> DataFrame:
+    """Segments first..last, renumbered from 0."""
+    return df.where(F.col("seg_id").between(first, last)).withColumn("seg_id", F.col("seg_id") - first)
+
+
+def segments_in_order(df: DataFrame, spec: str, n: int) -> DataFrame:
+    """The segments that a range names among 0..n-1, in its order and with its repeats: `place` (item, k) sorts them."""
+    return df.withColumn("place", F.explode(ranges.named(F.col("seg_id").cast("long"), F.lit(n).cast("long"), spec)))
+
+
+def frames_in_order(df: DataFrame, spec: str) -> DataFrame:
+    """The frames that a range names in each segment (`^k` from its own end), in its order and with its repeats, renumbered."""
+    rows = with_length(df).withColumn("__place", F.explode(ranges.named(F.col("frame_no").cast("long"), F.col("n").cast("long"), spec)))
+    order = F.row_number().over(Window.partitionBy("seg_id").orderBy("__place")) - 1
+    return rows.withColumn("frame_no", order).drop("n", "__place")
+
+
+def split(df: DataFrame, spec: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The segments that a range names (to be held out), and the others."""
+    held = F.size(ranges.named(F.col("seg_id").cast("long"), F.lit(n).cast("long"), spec)) > 0
+    return df.where(held), df.where(~held)
+
+
+def columns_apart(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features and labels as archives of their own."""
+    return df.select(*KEYS, "features"), df.select(*KEYS, "label")
+
+
+def accepted(df: DataFrame, classes: int) -> DataFrame:
+    """Frames whose label is a class; the label behind the last class means reject."""
+    return df.where(F.col("label") < classes)
+
+
+def downsample(df: DataFrame, step: int) -> DataFrame:
+    """Every step-th frame, renumbered."""
+    return df.where(F.col("frame_no") % step == 0).withColumn("frame_no", F.floor(F.col("frame_no") / step))
+
+
+def trajectory(df: DataFrame, column: int) -> DataFrame:
+    """One feature of each segment as an array over time."""
+    pairs = F.array_sort(F.collect_list(F.struct("frame_no", F.get("features", column).alias("v"))))
+    return df.groupBy("seg_id").agg(F.transform(pairs, lambda x: x["v"]).alias("values"))
+
+
+def frame_info(df: DataFrame, epochs: int) -> DataFrame:
+    """epoch, seg_id, frame_no, n, last: what a training loop sees of each frame in each pass."""
+    rows = with_length(df).select(*KEYS, "n", (F.col("frame_no") == F.col("n") - 1).alias("last"))
+    return rows.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "*")
+
+
+def adjacent_distinct(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows but those whose value equals the one just before in their group."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    return df.withColumn("__same", ~first & before.eqNullSafe(F.col(value))).where("NOT __same").drop("__same")
+
+
+def with_content(headers: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Headers that have rows under them."""
+    return headers.join(rows.select(key).distinct(), key, "left_semi")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,22 @@ def overlap_edges(nodes: DataFrame, width: int, least: float) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), w.alias("w")).where(F.col("w") >= least)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster names in spark.checkpoint.dir, read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The application's part of the folder that the cluster names in spark.checkpoint.dir; a fresh one where that is unset and all runs on this machine (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,8 +61,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
-def greedy_dedup(nodes: DataFrame, least: float) -> DataFrame:
-    """Within each cluster, in order of node, an interval goes if it overlaps a kept earlier one of its file by `least`.
+def strong_edges(edges: DataFrame, over: float, neighbours: int) -> DataFrame:
+    """Edges (a, b, w) over a weight, at most `neighbours` for each a: those to its smallest nodes.  (The fast clustering's own rule.)"""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    return edges.where(F.col("w") > over).withColumn("__k", rank).where(F.col("__k") <= neighbours).drop("__k")
+
+
+def greedy_dedup(nodes: DataFrame, least: float, order: tuple[str, ...] = ("node",)) -> DataFrame:
+    """Within each cluster, in the given order, an interval goes if it overlaps a kept earlier one of its file by `least`.
 
     The rule depends on order within (cluster, file): rows come sorted to the task that owns the group and pass through
     in batches; only the group's kept intervals are held."""
@@ -75,7 +87,7 @@ def greedy_dedup(nodes: DataFrame, least: float) -> DataFrame:
             yield batch[take]
 
     columns = ["cluster", "file", "node", "start", "end"]
-    rows = nodes.select(*columns).repartition("cluster", "file").sortWithinPartitions("cluster", "file", "node")
+    rows = nodes.select(*columns).repartition("cluster", "file").sortWithinPartitions("cluster", "file", *order)
     return rows.mapInPandas(keep, rows.schema)
 
 

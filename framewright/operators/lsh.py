@@ -51,15 +51,18 @@ def cosine(h: Column, bits: int) -> Column:
     return F.cos(F.lit(math.pi) * h / F.lit(float(bits)))
 
 
-def pairs(df: DataFrame, key: str, blocks: int = 8) -> DataFrame:
-    """Every unordered pair of rows once (struct columns a and b, a's key the smaller), as an equi-join on a grid of hash blocks.
+def pairs(df: DataFrame, key: str, width: int = 2_000) -> DataFrame:
+    """Every unordered pair of rows once (struct columns a and b, a's key the smaller), as an equi-join of hash blocks.
 
-    This is the reference's all-pairs evaluation; its output is quadratic by definition, its tasks are not."""
+    All pairs are the result itself, quadratic by definition; a task sees two blocks of about `width` rows at most,
+    however many rows there are."""
+    blocks = max(1, -(-df.count() // width))
     own = F.pmod(F.hash(key), F.lit(blocks))
-    cells = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = df.select(F.struct("*").alias("a"), own.alias("i"), cells.alias("j"))
-    b = df.select(F.struct("*").alias("b"), cells.alias("i"), own.alias("j"))
-    return a.join(b, ["i", "j"]).where(F.col(f"a.{key}") < F.col(f"b.{key}")).select("a", "b")
+    x = df.select(F.struct("*").alias("x"), own.alias("i"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j"))
+    y = df.select(F.struct("*").alias("y"), own.alias("j"), F.explode(F.sequence(F.lit(0), own)).alias("i"))
+    both = x.join(y, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"x.{key}") < F.col(f"y.{key}")))
+    first = F.col(f"x.{key}") < F.col(f"y.{key}")
+    return both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def exact_join(df: DataFrame, key: str, bits: int, threshold: float) -> DataFrame:

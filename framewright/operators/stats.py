@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +46,43 @@ def normalise_all(df: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(s), "dim").withColumn("z", (F.col("v") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).drop("m", "sd")
 
 
+def normalise_to(df: DataFrame, by: list[Column], mean: float, sd: float, least: float = 1e-8) -> DataFrame:
+    """Within groups, to a mean and a deviation; a group without variance is an error."""
+    w = Window.partitionBy("dim", *by)
+    own = F.stddev_pop("v").over(w)
+    fits = F.when(own < least, F.raise_error(F.concat(F.lit("no variance in feature "), F.col("dim").cast("string"))).cast("double")).otherwise(own)
+    return exploded(df).withColumn("z", (F.col("v") - F.avg("v").over(w)) / fits * sd + mean)
+
+
+def norms(df: DataFrame) -> DataFrame:
+    """dim, mean, sd, high_in_sd, low_in_sd, from one pass: what a norms file holds, and how far the extremes lie out."""
+    one = exploded(df).groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.max("v").alias("__hi"), F.min("v").alias("__lo"))
+    out = lambda x: F.when(F.col("sd") > 0, (F.col(x) - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")))
+    return one.select("dim", "mean", "sd", out("__hi").alias("high_in_sd"), out("__lo").alias("low_in_sd"))
+
+
+def self_entropy(df: DataFrame) -> DataFrame:
+    """dim, bits: entropy of each feature as a Gaussian."""
+    return exploded(df).groupBy("dim").agg(F.var_pop("v").alias("__v")).select("dim", (0.5 * F.log2(2 * math.pi * math.e * F.col("__v"))).alias("bits"))
+
+
+def products(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i, j, v: the product of two matrices of cells (i, k, v) and (k, j, v)."""
+    left, right = a.select("i", "k", F.col("v").alias("x")), b.select("k", "j", F.col("v").alias("y"))
+    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def signal_statistics(series: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, mean, sd, rms of a signal."""
+    v = F.col(value)
+    return series.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.sqrt(F.avg(v * v)).alias("rms"))
+
+
+def above(df: DataFrame, least: float) -> DataFrame:
+    """dim, n: how many values of each feature exceed `least`."""
+    return exploded(df).groupBy("dim").agg(F.count(F.when(F.col("v") > least, 1)).alias("n"))
+
+
 def uniformise(df: DataFrame, bins: int) -> DataFrame:
     """Each value's place (0 to 1) in the piecewise-linear distribution of its feature."""
     rows = exploded(df)
@@ -148,3 +187,11 @@ def segment_posteriors(df: DataFrame, confidence: Column) -> DataFrame:
     rows = df.select("seg_id", confidence.alias("w"), F.posexplode("p").alias("cls", "v"))
     per = rows.groupBy("seg_id", "cls").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"), (F.sum(F.col("w") * F.col("v") * F.col("v")) / F.sum("w")).alias("square"))
     return per.select("seg_id", "cls", "mean", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("sd"))
+
+
+def segment_classes(df: DataFrame, confidence: Column) -> DataFrame:
+    """seg_id, best (the class of the largest mean, the first of equals), label (the segment's commonest, the lowest of equals), right."""
+    per = segment_posteriors(df, confidence)
+    best = per.groupBy("seg_id").agg(F.min(F.struct((-F.col("mean")).alias("m"), "cls"))["cls"].alias("best"))
+    labels = df.groupBy("seg_id", "label").agg(F.count("*").alias("n")).groupBy("seg_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
+    return best.join(labels, "seg_id").withColumn("right", F.col("best") == F.col("label"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def in_order() -> WindowSpec:
@@ -48,30 +51,32 @@ def double_delta_weights(width: int) -> list[float]:
     return out
 
 
-def online_norm(values: Column, alpha_mean: float, alpha_var: float) -> Column:
-    """A fold over one segment's values in order: an array of (x - mean) / deviation with running mean and variance, started at 0 and 1."""
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("v"), F.array().cast("array<double>").alias("out"))
+def online_norm(series: DataFrame, by: str, order: list[str], value: str, alpha_mean: float, alpha_var: float) -> DataFrame:
+    """Adds y: each value against its group's running mean and deviation, started at 0 and 1.
 
-    def step(s: Column, x: Column) -> Column:
-        m = (1 - alpha_mean) * s["m"] + alpha_mean * x
-        v = (1 - alpha_var) * s["v"] + alpha_var * (x - m) * (x - m)
-        return F.struct(m.alias("m"), v.alias("v"), F.concat(s["out"], F.array((x - m) / F.sqrt(v))).alias("out"))
+    The rule depends on order: rows come sorted to the task that owns the group and pass through in Arrow batches; two
+    numbers are all that is held, so a group may be of any length."""
+    rows = series.repartition(by).sortWithinPartitions(by, *order)
 
-    return F.aggregate(values, start, step, lambda s: s["out"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, m, v = None, 0.0, 1.0
+        for batch in batches:
+            out = []
+            for key, x in zip(batch[by].tolist(), batch[value].tolist(), strict=True):
+                if key != now:
+                    now, m, v = key, 0.0, 1.0
+                m = (1 - alpha_mean) * m + alpha_mean * x
+                v = (1 - alpha_var) * v + alpha_var * (x - m) * (x - m)
+                out.append((x - m) / v**0.5)
+            yield batch.assign(y=out)
 
+    return rows.mapInPandas(fold, T.StructType([*[f for f in rows.schema.fields if f.name != "y"], T.StructField("y", T.DoubleType())]))
 
-def online_norm_events(events: DataFrame, alpha_mean: float = 0.1, alpha_var: float = 0.1) -> DataFrame:
-    """event_id, y: each user's values normalised as they come.  A user's series is one sorted Arrow group, folded in numpy-free Python floats."""
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts", "event_id"])
-        m, v, out = 0.0, 1.0, []
-        for x in own["value"].tolist():
-            m = (1 - alpha_mean) * m + alpha_mean * x
-            v = (1 - alpha_var) * v + alpha_var * (x - m) * (x - m)
-            out.append((x - m) / v**0.5)
-        return pd.DataFrame({"event_id": own["event_id"], "y": out})
 
-    return events.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandas(fold, "event_id long, y double")
+def online_norm_events(events: DataFrame, alpha_mean: float = 0.1, alpha_var: float = 0.1) -> DataFrame:
+    """event_id, y: each user's values normalised as they come."""
+    rows = events.select("user_id", "ts", "event_id", "value")
+    return online_norm(rows, "user_id", ["ts", "event_id"], "value", alpha_mean, alpha_var).select("event_id", "y")
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], active: Column) -> DataFrame:
@@ -96,3 +101,61 @@ def inside(frames: DataFrame, intervals: DataFrame, by: list[str], number: str,
     bins = intervals.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start_frame") / width), F.floor(F.col("end_frame") / width))))
     rows = frames.withColumn("__bin", F.floor(F.col(number) / width)).join(bins.select(*by, "__bin", "start_frame", "end_frame"), [*by, "__bin"])
     return rows.where(F.col(number).between(F.col("start_frame"), F.col("end_frame"))).drop("__bin")
+
+
+#: The seven taps of the other double delta.
+SEVEN_TAPS = [2.0, 1.0, -2.0, -2.0, -2.0, 1.0, 2.0]
+
+
+def with_deltas(df: DataFrame, width: int, n: int) -> DataFrame:
+    """Features, their deltas and their double deltas side by side."""
+    weights, reach = [delta_weights(width), double_delta_weights(width)], (width - 1) // 2
+    wide = len(weights[1]) // 2
+    reach = max(reach, wide)
+    rows = clamped(df, reach)
+    value = lambda own, d: sum((F.lit(float(w)) * F.get(F.get("near", reach - len(own) // 2 + k), d) for k, w in enumerate(own) if w), F.lit(0.0))
+    return rows.withColumn("features", F.concat("features", *[F.array(*[value(own, d) for d in range(n)]) for own in weights])).drop("near")
+
+
+def ahead(df: DataFrame, k: int) -> DataFrame:
+    """Adds `ahead`: the features k frames on, null near the end."""
+    return df.withColumn("ahead", F.lead("features", k).over(in_order()))
+
+
+def shuffled(rows: DataFrame, order: list[str], cache: int, seed: int, epoch: int) -> DataFrame:
+    """Adds bucket and place: rows in buckets of `cache` neighbours, in an order drawn anew for each epoch.
+
+    `number` is the row's place in the archive."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed + 12345 * epoch)), *[F.col(c).cast("string") for c in order]))
+    rows = rows.withColumn("bucket", F.floor(F.col("number") / cache))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(key, *order)) - 1)
+
+
+def counted(rows: DataFrame, by: str, order: list[str], value: str, width: int, slide: int) -> DataFrame:
+    """by, start, n, mean: windows of `width` rows every `slide` rows; the last ones may hold fewer."""
+    i = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    own = rows.select(by, i.alias("i"), value)
+    first = F.greatest(F.ceil((F.col("i") - width + 1) / slide), F.lit(0))
+    own = own.withColumn("w", F.explode(F.sequence(first, F.floor(F.col("i") / slide))))
+    return own.groupBy(by, (F.col("w") * slide).alias("start")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def reflected(series: DataFrame, by: str, order: list[str], value: str, width: int, hop: int) -> DataFrame:
+    """by, frame_no, centre, samples: a frame around every hop-th sample, the signal mirrored at both ends (without repeating the end).
+
+    Signals shorter than half a frame repeat their ends."""
+    w = Window.partitionBy(by).orderBy(*order)
+    half = width // 2
+    rows = series.select(by, (F.row_number().over(w) - 1).alias("__i"), F.col(value).alias("__v")).withColumn("__n", F.count("*").over(Window.partitionBy(by)))
+    # A sample serves every frame that reaches it, itself or by its image beyond an end.
+    images = F.array_distinct(F.array(F.col("__i"), -F.col("__i"), 2 * (F.col("__n") - 1) - F.col("__i")))
+    spots = rows.withColumn("__at", F.explode(images)).where((F.col("__at") > -half - 1) & (F.col("__at") < F.col("__n") + width))
+    frame = F.explode(F.sequence(F.ceil((F.col("__at") - (width - half) + 1) / hop), F.floor((F.col("__at") + half) / hop)))
+    spots = spots.withColumn("frame_no", frame).where((F.col("frame_no") >= 0) & (F.col("frame_no") * hop < F.col("__n")))
+    per = spots.groupBy(by, "frame_no").agg(F.array_sort(F.collect_list(F.struct("__at", "__v"))).alias("__s"))
+    return per.select(by, "frame_no", (F.col("frame_no") * hop).alias("centre"), F.transform("__s", lambda x: x["__v"]).alias("samples"))
+
+
+def ranks_in_time(events: DataFrame, by: str, time: str) -> DataFrame:
+    """Adds node: the place of each distinct time in its group's order, as a lattice numbers its nodes."""
+    return events.withColumn("node", F.dense_rank().over(Window.partitionBy(by).orderBy(time)) - 1)

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.codecs import mulaw_samples
+
 ROWS = 10_000
 HEADER = 32_768  # bytes of an archive's text header
 FRAMES = "path string, frame_no long, features array<double>"
@@ -34,19 +36,29 @@ def _decoded(spark: SparkSession, path: str | list[str], decode, schema: str = F
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def raw_matrix(spark: SparkSession, path, width: int, dtype: str = "<f4", skip: int = 0) -> DataFrame:
-    """Rows of `width` numbers after `skip` bytes; an error if the bytes don't divide."""
+def raw_matrix(spark: SparkSession, path, width: int, dtype: str = "<f4", skip: int = 0, first: int = 0, last: int | None = None) -> DataFrame:
+    """Rows of `width` numbers after `skip` bytes, or rows first..last of them, which keep their numbers; an error if the bytes don't divide."""
 
     def decode(content: bytes) -> dict:
         x = np.frombuffer(content, dtype, offset=skip)
         if len(x) % width:
             raise ValueError(f"{len(x)} numbers aren't rows of {width}")
-        x = x.reshape(-1, width).astype(np.float64)
-        return {"frame_no": np.arange(len(x)), "features": x}
+        x = x.reshape(-1, width)[first : None if last is None else last + 1].astype(np.float64)
+        return {"frame_no": np.arange(first, first + len(x)), "features": x}
 
     return _decoded(spark, path, decode)
 
 
+def signatures(spark: SparkSession, path, first: int = 0, last: int | None = None) -> DataFrame:
+    """64-bit signatures first..last of each file: path, frame_no, sig."""
+
+    def decode(content: bytes) -> dict:
+        x = np.frombuffer(content, "<i8")[first : None if last is None else last + 1]
+        return {"frame_no": np.arange(first, first + len(x)), "sig": x}
+
+    return _decoded(spark, path, decode, "path string, frame_no long, sig long")
+
+
 def sized_matrix(spark: SparkSession, path) -> DataFrame:
     """A 32-bit width, then rows of 32-bit floats."""
 
@@ -135,3 +147,97 @@ def matches_text(spark: SparkSession, path) -> DataFrame:
     lines = blocks.select(F.split("b", "\n").alias("l")).select(F.split(F.get("l", 0), " ").alias("h"), F.explode(F.slice("l", 2, 2**30)).alias("row"))
     p = F.split("row", " ")
     return lines.select(F.get("h", 0).alias("f1"), F.get("h", 1).alias("f2"), *[F.get(p, i).cast("int").alias(n) for i, n in enumerate(("xa", "xb", "ya", "yb"))], F.get(p, 4).cast("double").alias("score"), F.get(p, 5).cast("double").alias("rho"))
+
+
+# ---------------------------------------------------------------- text forms
+
+
+def row_text(spark: SparkSession, path, labels: bool = True) -> DataFrame:
+    """Lines `segment frame features label`: seg_id, frame_no, features, label (a token, as it stands)."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(p.alias("p"))
+    width = F.size("p") - (3 if labels else 2)
+    return rows.select(F.get("p", 0).cast("long").alias("seg_id"), F.get("p", 1).cast("long").alias("frame_no"), F.slice("p", 3, width).cast("array<double>").alias("features"), *([F.element_at("p", -1).alias("label")] if labels else []))
+
+
+def mapped_tokens(frames: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Labels by a token map (token, label); a token that it lacks is an error."""
+    rows = frames.withColumnRenamed("label", "token").join(tokens, "token", "left")
+    known = F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("no label for "), F.col("token"))).cast("int")).otherwise(F.col("label"))
+    return rows.withColumn("label", known).drop("token")
+
+
+def sparse_text(spark: SparkSession, path, width: int) -> DataFrame:
+    """Lines `segment frame place:value ...`: seg_id, frame_no, cells (a map) and features (filled up with zeros)."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(p.alias("p"))
+    cells = F.map_from_entries(F.transform(F.filter(F.slice("p", 3, 2**30), lambda c: c != ""), lambda c: F.struct(F.split(c, ":")[0].cast("int"), F.split(c, ":")[1].cast("double"))))
+    rows = rows.select(F.get("p", 0).cast("long").alias("seg_id"), F.get("p", 1).cast("long").alias("frame_no"), cells.alias("cells"))
+    return rows.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("cells", i), F.lit(0.0))))
+
+
+def text_matrix(spark: SparkSession, path) -> DataFrame:
+    """Lines of numbers, a file for each segment: path, frame_no, features."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("frame_no", "line"))
+    return rows.where(F.trim("line") != "").select("path", F.col("frame_no").cast("long").alias("frame_no"), F.split(F.trim("line"), r"\s+").cast("array<double>").alias("features"))
+
+
+def tokens_text(spark: SparkSession, path) -> DataFrame:
+    """The tokens of each file in order: path, place, token."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("place", "token"))
+    return rows.where("token <> ''")
+
+
+def norms_text(spark: SparkSession, path) -> DataFrame:
+    """Lines `feature mean deviation`."""
+    p = F.split("value", " ")
+    return spark.read.text(path).select(F.get(p, 0).cast("int").alias("dim"), F.get(p, 1).cast("double").alias("mean"), F.get(p, 2).cast("double").alias("sd"))
+
+
+def au(spark: SparkSession, path) -> DataFrame:
+    """Sound with a `.snd` header: path, rate, sample_no, channels (mu-law, 8- or 16-bit samples as numbers)."""
+
+    def decode(content: bytes) -> dict:
+        magic, offset, size, coding, rate, channels = struct.unpack_from(">4sIIIII", content)
+        if magic != b".snd" or coding not in (1, 2, 3):
+            raise ValueError("no .snd header of a known coding")
+        data = content[offset:] if size == 0xFFFFFFFF else content[offset : offset + size]
+        x = {1: lambda: mulaw_samples(np.frombuffer(data, np.uint8)), 2: lambda: np.frombuffer(data, np.int8), 3: lambda: np.frombuffer(data, ">i2", count=len(data) // 2)}[coding]().astype(np.float64)
+        x = x[: len(x) // channels * channels].reshape(-1, channels)
+        return {"rate": np.full(len(x), rate), "sample_no": np.arange(len(x)), "channels": x}
+
+    return _decoded(spark, path, decode, "path string, rate long, sample_no long, channels array<double>")
+
+
+# ---------------------------------------------------------------- many files
+
+
+def listed(spark: SparkSession, list_file: str) -> list[str]:
+    """The paths that a list file names, one a line; for any reader that takes paths."""
+    return [r["value"].strip() for r in spark.read.text(list_file).where(F.trim("value") != "").collect()]  # a list of files to read is the reader's argument
+
+
+def logical(frames: DataFrame) -> DataFrame:
+    """Archives of several files as one: segments numbered on from file to file, in the order of their paths."""
+    sizes = frames.groupBy("path").agg((F.max("seg_id") + 1).alias("n"))  # a row for each file
+    starts = sizes.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("__start"))
+    return frames.join(F.broadcast(starts), "path").withColumn("seg_id", F.col("seg_id") + F.col("__start")).drop("__start")
+
+
+def built(matrices: DataFrame, labels: DataFrame) -> DataFrame:
+    """An archive of raw matrices (path, frame_no, features), a segment each in the order of their paths, and labels (row_no, label) by row over all."""
+    sizes = matrices.groupBy("path").agg(F.count("*").alias("n"))  # a row for each file
+    order = Window.orderBy("path")
+    starts = sizes.select("path", (F.row_number().over(order) - 1).cast("long").alias("seg_id"), (F.sum("n").over(order) - F.col("n")).alias("__start"))
+    rows = matrices.join(F.broadcast(starts), "path").withColumn("row_no", F.col("frame_no") + F.col("__start"))
+    return rows.join(labels, "row_no").select("seg_id", "frame_no", "features", "label")
+
+
+READERS = {"raw": raw_matrix, "sized": sized_matrix, "htk": htk, "archive": archive, "rows": row_text, "sparse": sparse_text, "text": text_matrix, "timed": timed_text, "tokens": tokens_text, "wav": wav, "au": au, "matches": matches_text, "signatures": signatures, "norms": norms_text}
+
+
+def read(spark: SparkSession, kind: str, path, **options) -> DataFrame:
+    """Any of the formats by name."""
+    if kind not in READERS:
+        raise ValueError(f"no format {kind!r}; there are {', '.join(sorted(READERS))}")
+    return READERS[kind](spark, path, **options)

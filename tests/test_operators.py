@@ -64,9 +64,12 @@ def test_windows(spark, frames):
     runs = windows.islands(e, ["user_id"], ["ts"], F.col("value") > 5)
     assert rows(runs.select("start_frame", "end_frame", "n"), "start_frame") == [(1, 2, 2), (4, 6, 3), (9, 9, 1)]
     assert rows(windows.bridged(runs, ["user_id"], 1, 3).select("start_frame", "end_frame"), "start_frame") == [(1, 6)]
-    folded = e.groupBy("user_id").agg(windows.online_norm(F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]), 0.1, 0.1).alias("y")).first()["y"]
-    streamed = [r["y"] for r in windows.online_norm_events(e).orderBy("event_id").collect()]
-    assert folded == pytest.approx(streamed)
+    streamed, m, v, want = [r["y"] for r in windows.online_norm_events(e).orderBy("event_id").collect()], 0.0, 1.0, []
+    for x in values:
+        m = 0.9 * m + 0.1 * x
+        v = 0.9 * v + 0.1 * (x - m) ** 2
+        want.append((x - m) / v**0.5)
+    assert streamed == pytest.approx(want)
 
 
 def test_similarity_joins(spark):
@@ -196,3 +199,74 @@ def test_streaming(spark, tmp_path):
     got = [tuple(r) for r in spark.table("normed").orderBy("key", "ts").collect()]
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
     assert online.segments(spark.createDataFrame(data, schema), 3.0, "3 seconds", "1 minute").count() > 0
+
+
+def test_archives_that_differ(frames):
+    """Joins of archives fail where the frames don't line up."""
+    for join in (lambda a, b: archive.merge(a, b), lambda a, b: archive.diff(a, b, 0.0), lambda a, b: archive.combo(a, b, "add"), lambda a, b: archive.with_labels(a, b)):
+        for a, b in ((frames, frames.where("seg_id < 2")), (frames.where("frame_no < 2"), frames)):
+            with pytest.raises(Exception, match="archives differ"):
+                join(a, b).collect()
+    with pytest.raises(Exception, match="different widths"):
+        archive.concat(frames, archive.project(frames, [0])).collect()
+    with pytest.raises(Exception, match="no variance"):
+        stats.normalise_to(frames, [F.col("seg_id")], 0.0, 1.0).collect()
+
+
+def alone(costs, longest=None):
+    """DTW by a dictionary of cells, one pair at a time."""
+    n, m = costs.shape
+    best = {(0, 0): (0.0, 0)} | {(i, 0): (math.inf, i) for i in range(1, n + 1)} | {(0, j): (math.inf, j) for j in range(1, m + 1)}
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            ways = []
+            for rank, (a, b) in enumerate(((i - 1, j - 1), (i, j - 1), (i - 1, j))):  # of two equal bends the one along the second sequence
+                value, run = best[(a, b)]
+                run = 0 if rank == 0 else run + 1
+                if longest is not None and rank and run >= longest:
+                    value = math.inf
+                ways.append((value, rank, run))
+            value, _, run = min(ways)
+            best[(i, j)] = (value + costs[i - 1, j - 1], run)
+    return best[(n, m)][0] / (n + m)
+
+
+def test_dtw_of_batches_against_single_pairs(spark):
+    r = np.random.default_rng(11)
+    pairs = [(r.random((r.integers(1, 9), 4)).tolist(), r.random((r.integers(1, 9), 4)).tolist()) for _ in range(60)] + [([], []), ([], [[1.0, 2.0, 3.0, 4.0]])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x array<array<double>>, y array<array<double>>")
+    got = df.select("i", align.dtw_of(F.col("x"), F.col("y")).alias("d"), align.rescored(F.col("x"), F.col("y"), longest=3).alias("s")).orderBy("i").collect()
+    for row, (x, y) in zip(got, pairs, strict=True):
+        if not x or not y:
+            assert row["d"] == (0.0 if len(x) == len(y) else math.inf) and row["s"] is None
+            continue
+        x, y = np.array(x), np.array(y)
+        assert row["d"] == pytest.approx(alone(align.cosine_costs(x, y)))
+        d = alone(2 * align.cosine_costs(align.whitened(x), align.whitened(y)), 3)
+        assert row["s"] == (pytest.approx(1 - d / 2) if d <= 2 else None)
+
+
+def test_cast_in_both_directions():
+    r = np.random.default_rng(12)
+    base = r.standard_normal((30, 8))
+    x, y = np.concatenate([r.standard_normal((9, 8)), base, r.standard_normal((8, 8))]), np.concatenate([r.standard_normal((5, 8)), base, r.standard_normal((12, 8))])
+    xa, xb, ya, yb = align.cast_both(align.cosine_costs(x, y), 24, 20, limit=1.0)
+    assert (xa, ya) == (9, 5) and (xb, yb) == (38, 34)
+    end, cost = align.keyword_end(align.cosine_costs(x[9:], base[:10]))
+    assert end == 9 and cost == pytest.approx(0, abs=1e-9)
+
+
+def test_au_and_lists(spark, tmp_path):
+    data = np.array([0, 1000, -1000, 32767], ">i2").tobytes()
+    (tmp_path / "a.au").write_bytes(struct.pack(">4sIIIII", b".snd", 24, len(data), 3, 8000, 2) + data)
+    (tmp_path / "b.au").write_bytes(struct.pack(">4sIIIII", b".snd", 24, 4, 1, 8000, 1) + bytes([0xFF, 0x7F, 0x00, 0x80]))
+    got = files.read(spark, "au", str(tmp_path / "a.au")).orderBy("sample_no").collect()
+    assert [r["channels"] for r in got] == [[0.0, 1000.0], [-1000.0, 32767.0]] and got[0]["rate"] == 8000
+    (tmp_path / "list.txt").write_text(f"{tmp_path / 'b.au'}\n\n")
+    assert [r["channels"][0] for r in files.read(spark, "au", files.listed(spark, str(tmp_path / "list.txt"))).orderBy("sample_no").collect()] == [0, 0, -32124, 32124]
+    (tmp_path / "m.txt").write_text("1 2\n3.5 4\n")
+    assert [r["features"] for r in files.read(spark, "text", str(tmp_path / "m.txt")).orderBy("frame_no").collect()] == [[1.0, 2.0], [3.5, 4.0]]
+    (tmp_path / "s.sig").write_bytes(np.array([5, -6, 7], "<i8").tobytes())
+    assert [(r["frame_no"], r["sig"]) for r in files.read(spark, "signatures", str(tmp_path / "s.sig"), first=1).orderBy("frame_no").collect()] == [(1, -6), (2, 7)]
+    with pytest.raises(ValueError):
+        files.read(spark, "nothing", "x")

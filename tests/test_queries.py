@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from framewright.plans import catalogue
+from framewright.plans import every
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,12 +28,12 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(every.QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = every.QUERIES[name](spark, SF)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
-    if name in catalogue.SQL:
-        want = duck.sql(catalogue.SQL[name])
+    if name in every.SQL:
+        want = duck.sql(every.SQL[name])
         assert sorted(want.columns) == sorted(df.columns)
         assert got == canonical(want.columns, want.fetchall())
     else:
