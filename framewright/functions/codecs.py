@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 import numpy as np
@@ -11,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BIAS = 132
+#: Where the shares of the normal distribution meet, and their middles.
+EDGES = np.array([NormalDist().inv_cdf(k / 256) for k in range(1, 256)])
+MIDDLES = np.array([NormalDist().inv_cdf((k + 0.5) / 256) for k in range(256)])
 
 
 def mulaw_bytes(x: np.ndarray) -> np.ndarray:
@@ -38,10 +40,10 @@ def from_mulaw(codes: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def to_pre8(values: pd.Series) -> pd.Series:
-    """8-bit codes through the normal distribution function."""
-    return values.map(lambda x: np.array([min(255, int(256 * 0.5 * (1 + math.erf(v / math.sqrt(2))))) for v in x], np.int32))
+    """8-bit codes through the normal distribution function: which of its 256 equal shares a value lies in."""
+    return values.map(lambda x: np.searchsorted(EDGES, np.asarray(x, float), side="right").astype(np.int32))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def from_pre8(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda x: np.array([NormalDist().inv_cdf((c + 0.5) / 256) for c in x]))
+    return codes.map(lambda x: MIDDLES[np.asarray(x, np.int64)])

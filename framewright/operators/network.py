@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,14 +37,83 @@ def forward(df: DataFrame, hidden: list[list[float]], out: list[list[float]]) ->
     return df.withColumn("p", run("features"))
 
 
-def train(df: DataFrame, hidden: int, classes: int, seed: int = 1, rounds: int = 50):
-    """A fitted multilayer perceptron (features, label)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"))
-    width = len(df.select("features").first()[0])
-    return MultilayerPerceptronClassifier(layers=[width, hidden, classes], seed=seed, maxIter=rounds, featuresCol="x", labelCol="y").fit(rows)
+def forward_layers(df: DataFrame, layers: list[list[list[float]]], out: str = "p", features: str = "features") -> DataFrame:
+    """Adds `out`: softmax of the last of any number of layers, sigmoids between them; batches go through numpy."""
+    weights = [np.array(w).T for w in layers]
 
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        x = np.stack(rows.to_numpy()).astype(np.float64)
+        for w in weights[:-1]:
+            x = 1 / (1 + np.exp(-(x @ w)))
+        z = x @ weights[-1]
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
 
-__all__ = ["forward", "integer_weights", "layer", "softmax", "train"]
+    return df.withColumn(out, run(features))
+
+
+def gradients(df: DataFrame, weights: list[np.ndarray]) -> tuple[list[np.ndarray], float, int, int]:
+    """Summed gradients of the cross-entropy of (features, label), its sum, rows, and rows right: one row of sums comes from each task."""
+    shapes = [w.shape for w in weights]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, loss, n, right = [np.zeros(s) for s in shapes], 0.0, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            states, y = [np.stack(batch["features"].to_numpy()).astype(np.float64)], batch["label"].to_numpy()
+            for w in weights[:-1]:
+                states.append(1 / (1 + np.exp(-(states[-1] @ w))))
+            z = states[-1] @ weights[-1]
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            at = np.arange(len(y))
+            loss, n, right = loss - np.log(np.maximum(p[at, y], 1e-300)).sum(), n + len(y), right + int((p.argmax(axis=1) == y).sum())
+            d = p
+            d[at, y] -= 1
+            for k in range(len(weights) - 1, -1, -1):
+                total[k] += states[k].T @ d
+                if k:
+                    d = d @ weights[k].T * states[k] * (1 - states[k])
+        yield pd.DataFrame({"g": [np.concatenate([t.ravel() for t in total])], "loss": [loss], "n": [n], "right": [right]})
+
+    rows = df.select("features", F.col("label").cast("int").alias("label")).mapInPandas(run, "g array<double>, loss double, n long, right long")
+    cells = rows.select("loss", "n", "right", F.posexplode("g").alias("i", "v"))
+    sums = cells.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # a row for each weight
+    loss, n, right = rows.agg(F.sum("loss"), F.sum("n"), F.sum("right")).first()
+    flat, out, at = np.array([r["v"] for r in sums]), [], 0
+    for s in shapes:
+        out.append(flat[at : at + s[0] * s[1]].reshape(s))
+        at += s[0] * s[1]
+    return out, float(loss), int(n), int(right)
+
+
+def schedule(rate: float, gains: list[float], least: float = 0.005, ramp: float = 0.5) -> float:
+    """The next epoch's rate: as it is while the last epoch gained at least `least` of accuracy, then ramped down for good."""
+    return rate if all(g >= least for g in gains) else rate * ramp ** sum(1 for k in range(len(gains)) if any(g < least for g in gains[: k + 1]))
+
+
+def train(df: DataFrame, hidden: list[int], classes: int, held_out: DataFrame, seed: int = 1, epochs: int = 20, rate: float = 1.0) -> tuple[list[np.ndarray], list[dict]]:
+    """Weights of a network (features, label) by full-batch descent, and what each epoch saw: rate, loss and accuracy of the held-out frames.
+
+    Gradients are summed by the tasks; the driver holds the weights.  The data are read once an epoch: store them first."""
+    width = df.select(F.size("features").alias("w")).agg(F.max("w")).first()[0]
+    rng = np.random.default_rng(seed)
+    sizes = [width, *hidden, classes]
+    weights = [rng.standard_normal((a, b)) / np.sqrt(a) for a, b in zip(sizes, sizes[1:])]
+    seen, gains, last = [], [], 0.0
+    for _ in range(epochs):
+        now = schedule(rate, gains)
+        g, _, n, _ = gradients(df, weights)
+        weights = [w - now * x / max(n, 1) for w, x in zip(weights, g, strict=True)]
+        _, loss, m, right = gradients(held_out, weights)
+        gains.append(right / max(m, 1) - last)
+        last = right / max(m, 1)
+        seen.append({"rate": now, "loss": loss / max(m, 1), "accuracy": last})
+    return weights, seen
+
+
+__all__ = ["forward", "forward_layers", "gradients", "integer_weights", "layer", "schedule", "softmax", "train"]

@@ -160,6 +160,33 @@ def lda(df: DataFrame, n: int, keep: int) -> DataFrame:
     return applied(df, np.zeros(n), directions)
 
 
+def in_segments(df: DataFrame, segments: int) -> DataFrame:
+    """Adds `part`: equal slices of each segment's frames; the last takes the rest, and a segment shorter than the number of slices is all in the last."""
+    n = F.count("*").over(Window.partitionBy("seg_id"))
+    size = F.floor(n / segments)
+    return df.withColumn("part", F.when(size > 0, F.least(F.floor(F.col("frame_no") / F.when(size > 0, size)), F.lit(segments - 1))).otherwise(segments - 1).cast("int"))
+
+
+def segmental_kmeans(df: DataFrame, k: int, segments: int, rounds: int) -> DataFrame:
+    """label, part, cluster, n, centre: k means of the frames of each word (label) and slice, after some rounds of assigning frames to the nearest mean.
+
+    Means begin as each cell's first k distinct frames by (seg_id, frame_no).  A mean that loses all its frames goes.  Frames
+    meet only the k means of their cell."""
+    from framewright.operators.graph import written
+
+    frames = written(in_segments(df, segments).select("seg_id", "frame_no", "label", "part", "features"))
+    first = frames.groupBy("label", "part", "features").agg(F.min(F.struct("seg_id", "frame_no")).alias("at"))
+    first = first.withColumn("cluster", F.row_number().over(Window.partitionBy("label", "part").orderBy("at")) - 1).where(F.col("cluster") < k)
+    means = written(first.select("label", "part", "cluster", F.col("features").alias("centre"), F.lit(0).cast("long").alias("n")))
+    for _ in range(rounds):
+        table = means.groupBy("label", "part").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("means"))  # k means a row
+        far = F.transform("means", lambda m: F.struct(F.aggregate(F.zip_with(m["centre"], F.col("features"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), m["cluster"].alias("cluster")))
+        near = frames.join(table, ["label", "part"]).select("label", "part", F.array_min(far)["cluster"].alias("cluster"), F.posexplode("features").alias("dim", "v"))
+        cells = near.groupBy("label", "part", "cluster", "dim").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
+        means = written(cells.groupBy("label", "part", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("centre"), F.max("n").alias("n")))
+    return means.select("label", "part", "cluster", "n", "centre")
+
+
 def kmeans(df: DataFrame, k: int, seed: int = 1, rounds: int = 20) -> DataFrame:
     """Adds `cluster`."""
     from pyspark.ml.clustering import KMeans

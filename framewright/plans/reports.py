@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from framewright.operators import evaluation, lsh, matching, pairing
-from framewright.plans.catalogue import BITS, DISTANCES, DOTS, DX, DY, HOUGH, MEDIAN, NODES, PAIRS, PEAKS, RUNS, SIGNED, VECTORS, found_dots, found_median, found_peaks, interval_nodes, query, signed, signed_pairs
-from framewright.operators import discovery
+from framewright.operators import discovery, evaluation, lsh, matching, pairing
+from framewright.operators.graph import shared_folder
+from framewright.plans.catalogue import ABX, BITS, DIMS, DOTS, DX, DY, HOUGH, MEDIAN, NODES, PAIRS, PEAKS, RUNS, SIGNED, SQL, VECTORS, found_dots, found_median, found_peaks, grades, interval_nodes, query, signed, signed_pairs
 from framewright.sources.frames import table, vectors
 
 # ---------------------------------------------------------------- evaluation by speaker
@@ -176,3 +178,46 @@ def dots_diagonal_bins(spark, sf_dir):
 def dots_dense_band(spark, sf_dir):
     """Row 20 of the match matrix with its gaps filled."""
     return matching.dense_row(found_dots(spark, sf_dir), 20).withColumn("val", F.round("val", 6))
+
+
+@query(f"WITH {MATCHES} SELECT mt.file, mt.yp, xa, xb, ya, yb, round(h, 6) AS rho, round(1 / (1 + exp(-(0.5 * (xb - xa) + 2 * ln(greatest((xb + yb) - (xa + ya) + 1, 10)) - 6))), 8) AS score FROM mt JOIN pk ON pk.file = mt.file AND pk.yp = mt.yp WHERE h > 4 AND 1 / (1 + exp(-(0.5 * (xb - xa) + 2 * ln(greatest((xb + yb) - (xa + ya) + 1, 10)) - 6))) > 0.5")
+def match_threshold_filter(spark, sf_dir):
+    """Matches over a score and over a height of their row."""
+    rows = matching.logistic(found_matches(spark, sf_dir), 0.5, 2.0, -6.0)
+    rows = rows.join(found_peaks(spark, sf_dir).withColumnRenamed("h", "rho"), ["file", "yp"])
+    return matching.scored_over(rows, 0.5, 4.0).withColumns({"rho": F.round("rho", 6), "score": F.round("score", 8)})
+
+
+@query(SQL["search_by_example"])
+def search_stored_index(spark, sf_dir):
+    """Every seventh vector asked against an index that was written and read."""
+    own, path = signed(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    lsh.build_index(own, "vec_id", BITS, 4, path)
+    return lsh.search(spark.read.parquet(path), own.where("vec_id % 7 = 0"), "vec_id", BITS, 0.5).withColumn("cos", F.round("cos", 6))
+
+
+GAUSSIAN = lsh.gaussian_projection(DIMS, BITS, 5)
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, " + " + ".join(f"CASE WHEN list_dot_product(features, [{', '.join(f'{x!r}::DOUBLE' for x in row)}]) >= 0 THEN {1 << b} ELSE 0 END" for b, row in enumerate(GAUSSIAN.tolist())) + " AS sig FROM v")
+def signature_gaussian(spark, sf_dir):
+    """Signatures by a Gaussian projection (sums of twelve uniforms)."""
+    return lsh.signature(vectors(spark, sf_dir), GAUSSIAN).select("vec_id", "sig")
+
+
+@query("SELECT event_id, user_id, round(value * (1 + (user_id % 7) / 100.0), 6) AS warped FROM events")
+def joined_parameters(spark, sf_dir):
+    """Each user's warp factor, from a table of one row a user, applied to the user's values."""
+    warp = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("warp", 1 + (F.col("user_id") % 7) / 100.0)
+    return table(spark, sf_dir, "events").join(warp, "user_id").select("event_id", "user_id", F.round(F.col("value") * F.col("warp"), 6).alias("warped"))
+
+
+OWN_CONTEXT = ABX.replace("a.speaker AS s_x", "a.speaker * 4 + a.vec_id % 4 AS s_x").replace("b.speaker AS s_a", "b.speaker * 4 + b.vec_id % 4 AS s_a")
+
+
+@query(f"WITH {OWN_CONTEXT} SELECT round((1 - avg(m)) * 100, 6) AS error FROM (SELECT p_x, p_b, avg(m) AS m FROM (SELECT s_x, p_x, p_b, avg(score) AS m FROM tr WHERE s_a = s_x GROUP BY ALL) GROUP BY p_x, p_b)")
+def abx_within_context(spark, sf_dir):
+    """Minimal pairs within a speaker and a context; means by (speaker, context), then by pair of categories, then all."""
+    rows = grades(spark, sf_dir)
+    rows = rows.withColumns({"s_x": F.col("s_x") * 4 + F.col("context"), "s_a": F.col("s_a") * 4 + F.col("context")}).where("s_a = s_x")
+    return evaluation.error_rate(evaluation.discrimination(rows), ["s_x", "p_x", "p_b"]).withColumn("error", F.round("error", 6))

@@ -270,3 +270,126 @@ def test_au_and_lists(spark, tmp_path):
     assert [(r["frame_no"], r["sig"]) for r in files.read(spark, "signatures", str(tmp_path / "s.sig"), first=1).orderBy("frame_no").collect()] == [(1, -6), (2, 7)]
     with pytest.raises(ValueError):
         files.read(spark, "nothing", "x")
+
+
+def test_training(spark):
+    """Summed gradients are those of one batch, and a few epochs learn what can be learnt."""
+    r = np.random.default_rng(13)
+    x = r.standard_normal((200, 5))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "features array<double>, label int").repartition(3).cache()
+    weights = [r.standard_normal((5, 4)), r.standard_normal((4, 2))]
+    g, loss, n, _ = network.gradients(df, weights)
+
+    def cost(w):
+        h = 1 / (1 + np.exp(-(x @ w[0])))
+        z = h @ w[1]
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(200), y]).sum())
+
+    assert n == 200 and loss == pytest.approx(cost(weights))
+    for k, at in ((0, (2, 1)), (0, (0, 0)), (1, (3, 1))):
+        up, down = [w.copy() for w in weights], [w.copy() for w in weights]
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert g[k][at] == pytest.approx((cost(up) - cost(down)) / 2e-5, rel=1e-4)
+    _, seen = network.train(df, [6], 2, df, epochs=12, rate=4.0)
+    assert seen[-1]["loss"] < seen[0]["loss"] and seen[-1]["accuracy"] > 0.85
+    assert network.schedule(1.0, [0.5, 0.1]) == 1.0 and network.schedule(1.0, [0.5, 0.001]) == 0.5 and network.schedule(1.0, [0.5, 0.001, 0.2]) == 0.25
+
+
+def test_streams_of_rows(spark, tmp_path):
+    """Values beside the one three rows on, and windows of four rows, over two micro-batches."""
+    from framewright.streaming import online
+
+    start, schema = datetime(2024, 1, 1), "key long, ts timestamp, value double"
+    data = [(1 + i % 2, start + timedelta(seconds=i), float(i)) for i in range(30)]
+    for k, part in enumerate((data[:13], data[13:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    for name, op in (("later", lambda s: online.ahead(s, 3)), ("fours", lambda s: online.counted(s, 4))):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        q = op(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+    series = {k: [v for a, _, v in data if a == k] for k in (1, 2)}
+    got = [tuple(r) for r in spark.table("later").select("key", "value", "later").orderBy("key", "ts").collect()]
+    assert got == [(k, v[i], v[i + 3]) for k, v in series.items() for i in range(len(v) - 3)]
+    got = [tuple(r) for r in spark.table("fours").orderBy("key", "number").collect()]
+    assert got == [(k, i, 4, sum(v[4 * i : 4 * i + 4]) / 4) for k, v in series.items() for i in range(len(v) // 4)]
+
+
+def test_matches_merge_until_none_meet(spark):
+    from framewright.operators import matching
+
+    r = np.random.default_rng(14)
+    boxes = []
+    for f in range(3):
+        for _ in range(25):
+            a, c, n, m = (int(v) for v in (r.integers(0, 300), r.integers(0, 300), r.integers(3, 25), r.integers(3, 25)))
+            boxes.append((f, a, a + n, c, c + m, 1.0))
+    got = [tuple(x) for x in matching.merged(spark.createDataFrame(boxes, "file long, xa int, xb int, ya int, yb int, rho double"), 2).select("file", "xa", "xb", "ya", "yb", "rho").collect()]
+
+    def meet(p, q):
+        return p[0] == q[0] and all(max(p[j], q[j]) - min(p[i], q[i]) < p[j] - p[i] + q[j] - q[i] + 2 for i, j in ((1, 2), (3, 4)))
+
+    own = list(boxes)
+    while True:  # whole components at once, round by round
+        group = list(range(len(own)))
+        for i in range(len(own)):
+            for j in range(i):
+                if meet(own[i], own[j]) and group[i] != group[j]:
+                    group = [group[j] if g == group[i] else g for g in group]
+        if len(set(group)) == len(own):
+            break
+        parts = [[b for b, g in zip(own, group, strict=True) if g == k] for k in sorted(set(group))]
+        own = [(p[0][0], min(b[1] for b in p), max(b[2] for b in p), min(b[3] for b in p), max(b[4] for b in p), sum(b[5] for b in p)) for p in parts]
+    assert sorted(got) == sorted(own) and len(own) < len(boxes)
+
+
+def test_front_end_operators(spark):
+    r = np.random.default_rng(15)
+    x = r.random((2, 9, 3))
+    df = spark.createDataFrame([(u, t, x[u, t].tolist()) for u in range(2) for t in range(9)], "user_id long, frame_no int, bands array<double>")
+    got = frontend.rasta_of(df, "user_id").orderBy("user_id", "frame_no").collect()
+    assert np.array([v["bands"] for v in got]).reshape(2, 9, 3) == pytest.approx(np.stack([frontend.rasta(s) for s in x]))
+    s = r.standard_normal(64)
+    a = np.array(spark.createDataFrame([(s.tolist(),)], "s array<double>").select(frontend.predictors_of(F.col("s"), 4).alias("a")).first()["a"])
+    q = frontend.autocorrelation(s, 4)
+    assert a[0] == 1 and a[1:] == pytest.approx(np.linalg.solve([[q[abs(i - j)] for j in range(4)] for i in range(4)], -q[1:]))
+
+
+def test_segmental_means(spark):
+    """Equal slices, the rest in the last; means from a plain loop."""
+    r = np.random.default_rng(16)
+    data = [(s, t, r.random(2).tolist(), s % 2) for s in range(12) for t in range(3 + s % 4)]
+    df = spark.createDataFrame(data, FRAMES)
+    got = {(x["label"], x["part"], x["cluster"]): (x["n"], x["centre"]) for x in stats.segmental_kmeans(df, 2, 2, 3).collect()}
+    cells = {}
+    for s, t, v, label in data:
+        n = 3 + s % 4
+        cells.setdefault((label, min(t // (n // 2), 1)), []).append(np.array(v))
+    want = {}
+    for cell, rows_ in cells.items():
+        means = {0: rows_[0], 1: rows_[1]}
+        for _ in range(3):
+            near = [min((float(((v - m) ** 2).sum()), k) for k, m in means.items())[1] for v in rows_]
+            means = {k: np.mean([v for v, c in zip(rows_, near, strict=True) if c == k], axis=0) for k in set(near)}
+        want |= {(*cell, k): (near.count(k), m) for k, m in means.items()}
+    assert set(got) == set(want) and all(got[k][0] == n and got[k][1] == pytest.approx(m) for k, (n, m) in want.items())
+
+
+def test_sides_of_matches(spark):
+    from framewright.operators import matching
+
+    frames_ = spark.createDataFrame([(1, t, [float(t), 1.0]) for t in range(20)], "file long, frame_no long, features array<double>")
+    found = spark.createDataFrame([(1, 2, 5, 9, 11), (1, 0, 19, 0, 3)], "file long, xa int, xb int, ya int, yb int")
+    got = matching.with_frames(found, frames_, most_frames=10).collect()
+    assert len(got) == 1 and [v[0] for v in got[0]["x"]] == [2, 3, 4, 5] and [v[0] for v in got[0]["y"]] == [9, 10, 11]
+
+
+def test_pre_codes(spark):
+    from statistics import NormalDist
+
+    values = [-9.0, -1.0, 0.0, 0.3, 2.5, 9.0]
+    got = spark.createDataFrame([(values,)], "x array<double>").select(codecs.to_pre8("x").alias("c")).select("c", codecs.from_pre8("c").alias("v")).first()
+    assert list(got["c"]) == [min(255, int(256 * NormalDist().cdf(v))) for v in values]
+    assert got["v"] == pytest.approx([NormalDist().inv_cdf((c + 0.5) / 256) for c in got["c"]])
