@@ -815,3 +815,19 @@ def test_pipeline_stages(spark):
     assert len(total) == docs.count() and all(r[1] == r[2] for r in total)
 
 
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty, repeated and very long texts, clashing columns, and empty tables, through all stages."""
+    import corpus_pipeline
+
+    rows = [(i, t, lang, None, None if t is None else len(t), "x", 1) for i, t, lang in AWKWARD]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    # 2 and the second 1 repeat 1's only line; 3 and 4 have no words, like each other.
+    assert {r["doc_id"] for r in got} == {1, 3, 5, 6, 7, None} and sum(r["length"] for r in got if r["doc_id"] == 6) == got[[r["doc_id"] for r in got].index(6)]["doc_tokens"]
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
