@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import discovery, evaluation, lsh, matching, pairing
 from framewright.operators.graph import shared_folder
-from framewright.plans.catalogue import ABX, BITS, DIMS, DOTS, DX, DY, HOUGH, MEDIAN, NODES, PAIRS, PEAKS, RUNS, SIGNED, SQL, VECTORS, found_dots, found_median, found_peaks, grades, interval_nodes, query, signed, signed_pairs
+from framewright.plans.catalogue import ABX, BITS, DIMS, DOTS, DY, HOUGH, MEDIAN, NODES, PAIRS, PEAKS, RUNS, SIGNED, SQL, VECTORS, found_dots, found_median, found_peaks, grades, interval_nodes, query, signed, signed_pairs
 from framewright.sources.frames import table, vectors
 
 # ---------------------------------------------------------------- evaluation by speaker
@@ -17,13 +17,11 @@ KINDS = """kd AS (SELECT dist, kind, good FROM (SELECT dist, unnest(['overall',
   unnest([true, same_speaker, NOT same_speaker, same OR NOT same_speaker]) AS use, unnest([same, same, same, same_speaker]) AS good FROM p) WHERE use),
 kc AS (SELECT kind, dist, count(*) AS n, sum(CAST(good AS INTEGER)) AS pos FROM kd GROUP BY kind, dist),
 kr AS (SELECT *, sum(pos) OVER w / sum(n) OVER w AS precision FROM kc WINDOW w AS (PARTITION BY kind ORDER BY dist))"""
-POINTS = """mx AS (SELECT max(dist) AS top FROM p), gr AS (SELECT k, k * top / 100 AS x FROM range(100) r(k), mx),
-pt AS (SELECT k, any_value(x) AS x, count(*) FILTER (WHERE same AND dist <= x) AS good, count(*) FILTER (WHERE dist <= x) AS n,
-  count(*) FILTER (WHERE same AND same_speaker AND dist <= x) / count(*) FILTER (WHERE same AND same_speaker) AS recall_same,
-  count(*) FILTER (WHERE same AND NOT same_speaker AND dist <= x) / count(*) FILTER (WHERE same AND NOT same_speaker) AS recall_different FROM gr, p GROUP BY k),
+POINTS = """pa AS (SELECT dist, same, same_speaker, count(*) AS w FROM p GROUP BY ALL), mx AS (SELECT max(dist) AS top FROM pa), gr AS (SELECT k, k * top / 100 AS x FROM range(100) r(k), mx),
+pt AS (SELECT k, any_value(x) AS x, coalesce(sum(w) FILTER (WHERE same AND dist <= x), 0) AS good, coalesce(sum(w) FILTER (WHERE dist <= x), 0) AS n,
+  coalesce(sum(w) FILTER (WHERE same AND same_speaker AND dist <= x), 0) / sum(w) FILTER (WHERE same AND same_speaker) AS recall_same,
+  coalesce(sum(w) FILTER (WHERE same AND NOT same_speaker AND dist <= x), 0) / sum(w) FILTER (WHERE same AND NOT same_speaker) AS recall_different FROM gr, pa GROUP BY k),
 po AS (SELECT k, x, CASE WHEN n > 0 THEN good / n ELSE 0 END AS precision, recall_same, recall_different FROM pt)"""
-# Pairs by distance, so that the grid meets a row for each distance.
-FEW = "p AS (SELECT a.label = b.label AS same, a.speaker = b.speaker AS same_speaker, bit_count(xor(a.sig, b.sig)) / 32.0 AS dist FROM g a JOIN g b ON a.vec_id < b.vec_id)"
 
 
 @query(f"WITH {SIGNED}, {PAIRS}, {KINDS} SELECT kind, CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(pos) AS BIGINT) AS n_good, round(sum(pos * precision) / sum(pos), 8) AS ap FROM kr GROUP BY kind")
@@ -31,13 +29,13 @@ def eval_average_precision_speakers(spark, sf_dir):
     return evaluation.average_precisions(signed_pairs(spark, sf_dir)).withColumn("ap", F.round("ap", 8))
 
 
-@query(f"WITH {SIGNED}, {FEW}, {POINTS} SELECT CAST(k AS INTEGER) AS k, round(x, 8) AS x, round(precision, 8) AS precision, round(recall_same, 8) AS recall_same, round(recall_different, 8) AS recall_different FROM po")
+@query(f"WITH {SIGNED}, {PAIRS}, {POINTS} SELECT CAST(k AS INTEGER) AS k, round(x, 8) AS x, round(precision, 8) AS precision, round(recall_same, 8) AS recall_same, round(recall_different, 8) AS recall_different FROM po")
 def samediff_thresholds(spark, sf_dir):
     rows = evaluation.at_thresholds(signed_pairs(spark, sf_dir))
     return rows.select("k", *[F.round(c, 8).alias(c) for c in ("x", "precision", "recall_same", "recall_different")])
 
 
-@query(f"WITH {SIGNED}, {FEW}, {POINTS} SELECT round((SELECT (precision + recall_same) / 2 FROM po WHERE recall_same > 0.01 ORDER BY abs(precision - recall_same), k LIMIT 1), 8) AS same_speaker, round((SELECT (precision + recall_different) / 2 FROM po WHERE recall_different > 0.01 ORDER BY abs(precision - recall_different), k LIMIT 1), 8) AS different_speaker")
+@query(f"WITH {SIGNED}, {PAIRS}, {POINTS} SELECT round((SELECT (precision + recall_same) / 2 FROM po WHERE recall_same > 0.01 ORDER BY abs(precision - recall_same), k LIMIT 1), 8) AS same_speaker, round((SELECT (precision + recall_different) / 2 FROM po WHERE recall_different > 0.01 ORDER BY abs(precision - recall_different), k LIMIT 1), 8) AS different_speaker")
 def samediff_breakevens(spark, sf_dir):
     rows = evaluation.breakevens(evaluation.at_thresholds(signed_pairs(spark, sf_dir)))
     return rows.select(*[F.round(c, 8).alias(c) for c in rows.columns])

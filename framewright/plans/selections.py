@@ -70,15 +70,15 @@ def archive_diff_first(spark, sf_dir):
     return archive.diff(f, g, 0.5, first=True).select("seg_id", "frame_no", "col", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-FOUR = ", ".join(f"round((2 * features[{i}] + 0.5 * features[{5 - i}]) * 3 * features[{i}] - features[{5 - i}] + 7.0003, 2) + 0.0 AS f{i - 1}" for i in range(1, 5))
+FOUR = ", ".join(f"round((0.002 * features[{i}] + 0.0005 * features[{5 - i}]) * (0.003 * features[{i}]) - features[{5 - i}] + 7.0003, 2) + 0.0 AS f{i - 1}" for i in range(1, 5))
 
 
 @query(f"WITH {FRAMES} SELECT seg_id, frame_no, {FOUR} FROM f")
 def archive_arithmetic(spark, sf_dir):
-    """(2 a + 0.5 b) * 3 a - b + 7.0003, over four archives from left to right."""
+    """(0.002 a + 0.0005 b) * 0.003 a - b + 7.0003, over four archives from left to right."""
     f = lineitem_frames(spark, sf_dir)
     g = archive.project(f, [3, 2, 1, 0])
-    rows = archive.arithmetic([f, g, f, g], [2.0, 0.5, 3.0, 1.0], ["add", "mul", "sub"], 7.0003)
+    rows = archive.arithmetic([f, g, f, g], [0.002, 0.0005, 0.003, 1.0], ["add", "mul", "sub"], 7.0003)
     return rows.select("seg_id", "frame_no", *[(F.round(F.get("features", i), 2) + 0.0).alias(f"f{i}") for i in range(4)])
 
 
