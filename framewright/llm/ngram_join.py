@@ -4,14 +4,15 @@ A document is its set of five-word shingles (lower-cased words; a text of fewer
 words is one shingle of all of them, so empty texts equal each other).
 
 1. Equal sets collapse to one node that counts its copies.
-2. A node's sketch is 64 tokens sampled from its set by min-hash.  In a run all nodes
+2. A node's sketch is 96 tokens sampled from its set by min-hash.  In a run all nodes
    start in one bucket; a bucket is split by one sampled token, in a quarter of the
    paths by two, so a node takes 1 / SIMILARITY branches on average and a pair at
    the threshold is expected to stay together on one path at every depth.  Buckets of
    more than LEAF nodes are split on, up to LEVELS times.
 3. Runs are repeated until the chance to miss a pair at the threshold is MISS at most:
-   `runs_for` computes it from the branching and the sampling.  Nodes that were in
-   too large a bucket take part in the number of runs that the deepest level needs.
+   `runs_for` computes it from the branching and the sampling.  All nodes take part in
+   the runs that two levels need; those whose buckets are too large even then, in the
+   number of runs that the last level needs.
 4. Small buckets are compared in full on the sketches (at least NEED equal tokens, and
    compatible sizes).  So is a bucket that a further token hardly splits (its sets are
    alike) or that is too large at the last level, in cells of bounded size.
@@ -45,8 +46,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Chance with which a pair of SIMILARITY may be missed: a third each in the first runs, in the deep ones, in comparing sketches.
 MISS = 1e-5
 #: Sampled tokens of a sketch; one path in BRANCH splits by two of them.
-TOKENS, BRANCH = 64, 4
-LEVELS, LEAF = 6, 512
+TOKENS, BRANCH = 96, 4
+LEVELS, LEAF = 6, 2_048
 #: A bucket of which this share stays together under one more token holds sets that are alike.
 ALIKE = 0.75
 #: Nodes of a block in which large buckets are compared on sketches.
@@ -200,7 +201,7 @@ def linked(nodes: np.ndarray, size: np.ndarray, sketch: np.ndarray, needed: int,
 
 def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): every node that a run put beside a similar one, with the smallest node of its group there."""
-    first, runs, needed = runs_for(1, similarity), runs_for(LEVELS, similarity), need(similarity)
+    first, runs, needed = runs_for(2, similarity), runs_for(LEVELS, similarity), need(similarity)
     rng = np.random.default_rng(21)
     order = [rng.permutation(TOKENS)[: 2 * LEVELS].tolist() for _ in range(max(first, runs))]  # a run's tokens: two for each level
 
@@ -223,25 +224,29 @@ def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFra
         many = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         return cut(rows.join(many, "path"))
 
+    alike = F.coalesce(F.col("n") >= ALIKE * F.col("up"), F.lit(False))
+    small, large = (F.col("n") <= LEAF) | alike, (F.col("n") > LEAF) & ~alike
     met = counted(started(nodes, range(first)))
-    done, big = [met], met.where(F.col("n") > LEAF)
+    compared, big = [met.where(small)], met.where(large)
+    if not big.isEmpty():
+        met = counted(split(big, 1))
+        compared, big = [*compared, met.where(small)], met.where(large)
     if not big.isEmpty():
-        deep = cut(big.select("node").distinct())
         if runs > first:
+            deep = cut(big.select("node").distinct())
             more = counted(started(nodes.join(deep, "node", "left_semi"), range(first, runs)))
-            done.append(more)
-            big = big.unionByName(more.where(F.col("n") > LEAF))
-        for level in range(1, LEVELS):
+            then = counted(split(more.where(large), 1))
+            compared += [more.where(small), then.where(small)]
+            big = big.unionByName(then.where(large))
+        for level in range(2, LEVELS):
             met = counted(split(big, level))
-            done.append(met)
-            big = met.where((F.col("n") > LEAF) & (F.col("n") < ALIKE * F.col("up")))
-            if level < LEVELS - 1 and big.isEmpty():
+            compared, big = [*compared, met.where(small)], met.where(large)
+            if big.isEmpty():
                 break
-    last = len(done) - 1
-    whole = [d.where((F.col("n") <= LEAF) | (F.coalesce(F.col("n") >= ALIKE * F.col("up"), F.lit(False)) if k < last else F.lit(True))) for k, d in enumerate(done)]
-    rows = whole[0]
-    for w in whole[1:]:
-        rows = rows.unionByName(w)
+        compared.append(big)  # what is too large at the last level
+    rows = compared[0]
+    for c in compared[1:]:
+        rows = rows.unionByName(c)
     blocks = F.ceil(F.col("n") / CELL).cast("int")
     rows = rows.select("node", "path", blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
