@@ -254,6 +254,20 @@ def chunk_and_usual():
     return packing.ChunkTokenizer(queries.WORD_BPE), tok
 
 
+def test_tiers_and_step_groups(spark, monkeypatch):
+    """A sequence keeps to its tier, stands alone only if it fills it, and step groups are alike in number and tokens."""
+    monkeypatch.setattr(packing, "STEP", 8)
+    r = random.Random(21)
+    rows = [(i, " ".join("word" for _ in range(int(r.lognormvariate(5, 1.2)) + 1))) for i in range(1500)]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.WORD_BPE).toPandas()
+    per = out.groupby("sequence_id").agg(total=("length", "sum"), tier=("tier", "first"), said=("sequence_tokens", "first"), step=("step_group", "first"), steps=("step_group", "nunique"))
+    assert (per.total == per.said).all() and (per.total <= per.tier).all() and set(per.tier) <= set(packing.TIERS) and (per.steps == 1).all()
+    assert (per[per.tier < 2048].total == per[per.tier < 2048].tier).all()
+    assert out.merge(per[["tier"]], left_on="sequence_id", right_index=True).eval("length <= tier_y").all()
+    step = per.groupby("step").agg(n=("total", "size"), tokens=("total", "sum"))
+    assert step.n.max() - step.n.min() <= 1 and step.n.max() <= 8 and step.tokens.max() - step.tokens.min() <= 2 * 2048
+
+
 def test_equal_pieces_spread(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 10)
     out = packing.pack_documents(spark.createDataFrame([(None, None)] * 200, "doc_id long, text string"), queries.WORD_BPE)
