@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import byte_bpe, fingerprints, html_tree, licenses, line_dedup, ngram_join, packing, telephony, toxicity, url_filters
+from framewright.llm import byte_bpe, centroids, fingerprints, html_tree, importance, licenses, line_dedup, ngram_join, packing, quality, telephony, toxicity, url_filters
 from framewright.llm.common import table
 
 #: Vocabulary files are parameters; these are the ones the queries use.
@@ -55,6 +55,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
@@ -66,10 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_telephony": op8_telephony,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_quality": op11_quality,
+    "op12_sort_means": op12_sort_means,
+    "op13_importance": op13_importance,
 }
 SQL: dict[str, str] = {
     "op1_licenses": licenses.sql(),
     "op6_ngram_join": ngram_join.sql(),
     "op7_url_filters": url_filters.sql(),
     "op9_line_dedup": line_dedup.sql(),
+    "op11_quality": quality.sql(),
+    "op12_sort_means": centroids.sql(),
+    "op13_importance": importance.sql(),
 }
