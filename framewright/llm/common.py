@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache
+def own_dir(application: str) -> str:
+    """A folder for an application on this machine (Spark doesn't let a running session set spark.checkpoint.dir)."""
+    return tempfile.mkdtemp(prefix="framewright-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a fresh one where that is unset and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 

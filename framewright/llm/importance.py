@@ -45,10 +45,11 @@ def bucket_array(text: Column, buckets: int = BUCKETS, longest: int = LONGEST) -
     number = lambda run: F.pmod(F.crc32(run), F.lit(buckets)).cast("int")
     if longest == 1:
         return F.transform(own, number)
-    runs = lambda w: F.flatten(F.array(*[
-        F.transform(F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda _, i, n=n: number(F.array_join(F.slice(w, i + 1, n), " "))) for n in range(1, longest + 1)
-    ]))
-    return F.get(F.transform(F.array(own), runs), F.lit(0))
+
+    def runs(w: Column, n: int) -> Column:
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda _, i: number(F.array_join(F.slice(w, i + 1, n), " ")))
+
+    return F.get(F.transform(F.array(own), lambda w: F.flatten(F.array(*[runs(w, n) for n in range(1, longest + 1)]))), F.lit(0))
 
 
 def totals(texts: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> list[int]:

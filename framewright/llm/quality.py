@@ -94,7 +94,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         last = lambda x: x.bitwiseOR(F.bitwise_not(high))  # of the keys with the same hash
         place = lambda x: x.bitwiseAND(F.bitwise_not(high)).cast("int")
         suspects = F.filter(keys, lambda x, k: (F.get(keys, k + 1) <= last(x)) | (x <= last(F.get(keys, k - 1))))
-        texts = F.array_sort(F.transform(suspects, lambda x: F.struct(F.array_join(F.slice(words, place(x) + 1, window), " ").alias("text"), place(x).alias("at"))))
+        texts = F.sort_array(F.transform(suspects, lambda x: F.struct(F.array_join(F.slice(words, place(x) + 1, window), " ").alias("text"), place(x).alias("at"))))
         return F.when(F.size(F.filter(keys, lambda x, k: F.get(keys, k + 1) <= last(x))) == 0, 0).otherwise(let(texts, from_texts))
 
     def from_texts(texts: Column) -> Column:
@@ -191,7 +191,8 @@ def keep_good(docs: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> Dat
     """The rows of docs whose verdict is kept, with their own columns; the weights come from all rows."""
     counted = counts(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
     weights = learned(counted.drop("doc_id"), rules)
-    return counted.where(~F.expr(BASE_FAILED) & (weights.column(rules) >= threshold)).select("doc_id.*")
+    kept = ~F.expr(BASE_FAILED) & (weights.column(rules) >= threshold)
+    return counted.select(F.inline(F.when(kept, F.array("doc_id"))))  # a filter would be pushed below the counts and repeat them for each use
 
 
 def sql(rules=RULES, rounds: int = ROUNDS) -> str:
