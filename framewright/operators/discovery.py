@@ -9,13 +9,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.order import paired
+
 
 def dots(frames: DataFrame, bits: int, threshold: float) -> DataFrame:
     """Dots of every file against itself, above the diagonal; frames: file, frame_no, sig."""
     from framewright.operators.lsh import cosine, hamming
 
-    a, b = (frames.select("file", F.col("frame_no").alias(n), F.col("sig").alias(s)) for n, s in (("i", "s"), ("j", "t")))
-    rows = a.join(b, "file").where("i < j").select("file", (F.col("j") - F.col("i")).alias("yp"), (F.col("i") + F.col("j")).alias("xp"), cosine(hamming(F.col("s"), F.col("t")), bits).alias("val"))
+    i, j = F.col("a.frame_no"), F.col("b.frame_no")
+    rows = paired(frames.select("file", "frame_no", "sig"), ["file"], "frame_no").select("file", (j - i).alias("yp"), (i + j).alias("xp"), cosine(hamming(F.col("a.sig"), F.col("b.sig")), bits).alias("val"))
     return rows.where(F.col("val") > threshold)
 
 

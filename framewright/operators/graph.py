@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,14 +30,19 @@ def overlap_edges(nodes: DataFrame, width: int, least: float) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), w.alias("w")).where(F.col("w") >= least)
 
 
+@lru_cache
+def own_folder(application: str) -> str:
+    """A folder for an application on this machine (Spark doesn't let a running session set spark.checkpoint.dir)."""
+    return tempfile.mkdtemp(prefix="framewright-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The application's part of the folder that the cluster names in spark.checkpoint.dir; a fresh one where that is unset and all runs on this machine (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = own_folder(spark.sparkContext.applicationId)
     return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
@@ -67,23 +73,30 @@ def strong_edges(edges: DataFrame, over: float, neighbours: int) -> DataFrame:
     return edges.where(F.col("w") > over).withColumn("__k", rank).where(F.col("__k") <= neighbours).drop("__k")
 
 
-def greedy_dedup(nodes: DataFrame, least: float, order: tuple[str, ...] = ("node",)) -> DataFrame:
+def greedy_dedup(nodes: DataFrame, least: float, order: tuple[str, ...] = ("node",), width: float = 100.0) -> DataFrame:
     """Within each cluster, in the given order, an interval goes if it overlaps a kept earlier one of its file by `least`.
 
     The rule depends on order within (cluster, file): rows come sorted to the task that owns the group and pass through
-    in batches; only the group's kept intervals are held."""
+    in batches; only the group's kept intervals are held, by the stretches of `width` that they reach, so an interval meets
+    those near it and no others."""
+
+    def reached(a: float, b: float) -> range:
+        # Below 0 any two intervals would count as overlapping: one stretch for all.
+        return range(1) if least < 0 else range(int(a // width), int(b // width) + 1)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, []
+        now, kept = None, {}
         for batch in batches:
             take = []
             for cluster, file, a, b in zip(batch["cluster"].tolist(), batch["file"].tolist(), batch["start"].tolist(), batch["end"].tolist(), strict=True):
                 if now != (cluster, file):
-                    now, kept = (cluster, file), []
-                fresh = all((span := max(b, d) - min(a, c)) <= 0 or (b - a + d - c) / span - 1 < least for c, d in kept)
+                    now, kept = (cluster, file), {}
+                near = {x for s in reached(a, b) for x in kept.get(s, ())}
+                fresh = all((span := max(b, d) - min(a, c)) <= 0 or (b - a + d - c) / span - 1 < least for c, d in near)
                 take.append(fresh)
                 if fresh:
-                    kept.append((a, b))
+                    for s in reached(a, b):
+                        kept.setdefault(s, []).append((a, b))
             yield batch[take]
 
     columns = ["cluster", "file", "node", "start", "end"]

@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.order import places
+
 
 def projection(dims: int, bits: int) -> np.ndarray:
     """A reproducible integer projection (bits x dims) that any engine can build."""
@@ -78,21 +80,12 @@ def permuted(sig: Column, shift: int, bits: int) -> Column:
     return F.shiftrightunsigned(sig, shift).bitwiseOR(F.shiftleft(sig, bits - shift)).bitwiseAND(F.lit(mask))
 
 
-def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds rn, the place in the total order: ranges are counted by their leading bits, so no task sees every row."""
-    w = Window.partitionBy("perm", "lead").orderBy(*order)
-    rows = df.withColumn("__rn", F.row_number().over(w))
-    sizes = df.groupBy("perm", "lead").agg(F.count("*").alias("__n"))
-    before = sizes.select("perm", "lead", (F.sum("__n").over(Window.partitionBy("perm").orderBy("lead")) - F.col("__n")).alias("__before"))  # 2^8 rows a permutation
-    return rows.join(before, ["perm", "lead"]).withColumn("rn", F.col("__rn") + F.col("__before")).drop("__rn", "__before", "__n")
-
-
 def beam_join(df: DataFrame, key: str, bits: int, threshold: float, permutations: int = 4, beam: int = 100) -> DataFrame:
     """Approximate join: in each permutation's order a row meets the beam/2 rows before and after it; i < j, h, cos."""
     half, step = beam // 2, max(1, bits // permutations)
     perms = F.explode(F.array(*[F.struct(F.lit(p).alias("perm"), permuted(F.col("sig"), p * step % bits, bits).alias("key")) for p in range(permutations)]))
     rows = df.where("sig IS NOT NULL").select(F.col(key).alias("id"), "sig", perms.alias("p")).select("id", "sig", "p.*")
-    rows = ranked(rows.withColumn("lead", F.shiftrightunsigned("key", max(0, bits - 8))), "id", ["key", "id"]).select("perm", "rn", "id", "sig")
+    rows = places(rows, ["perm"], ["key", "id"], "rn").select("perm", "rn", "id", "sig")
     left = rows.withColumn("bin", F.floor(F.col("rn") / half))
     right = rows.withColumn("bin", F.explode(F.array(F.floor(F.col("rn") / half), F.floor(F.col("rn") / half) - 1)))
     both = left.alias("x").join(right.alias("y"), ["perm", "bin"]).where("y.rn > x.rn AND y.rn - x.rn <= " + str(half))
@@ -128,7 +121,7 @@ def search(index: DataFrame, queries: DataFrame, key: str, bits: int, threshold:
         rotated = F.when(F.col("perm") == p, permuted(F.col("sig"), p * step % bits, bits)).otherwise(rotated)
     own = own.select("perm", rotated.alias("key"), "id", "sig", F.lit(1).alias("side"))
     every = index.select("perm", "key", "id", "sig", F.lit(0).alias("side")).unionByName(own)
-    rows = ranked(every.withColumn("lead", F.shiftrightunsigned("key", max(0, bits - 8))), "id", ["key", "side", "id"])
+    rows = places(every, ["perm"], ["key", "side", "id"], "rn")
     asked = rows.where("side = 1").withColumn("bin", F.explode(F.sequence(F.floor((F.col("rn") - half) / half), F.floor((F.col("rn") + half) / half))))
     there = rows.where("side = 0").withColumn("bin", F.floor(F.col("rn") / half))
     both = asked.alias("q").join(there.alias("x"), ["perm", "bin"]).where(F.abs(F.col("q.rn") - F.col("x.rn")) <= half)

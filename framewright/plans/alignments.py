@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framewright.operators import align, graph
+from framewright.operators import align, graph, words
 from framewright.plans.catalogue import BITS, EDGES, NODES, REACH, SIGNED, SQL, VECTORS, interval_nodes, neighbours, order_clusters, query, signed
 
 FAR = "'infinity'::DOUBLE"
@@ -91,3 +91,17 @@ def align_cast_both(spark, sf_dir):
     rows = neighbours(spark, sf_dir)
     grown = align.cast_both_of(F.col("frames"), F.col("other_frames"), F.lit(4), F.lit(4))
     return rows.select("vec_id", "other", grown.alias("m")).select("vec_id", "other", "m.*")
+
+
+@query()
+def align_by_change(spark, sf_dir):
+    """Each sequence beside the next, warped and weighed by how much frames change in their middle columns."""
+    rows = neighbours(spark, sf_dir)
+    return rows.select("vec_id", "other", F.round(words.change_distance(F.col("frames"), F.col("other_frames"), 2, 5, 0.9), 8).alias("cost"))
+
+
+@query()
+def align_with_flux(spark, sf_dir):
+    """Each sequence beside the next, warped along a third axis of spectral flux."""
+    rows = neighbours(spark, sf_dir)
+    return rows.select("vec_id", "other", F.round(words.flux_distance(F.col("frames"), F.col("other_frames"), 9, 3, 0.9), 8).alias("cost"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewright.plans import alignments, catalogue, formats, reports, selections, signals
+from framewright.plans import alignments, catalogue, formats, models, reports, selections, signals
 
-MODULES = (alignments, catalogue, formats, reports, selections, signals)
+MODULES = (alignments, catalogue, formats, models, reports, selections, signals)
 QUERIES, SQL, FLAGSHIP = catalogue.QUERIES, catalogue.SQL, catalogue.FLAGSHIP

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright.operators import stats
 from framewright.operators.graph import shared_folder
 from framewright.plans.catalogue import FRAMES, LONG, NODES, ROW, flat, interval_nodes, query
-from framewright.sources import files, sinks
+from framewright.sources import files, ranged, sinks
 from framewright.sources.frames import lineitem_frames, table
 
 
@@ -42,6 +42,10 @@ def with_segment(df: DataFrame) -> DataFrame:
     return df.withColumn("seg_id", F.regexp_extract("path", r"(-?\d+)\.\w+$", 1).cast("long"))
 
 
+def with_file(df: DataFrame) -> DataFrame:
+    return df.withColumn("file", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long"))
+
+
 @query(f"WITH {FRAMES} SELECT seg_id, frame_no, label, {ROW} FROM f")
 def format_rows(spark, sf_dir):
     """Text rows with ids, written and read; labels through a token map."""
@@ -85,16 +89,48 @@ def format_raw_slice(spark, sf_dir):
     return two(with_segment(files.read(spark, "raw", f"{path}/*.raw", width=2, dtype=">f4", first=2, last=7)))
 
 
-@query(f"WITH {USERS}, k AS (SELECT DISTINCT seg_id, printf('%02d', abs(seg_id) % 7) AS file FROM us), m AS (SELECT seg_id, row_number() OVER (ORDER BY file, seg_id) - 1 AS number FROM k) SELECT number AS seg_id, frame_no, label, f0, f1 FROM us JOIN m USING (seg_id)")
+#: Frames of an archive file; the number of files follows from the number of frames.
+FILE_FRAMES = 2_000
+FILED = f"{USERS}, fl AS (SELECT *, printf('%06d', abs(seg_id) % (SELECT greatest(1, (count(*) + {FILE_FRAMES - 1}) // {FILE_FRAMES}) FROM us)) AS file FROM us)"
+
+
+def archived(spark, sf_dir) -> str:
+    """Users' frames as segment archives, written by the tasks; where they are."""
+    path, f = folder(spark, "archive"), user_frames(spark, sf_dir)
+    n = max(1, -(-f.count() // FILE_FRAMES))
+    sinks.write_files(sinks.encoded(f, F.format_string("%06d", F.abs("seg_id") % n), sinks.archive_file), path, ".pfile")
+    return path
+
+
+@query(f"WITH {FILED}, k AS (SELECT DISTINCT seg_id, file FROM fl), m AS (SELECT seg_id, row_number() OVER (ORDER BY file, seg_id) - 1 AS number FROM k) SELECT number AS seg_id, frame_no, label, f0, f1 FROM us JOIN m USING (seg_id)")
 def format_archives(spark, sf_dir):
-    """Seven segment archives, written by the tasks, read as one with segments numbered through."""
-    path = folder(spark, "archive")
-    by = F.format_string("%02d", F.abs("seg_id") % 7)
-    sinks.write_files(sinks.encoded(user_frames(spark, sf_dir), by, sinks.archive_file), path, ".pfile")
-    back = files.logical(files.read(spark, "archive", f"{path}/*.pfile"))
+    """Segment archives, as many as the frames ask for, written by the tasks, read as one with segments numbered through."""
+    back = files.logical(files.read(spark, "archive", f"{archived(spark, sf_dir)}/*.pfile"))
     return two(back.withColumn("label", F.get("labels", 0).cast("int")), "label")
 
 
+@query(f"WITH {FILED} SELECT CAST(file AS BIGINT) AS file, dense_rank() OVER (PARTITION BY file ORDER BY seg_id) - 1 AS seg_id, frame_no, label, f0, f1 FROM fl")
+def scan_archive_ranges(spark, sf_dir):
+    """Segment archives read in ranges of segments: several partitions of one file."""
+    back = ranged.scan(spark, "archive", f"{archived(spark, sf_dir)}/*.pfile", part_bytes=16_384)
+    return two(with_file(back).withColumn("label", F.get("labels", 0).cast("int")), "file", "label")
+
+
+@query(f"WITH {FILED}, r AS (SELECT CAST(file AS BIGINT) AS file, dense_rank() OVER (PARTITION BY file ORDER BY seg_id) - 1 AS seg_id, frame_no, label, f0, f1 FROM fl), n AS (SELECT file, max(seg_id) AS last FROM r GROUP BY file) SELECT r.* FROM r JOIN n USING (file) WHERE seg_id >= 2 AND seg_id <> last - 1 AND frame_no BETWEEN 3 AND 9")
+def scan_archive_slice(spark, sf_dir):
+    """All segments from the third on but the last but one, and frames 3 to 9 of each: only their bytes are read."""
+    back = ranged.scan(spark, "archive", f"{archived(spark, sf_dir)}/*.pfile", part_bytes=16_384, segments="all/^1").where("seg_id >= 2 AND frame_no BETWEEN 3 AND 9")
+    return two(with_file(back).withColumn("label", F.get("labels", 0).cast("int")), "file", "label")
+
+
+@query(f"WITH {USERS} SELECT seg_id, frame_no, f0, f1 FROM us WHERE frame_no BETWEEN 2 AND 7")
+def scan_raw_ranges(spark, sf_dir):
+    """Raw big-endian matrices read in ranges of rows, of which frames 2 to 7 are asked."""
+    path = folder(spark, "raw")
+    sinks.write_files(sinks.encoded(user_frames(spark, sf_dir), F.col("seg_id"), sinks.raw_bytes(">f4")), path, ".raw")
+    return two(with_segment(ranged.scan(spark, "raw", f"{path}/*.raw", width=2, dtype=">f4", part_bytes=32)).where("frame_no BETWEEN 2 AND 7"))
+
+
 @query(f"WITH {USERS}, s AS (SELECT DISTINCT seg_id, lpad(CAST(seg_id AS VARCHAR), 12, '0') AS name FROM us), o AS (SELECT us.*, row_number() OVER (ORDER BY name, frame_no) - 1 AS row_no, dense_rank() OVER (ORDER BY name) - 1 AS number FROM us JOIN s USING (seg_id)) SELECT number AS seg_id, frame_no, CAST(row_no % 5 AS INTEGER) AS label, f0, f1 FROM o")
 def format_archive_built(spark, sf_dir):
     """An archive of raw matrices and a list of labels for all their rows."""

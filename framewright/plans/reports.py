@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from framewright.operators import discovery, evaluation, lsh, matching, pairing
+from framewright.operators import discovery, evaluation, lsh, matching, nearest, pairing
 from framewright.operators.graph import shared_folder
 from framewright.plans.catalogue import ABX, BITS, DIMS, DOTS, DY, HOUGH, MEDIAN, NODES, PAIRS, PEAKS, RUNS, SIGNED, SQL, VECTORS, found_dots, found_median, found_peaks, grades, interval_nodes, query, signed, signed_pairs
 from framewright.sources.frames import table, vectors
@@ -194,6 +194,31 @@ def search_stored_index(spark, sf_dir):
     return lsh.search(spark.read.parquet(path), own.where("vec_id % 7 = 0"), "vec_id", BITS, 0.5).withColumn("cos", F.round("cos", 6))
 
 
+PART_ROWS = 64
+ASKED = f"""r AS (SELECT vec_id AS id, sig, p, (sig >> (p * 8)) + (sig % (1 << (p * 8))) * (1 << ({BITS} - p * 8)) % {1 << BITS} AS key FROM g, range(4) q(p)),
+o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY key, id) - 1 AS place FROM r),
+w AS (SELECT p, key, min(place) AS stand FROM o GROUP BY p, key),
+m AS (SELECT DISTINCT x.id AS query, y.id AS id, CAST(bit_count(xor(x.sig, y.sig)) AS INTEGER) AS h FROM r x JOIN w USING (p, key) JOIN o y ON y.p = x.p AND y.place >= stand - 50 AND y.place < stand + 50 WHERE x.id % 50 = 0)"""
+
+
+@query(f"WITH {SIGNED}, {ASKED} SELECT query, id, h, round(cos(pi() * h / {BITS}.0), 6) AS cos FROM m WHERE cos(pi() * h / {BITS}.0) > 0.5")
+def search_placed_index(spark, sf_dir):
+    """Every fiftieth vector asked against a stored index by as-of joins: the parts around each query's place are read, no others."""
+    own, path = signed(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    nearest.build(own, "vec_id", BITS, 4, path, PART_ROWS)
+    found = nearest.search(spark, path, own.where("vec_id % 50 = 0"), "vec_id", BITS, 0.5, 4, part_rows=PART_ROWS)
+    return found.withColumn("cos", F.round("cos", 6))
+
+
+@query("WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t, event_type, value FROM events) SELECT a.event_id, a.user_id, b.t AS since, b.value AS level FROM (SELECT * FROM e WHERE event_type <> 'purchase') a ASOF LEFT JOIN (SELECT user_id, t, max(value) AS value FROM e WHERE event_type = 'purchase' GROUP BY user_id, t) b ON a.user_id = b.user_id AND a.t >= b.t")
+def events_asof(spark, sf_dir):
+    """Each event with the last purchase of its user at or before it."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
+    bought = rows.where("event_type = 'purchase'").groupBy("user_id", "t").agg(F.max("value").alias("level")).withColumn("since", F.col("t"))
+    asked = rows.where("event_type <> 'purchase'").select("event_id", "user_id", "t")
+    return nearest.asof(asked, bought, ["user_id"], "t", 86_400, ["since", "level"]).select("event_id", "user_id", "since", "level")
+
+
 GAUSSIAN = lsh.gaussian_projection(DIMS, BITS, 5)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.sources.files import archive_bytes
+from framewright.sources.stores import opened, resolved
 
 # ---------------------------------------------------------------- text
 
@@ -119,15 +120,18 @@ def archive_file(g: pd.DataFrame) -> bytes:
 
 
 def write_files(files: DataFrame, folder: str, suffix: str) -> None:
-    """Stores (name, content) as files of a folder that all executors reach; each task writes under a name of its own first, so a task that runs twice does no harm."""
+    """Stores (name, content) as files of a folder that all executors reach; each task writes under a name of its own first, so a task that runs twice does no harm.
+
+    The folder may be any that Spark's file systems resolve: the driver makes it and asks where it really is."""
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    there = resolved(spark, folder)
 
     def store(rows: Iterator) -> None:
         import uuid
 
-        from pyarrow import fs
-
-        system, top = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        system.create_dir(top, recursive=True)
+        system, top = opened(there)
         for r in rows:
             place, draft = posixpath.join(top, r["name"] + suffix), posixpath.join(top, f".{uuid.uuid4().hex}")
             with system.open_output_stream(draft) as out:
