@@ -14,7 +14,8 @@
    other short-tier sequences become fillers of long windows.
 5. Balance: sequences are dealt to step groups by a serpentine order of length.
 
-Null texts count as empty: such a document is the single end id.  Repeated
+The string of a special token in a text gives that token's id, as in the tokenizer's own
+default.  Null texts count as empty: such a document is the single end id.  Repeated
 doc_id rows are separate documents with equal ids.  An empty table packs to an
 empty result.  A null doc_id is kept as null.  Extra columns are ignored.
 """
@@ -83,8 +84,8 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # As the library has it, the string of a special token in a text is that token.
         self.plain, self.marking = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
         special = max(t for t in self.plain.get_added_tokens_decoder())
         self.mark, self.mark_id = self.plain.get_added_tokens_decoder()[special].content, special
         self.merge = self.plain.model.tokenize

@@ -197,7 +197,6 @@ def test_packing_is_a_partition(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.WORD_BPE)
-    tok.encode_special_tokens = True
     d = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()
     out = packing.pack_documents(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), queries.WORD_BPE).toPandas()
     for row in d:
@@ -231,13 +230,20 @@ def test_tokens_of_odd_chunks():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.WORD_BPE)
-    tok.encode_special_tokens = True
     own = packing.ChunkTokenizer(queries.WORD_BPE)
     texts = ["a\x1cb\x1f!", "ΑΣ ΟΔΟΣ. Σ", "é e\u0301e", "<|endoftext|> x<|endoftext|>.", "it's  I'LL don t\x85y", "İstanbul'da İ. son ǅ!", "İ", "\u200b \ufeff", "a\u0301b é. ẋ.", ""]
     texts += [x for c in map(chr, range(0xA0, 0x250)) for x in (f"{c}a.", f"b{c}!", f"{c}{c}")]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "a", ".", " ", "É", "Σ"]), st.text(max_size=3)), max_size=12).map("".join))
+def test_special_tokens_in_a_text(text):
+    """Their strings are their ids, as the library has it by default, wherever they stand."""
+    own, tok = chunk_and_usual()
+    assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aZéÉİıſßǅΣσĸŉ'.,!?<|>_-19½² \t\n\x1c\u0301\u0307\u200b中あ"), st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn"))), max_size=40))
 def test_tokens_of_mixed_text(text):
@@ -250,7 +256,6 @@ def chunk_and_usual():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.WORD_BPE)
-    tok.encode_special_tokens = True
     return packing.ChunkTokenizer(queries.WORD_BPE), tok
 
 
