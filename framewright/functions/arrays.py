@@ -204,3 +204,19 @@ def log_product(p: Column, q: Column, least: float = 1e-10) -> Column:
 def inverse_entropy(p: Column) -> Column:
     """Null for a certain distribution."""
     return 1 / F.when(entropy(p) != 0, entropy(p))
+
+
+def sigmoid_slope(y: Column) -> Column:
+    """Derivative of the logistic function by its own values y."""
+    return F.transform(y, lambda v: v * (1 - v))
+
+
+def tanh_slope(y: Column) -> Column:
+    """Derivative of the hyperbolic tangent by its own values y."""
+    return F.transform(y, lambda v: 1 - v * v)
+
+
+def softmax_slope(p: Column, d: Column) -> Column:
+    """What a softmax p hands back of the slopes d of its outputs: p * (d - sum of p * d)."""
+    once = F.array(F.struct(p.alias("p"), dot(p, d).alias("whole")))
+    return F.get(F.transform(once, lambda z: F.zip_with(z["p"], d, lambda v, e: v * (e - z["whole"]))), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -47,3 +48,17 @@ def to_pre8(values: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def from_pre8(codes: pd.Series) -> pd.Series:
     return codes.map(lambda x: MIDDLES[np.asarray(x, np.int64)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def error_function(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else [math.erf(v) for v in x])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def inverse_error_function(values: pd.Series) -> pd.Series:
+    """Values of -1 and 1 give infinities, others outside give null."""
+    def one(y: float) -> float | None:
+        return math.copysign(math.inf, y) if abs(y) == 1 else NormalDist().inv_cdf((y + 1) / 2) / math.sqrt(2) if abs(y) < 1 else None
+
+    return values.map(lambda x: None if x is None else [one(v) for v in x])

@@ -4,10 +4,13 @@ All but the joins of two archives work on one shuffle by segment at most; a chai
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import ranges
+from framewright.operators.order import sums_before
 
 KEYS = ["seg_id", "frame_no"]
 
@@ -124,13 +127,9 @@ def repeat(df: DataFrame, n: int) -> DataFrame:
 
 
 def merge_segments(df: DataFrame) -> DataFrame:
-    """All segments as one, numbered through.  Prefix sums run over blocks of segments, so no task sees all frames."""
-    block = F.shiftright("seg_id", 12)
-    sizes = df.groupBy("seg_id").agg(F.count("*").alias("n")).withColumn("__b", block)
-    blocks = sizes.groupBy("__b").agg(F.sum("n").alias("n"))
-    before = blocks.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__before"))
-    inside = F.sum("n").over(Window.partitionBy("__b").orderBy("seg_id")) - F.col("n")
-    starts = sizes.withColumn("__in", inside).join(before, "__b").select("seg_id", (F.col("__in") + F.col("__before")).alias("__start"))
+    """All segments as one, numbered through; what lies before a segment is summed by ranges, so no task sees all of them."""
+    sizes = df.groupBy("seg_id").agg(F.count("*").alias("n"))
+    starts = sums_before(sizes, [], ["seg_id"], "n", "__start").select("seg_id", "__start")
     return df.join(starts, "seg_id").withColumn("frame_no", F.col("frame_no") + F.col("__start")).withColumn("seg_id", F.lit(0).cast("long")).drop("__start")
 
 
@@ -200,3 +199,37 @@ def adjacent_distinct(df: DataFrame, by: list[str], order: list[str], value: str
 def with_content(headers: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Headers that have rows under them."""
     return headers.join(rows.select(key).distinct(), key, "left_semi")
+
+
+def noise(number: Column, seed: int) -> Column:
+    """A value near a standard normal that only depends on a text that names it: eight 16-bit parts of its digest added up, with mean 0 and deviation 1."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), number))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.conv(F.substr(digest, 4 * k + 1, F.lit(4)), 16, 10).cast("double") + 0.5) / 65536)
+    return (F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) - 4) * math.sqrt(1.5)
+
+
+def with_silence(df: DataFrame, width: int, before: int, after: int, frames: int, mean: tuple[float, float] = (1.0, 0.0), deviation: tuple[float, float] = (1.0, 0.0), seed: int = 1) -> DataFrame:
+    """Segments (seg_id, frame_no, features, label) with `before` made-up frames ahead and `after` behind.
+
+    A made-up frame is noise around the mean of the segment's first (last) `frames` frames with their population deviation, both
+    scaled and shifted as given: (factor, plus).  It takes the label of the segment's first (last) frame.  Statistics are one
+    aggregate a segment and noise a rule of segment, place and column, so a rerun makes the same frames; segments stay whole in no task."""
+    n = F.col("__n")
+    rows = df.join(df.groupBy("seg_id").agg((F.max("frame_no") + 1).alias("__n")), "seg_id")
+
+    def made(count: int, of: Column, at: Column, side: str) -> DataFrame:
+        own = [F.get("features", i) for i in range(width)]
+        average = F.array(*[F.avg(x) for x in own])
+        spread = F.array(*[F.stddev_pop(x) for x in own])
+        picked = F.min_by("label", "frame_no") if side == "before" else F.max_by("label", "frame_no")
+        stats = rows.where(of).groupBy("seg_id", "__n").agg(average.alias("__m"), spread.alias("__s"), picked.alias("label"))
+        each = stats.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        value = F.transform(F.arrays_zip("__m", "__s"), lambda z, i: mean[0] * z["__m"] + mean[1] + (deviation[0] * z["__s"] + deviation[1]) * noise(F.concat_ws(":", F.col("seg_id").cast("string"), F.lit(side), F.col("__k").cast("string"), i.cast("string")), seed))
+        return each.select("seg_id", (at + F.col("__k")).cast("long").alias("frame_no"), value.alias("features"), "label")
+
+    out = df.select("seg_id", (F.col("frame_no") + before).cast("long").alias("frame_no"), "features", "label")
+    if before:
+        out = out.unionByName(made(before, F.col("frame_no") < frames, F.lit(0), "before"))
+    if after:
+        out = out.unionByName(made(after, F.col("frame_no") >= n - frames, n + before, "after"))
+    return out

@@ -45,19 +45,25 @@ def cepstra(x: np.ndarray, n_fft: int, rate: float, n_filters: int, n_cepstra: i
 
 
 def autocorrelation(x: np.ndarray, order: int) -> np.ndarray:
-    return np.array([(x[: len(x) - k] * x[k:]).sum() for k in range(order + 1)])
+    """Of each row (or of one signal) at the lags 0..order."""
+    return np.stack([(x[..., : x.shape[-1] - k] * x[..., k:]).sum(-1) for k in range(order + 1)], axis=-1)
+
+
+def lpc_rows(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predictors (1, a1, ...) and errors from rows of autocorrelations, by the Levinson recursion; where nothing is left to predict the rest is 0."""
+    a, error = np.zeros(r.shape), r[:, 0].astype(float)
+    a[:, 0] = 1
+    for k in range(1, r.shape[1]):
+        left = error > 0
+        c = np.where(left, -(a[:, :k] * r[:, k:0:-1]).sum(1) / np.where(left, error, 1), 0.0)
+        a[:, : k + 1] += c[:, None] * a[:, k::-1]
+        error = np.where(left, error * (1 - c * c), 0.0)
+    return a, error
 
 
 def lpc(r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Predictor (1, a1, ...) and error from autocorrelations, by the Levinson recursion."""
-    a, error = np.array([1.0]), float(r[0])
-    for k in range(1, len(r)):
-        if error <= 0:
-            return np.pad(a, (0, len(r) - len(a))), 0.0
-        c = -(a @ r[k:0:-1]) / error
-        a = np.pad(a, (0, 1)) + c * np.pad(a, (0, 1))[::-1]
-        error *= 1 - c * c
-    return a, error
+    a, error = lpc_rows(np.asarray(r, float)[None])
+    return a[0], float(error[0])
 
 
 def lpc_cepstra(a: np.ndarray, gain: float, n: int) -> np.ndarray:
@@ -133,7 +139,12 @@ def predictors_of(samples: Column, order: int) -> Column:
     """Linear predictor (1, a1, ...) of each frame, by its autocorrelations."""
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series([lpc(autocorrelation(np.asarray(s, float), order))[0] for s in x], dtype=object)
+        out = np.zeros((len(x), order + 1))
+        n = x.map(len).to_numpy()
+        for size in np.unique(n):
+            rows = np.flatnonzero(n == size)
+            out[rows] = lpc_rows(autocorrelation(np.stack(x.iloc[rows].to_numpy()).astype(float), order))[0]
+        return pd.Series(list(out), dtype=object)
 
     return run(samples)
 
@@ -162,3 +173,26 @@ def mixed(a: DataFrame, b: DataFrame, gain_a: float, gain_b: float, skip: int =
     later = b.select("by", (F.col("sample_no") + skip).alias("sample_no"), F.col("value").alias("__v"))
     both = a.join(later, ["by", "sample_no"], "full")
     return both.select("by", "sample_no", (gain_a * F.coalesce("value", F.lit(0.0)) + gain_b * F.coalesce("__v", F.lit(0.0))).alias("value"))
+
+
+def framed_rows(samples: DataFrame, width: int, hop: int) -> DataFrame:
+    """by, frame_no, samples: whole frames of `width` values every `hop` of signals (by, sample_no, value) of any length.  A sample goes to the frames that hold it, so no signal is ordered or held by a task."""
+    s = F.col("sample_no")
+    frames = F.explode(F.sequence(F.greatest(F.floor((s - width) / hop) + 1, F.lit(0)), F.floor(s / hop)))
+    rows = samples.select("by", "sample_no", "value", frames.alias("frame_no")).groupBy("by", "frame_no").agg(F.array_sort(F.collect_list(F.struct("sample_no", "value"))).alias("x"))
+    return rows.where(F.size("x") == width).select("by", "frame_no", F.transform("x", lambda v: v["value"]).alias("samples"))
+
+
+def cepstral_features(samples: DataFrame, rate: int, to: int, width: int, hop: int, n_fft: int, n_filters: int, n_cepstra: int, delta: int = 2) -> DataFrame:
+    """seg_id, frame_no, features: signals (by, sample_no, value) brought to rate `to`, framed, as cepstra with their deltas and second deltas beside them."""
+    from framewright.operators.sound import resampled
+    from framewright.operators.windows import delta_weights, weighted
+
+    own = resampled(samples, rate, to) if rate != to else samples
+    first = framed_rows(own, width, hop).select(F.col("by").alias("seg_id"), "frame_no", cepstra_of(F.col("samples"), n_fft, float(to), n_filters, n_cepstra).alias("features"))
+    weights = delta_weights(2 * delta + 1)
+    once = weighted(first, weights, n_cepstra)
+    twice = weighted(once, weights, n_cepstra)
+    stacked = first.select("seg_id", "frame_no", F.col("features").alias("__0")).join(once.select("seg_id", "frame_no", F.col("features").alias("__1")), ["seg_id", "frame_no"])
+    stacked = stacked.join(twice.select("seg_id", "frame_no", F.col("features").alias("__2")), ["seg_id", "frame_no"])
+    return stacked.select("seg_id", "frame_no", F.concat("__0", "__1", "__2").alias("features"))

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from framewright.operators.graph import written
 
 
+def sums_before(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of `value` over the rows before each in `order`, separately for each value of `by`; by ranges, as `places` has them."""
+    dealt = written(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range", *by).agg(F.sum(value).alias("__n"))  # a row for each range and value of `by` in it
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")).drop("__n")
+    own = F.sum(value).over(Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return dealt.withColumn("__own", own).join(before, ["__range", *by]).withColumn(out, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+
+
 def places(df: DataFrame, by: list[str], order: list[str], out: str = "place") -> DataFrame:
     """df with its rows' places 0, 1, ... in `order`, separately for each value of `by`.
 
@@ -17,8 +26,6 @@ def places(df: DataFrame, by: list[str], order: list[str], out: str = "place") -
     dealt = written(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
     sizes = dealt.groupBy("__range", *by).agg(F.count("*").alias("__n"))  # a row for each range and value of `by` in it
     before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")).drop("__n")
-    if not by:
-        before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)) - 1
     return dealt.withColumn("__own", own).join(before, ["__range", *by]).withColumn(out, (F.col("__before") + F.col("__own")).cast("long")).drop("__range", "__own", "__before")
 

@@ -175,15 +175,15 @@ def segmental_kmeans(df: DataFrame, k: int, segments: int, rounds: int) -> DataF
     from framewright.operators.graph import written
 
     frames = written(in_segments(df, segments).select("seg_id", "frame_no", "label", "part", "features"))
+    width = frames.agg(F.max(F.size("features"))).first()[0] or 0
     first = frames.groupBy("label", "part", "features").agg(F.min(F.struct("seg_id", "frame_no")).alias("at"))
     first = first.withColumn("cluster", F.row_number().over(Window.partitionBy("label", "part").orderBy("at")) - 1).where(F.col("cluster") < k)
     means = written(first.select("label", "part", "cluster", F.col("features").alias("centre"), F.lit(0).cast("long").alias("n")))
     for _ in range(rounds):
         table = means.groupBy("label", "part").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("means"))  # k means a row
         far = F.transform("means", lambda m: F.struct(F.aggregate(F.zip_with(m["centre"], F.col("features"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), m["cluster"].alias("cluster")))
-        near = frames.join(table, ["label", "part"]).select("label", "part", F.array_min(far)["cluster"].alias("cluster"), F.posexplode("features").alias("dim", "v"))
-        cells = near.groupBy("label", "part", "cluster", "dim").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
-        means = written(cells.groupBy("label", "part", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("centre"), F.max("n").alias("n")))
+        near = frames.join(table, ["label", "part"]).select("label", "part", F.array_min(far)["cluster"].alias("cluster"), "features")
+        means = written(near.groupBy("label", "part", "cluster").agg(F.array(*[F.avg(F.get("features", i)) for i in range(width)]).alias("centre"), F.count("*").alias("n")))
     return means.select("label", "part", "cluster", "n", "centre")
 
 

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.functions import arrays
 from framewright.operators import stats
 from framewright.operators.graph import shared_folder
-from framewright.plans.catalogue import FRAMES, LONG, NODES, ROW, flat, interval_nodes, query
+from framewright.plans.catalogue import FRAMES, LONG, NODES, ROW, VECTORS, flat, interval_nodes, query
+from framewright.plans.reports import MATCHES, found_matches
 from framewright.sources import files, ranged, sinks
-from framewright.sources.frames import lineitem_frames, table
+from framewright.sources.frames import lineitem_frames, table, vectors
 
 
 def folder(spark: SparkSession, kind: str) -> str:
@@ -175,3 +177,38 @@ def format_tokens(spark, sf_dir):
     lines.select(F.col("conv_id").cast("string").alias("name"), F.encode("line", "UTF-8").alias("content")).transform(lambda d: sinks.write_files(d, path, ".txt") or d)
     back = files.read(spark, "tokens", f"{path}/*.txt")
     return back.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("conv_id"), "place", "token")
+
+
+CODED = f"{VECTORS}, pb AS (SELECT vec_id, list_transform(features, lambda v: exp(v - list_max(features))) AS e FROM v), cd AS (SELECT vec_id, list_transform(e, lambda v: least(greatest(floor(-24 * ln(v / list_sum(e) + 1e-37)), 0), 255)) AS c FROM pb), sg AS (SELECT vec_id % 50 AS seg, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) - 1 AS frame_no, c FROM cd)"
+
+
+@query(f"WITH {CODED}, fl AS (SELECT seg % 3 AS file, seg // 3 AS seg_id, frame_no, c FROM sg) SELECT file, seg_id, frame_no, i::INTEGER AS i, c[i + 1]::INTEGER AS code FROM fl, range(64) r(i)")
+def format_flagged_codes(spark, sf_dir):
+    """Probabilities as 8-bit codes behind an end-of-segment flag, written by the tasks, read in ranges; segments follow from the flags."""
+    w = Window.partitionBy("seg").orderBy("vec_id")
+    own = vectors(spark, sf_dir).withColumn("seg", F.col("vec_id") % 50).withColumn("frame_no", (F.row_number().over(w) - 1).cast("long"))
+    coded = own.select(F.floor(F.col("seg") / 3).alias("seg_id"), "frame_no", arrays.lna8(arrays.softmax(F.col("features"))).alias("features"), (F.col("seg") % 3).alias("file"))
+    path = folder(spark, "codes")
+    sinks.write_files(sinks.encoded(coded, F.col("file"), sinks.flagged_bytes()), path, ".codes")
+    back = ranged.segmented(ranged.scan(spark, "flagged", f"{path}/*.codes", width=64, part_bytes=1_000), 8)
+    return with_file(back).select("file", "seg_id", "frame_no", F.posexplode("features").alias("i", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+@query(f"WITH {VECTORS}, m AS (SELECT label, i, round(avg(features[i + 1]), 6) AS value FROM v, range(64) r(i) GROUP BY label, i), b AS (SELECT label, round(-sum(value * value) / 2, 5) AS value FROM m GROUP BY label) SELECT 'weigvec' AS section, dense_rank() OVER (ORDER BY label) - 1 AS row, i AS column, value FROM m UNION ALL SELECT 'biasvec', row_number() OVER (ORDER BY label) - 1, 0, value FROM b".replace(" AS row,", ' AS "row",').replace(" AS column,", ' AS "column",'))
+def format_weights(spark, sf_dir):
+    """A layer that compares a vector with the means of the labels, as a weight file, written and read."""
+    long = vectors(spark, sf_dir).select("label", F.posexplode("features").alias("column", "v"))
+    means = long.groupBy("label", "column").agg(F.round(F.avg("v"), 6).alias("value"))
+    bias = means.groupBy("label").agg(F.round(-F.sum(F.col("value") * F.col("value")) / 2, 5).alias("value"))
+    rows = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1  # a row for each label
+    cells = means.select(F.lit("weigvec").alias("section"), rows.cast("long").alias("row"), F.col("column").cast("long").alias("column"), "value")
+    cells = cells.union(bias.select(F.lit("biasvec"), rows.cast("long"), F.lit(0).cast("long"), "value"))
+    lines = sinks.weight_lines(cells).coalesce(1).select(F.explode("lines").alias("line"))
+    return files.weights_text(spark, through_text(lines, "weights"), {"weigvec": 64}).drop("path")
+
+
+@query(f"WITH {MATCHES}, l AS (SELECT file, list(xa || ' ' || xb || ' ' || ya || ' ' || yb ORDER BY xa, xb, ya, yb) AS lines FROM mt GROUP BY file) SELECT 'f' || file || ' f' || file AS pair, unnest(range(len(lines)))::INTEGER AS at, unnest(lines) AS line FROM l")
+def format_match_lines(spark, sf_dir):
+    """Match lists: a header for each pair of files, a line for each match."""
+    own = found_matches(spark, sf_dir).withColumn("f1", F.concat(F.lit("f"), F.col("file").cast("string"))).withColumn("f2", F.col("f1"))
+    return sinks.match_lines(own, ["xa", "xb", "ya", "yb"]).select("pair", F.posexplode("lines").alias("at", "line"))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators import matching, mixtures, network, segmental, sound
+from framewright.functions import arrays
+from framewright.operators import archive, frontend, matching, mixtures, network, segmental, sound
 from framewright.operators.graph import shared_folder, written
 from framewright.plans.catalogue import DOTS, FRAMES, VECTORS, found_dots, query
 from framewright.sources.frames import lineitem_frames, table, vectors
@@ -161,3 +162,45 @@ def dots_longest_chain(spark, sf_dir):
     """The longest chain of dots over 0.4 of each file."""
     dots = found_dots(spark, sf_dir).where("val > 0.4").select("file", ((F.col("xp") - F.col("yp")) / 2).cast("long").alias("x"), ((F.col("xp") + F.col("yp")) / 2).cast("long").alias("y"))
     return matching.longest_chains(dots)
+
+
+# ---------------------------------------------------------------- cepstra, silence, slopes
+
+
+@query()
+def front_cepstral_features(spark, sf_dir):
+    """A user's values as a signal, brought to half as many samples again, framed, as cepstra with deltas and second deltas."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    signal = table(spark, sf_dir, "events").select(F.col("user_id").alias("by"), number.cast("long").alias("sample_no"), "value")
+    rows = frontend.cepstral_features(signal, 100, 150, 24, 12, 32, 8, 5)
+    return rows.select("seg_id", "frame_no", F.posexplode("features").alias("k", "value")).withColumn("value", F.round("value", 6))
+
+
+NOISE = "(list_sum(list_transform(range(8), lambda q: (('0x' || md5({})[4 * q + 1:4 * q + 4])::BIGINT + 0.5::DOUBLE) / 65536)) - 4) * sqrt(1.5)"
+
+
+def silence_sql(side: str, of: str, at: str, label: str) -> str:
+    value = f"2 * m[d] + 1 + (0.5 * s[d] + 0.25) * {NOISE.format(chr(39) + '7:' + chr(39) + ' || st.seg_id || ' + chr(39) + f':{side}:' + chr(39) + ' || k || ' + chr(39) + ':' + chr(39) + ' || (d - 1)')}"
+    stats = ", ".join(f"avg(features[{i}])" for i in range(1, 5)), ", ".join(f"stddev_pop(features[{i}])" for i in range(1, 5))
+    return f"SELECT st.seg_id, {at} + k AS frame_no, list_transform(range(1, 5), lambda d: {value}) AS features, label FROM (SELECT seg_id, any_value(n) AS n, [{stats[0]}] AS m, [{stats[1]}] AS s, {label}(label, frame_no) AS label FROM fn WHERE {of} GROUP BY seg_id) st, range(2) r(k)"
+
+
+@query(f"""WITH {FRAMES}, fn AS (SELECT f.*, n FROM f JOIN n USING (seg_id)), a AS (SELECT seg_id, frame_no + 2 AS frame_no, features, label FROM fn
+UNION ALL {silence_sql('before', 'frame_no < 3', '0', 'arg_min')} UNION ALL {silence_sql('after', 'frame_no >= n - 3', 'n + 2', 'arg_max')})
+SELECT seg_id, frame_no, label, round(features[1], 5) AS f0, round(features[2], 3) AS f1, round(features[3], 6) AS f2 FROM a""")
+def archive_with_silence(spark, sf_dir):
+    """Two made-up frames ahead of each segment and two behind, around the statistics of its first and last three."""
+    rows = archive.with_silence(lineitem_frames(spark, sf_dir).drop("l_linestatus"), 4, 2, 2, 3, (2.0, 1.0), (0.5, 0.25), 7)
+    return rows.select("seg_id", "frame_no", "label", F.round(F.get("features", 0), 5).alias("f0"), F.round(F.get("features", 1), 3).alias("f1"), F.round(F.get("features", 2), 6).alias("f2"))
+
+
+@query(f"""WITH {VECTORS}, y AS (SELECT vec_id, list_transform(features, lambda v: 1 / (1 + exp(-v))) AS s, list_transform(features, lambda v: tanh(v)) AS t, features AS d FROM v),
+e AS (SELECT *, list_transform(d, lambda v: exp(v - list_max(d))) AS e FROM y), p AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
+SELECT vec_id, i::INTEGER AS i, round(s[i + 1] * (1 - s[i + 1]), 8) AS sigmoid, round(1 - t[i + 1] ** 2, 8) AS tanh, round(p[i + 1] * (d[i + 1] - list_dot_product(p, d)), 8) AS softmax FROM p, range(64) r(i)""")
+def row_slopes(spark, sf_dir):
+    """Derivatives of the outputs of a layer: logistic, hyperbolic tangent, softmax."""
+    x = F.col("features")
+    rows = vectors(spark, sf_dir).withColumn("p", arrays.softmax(x))
+    slopes = {"sigmoid": arrays.sigmoid_slope(F.transform(x, lambda v: 1 / (1 + F.exp(-v)))), "tanh": arrays.tanh_slope(F.transform(x, lambda v: F.tanh(v))), "softmax": arrays.softmax_slope(F.col("p"), x)}
+    rows = rows.select("vec_id", *[a.alias(n) for n, a in slopes.items()])
+    return rows.select("vec_id", F.posexplode(F.arrays_zip(*slopes)).alias("i", "z")).select("vec_id", "i", *[F.round(F.col("z")[n], 8).alias(n) for n in slopes])

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.codecs import mulaw_samples
+from framewright.operators.order import places, sums_before
 
 ROWS = 10_000
 HEADER = 32_768  # bytes of an archive's text header
@@ -194,6 +195,16 @@ def norms_text(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.get(p, 0).cast("int").alias("dim"), F.get(p, 1).cast("double").alias("mean"), F.get(p, 2).cast("double").alias("sd"))
 
 
+def weights_text(spark: SparkSession, path, widths: dict[str, int]) -> DataFrame:
+    """Weight files of sections, each a line `section size` and its numbers by rows of the section's width: path, section, row, column, value.  A size that isn't the number of numbers is an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^[A-Za-z]\w*\s+\d+$(?:\n(?![A-Za-z])[^\n]*)*"), F.lit(0))).alias("part"))
+    parts = rows.select("path", F.split(F.btrim("part", F.lit(" \t\r\n")), r"\s+").alias("p")).select("path", F.get("p", 0).alias("section"), F.get("p", 1).cast("long").alias("size"), F.slice("p", 3, 2**30).alias("v"))
+    whole = F.when(F.size("v") == F.col("size"), F.col("v")).otherwise(F.raise_error(F.concat(F.col("section"), F.lit(": its size isn't that of its numbers"))))
+    width = F.coalesce(*[F.when(F.col("section") == k, n) for k, n in widths.items()], F.lit(1))
+    cells = parts.select("path", "section", width.alias("width"), F.posexplode(whole).alias("at", "value"))
+    return cells.select("path", "section", F.floor(F.col("at") / F.col("width")).alias("row"), (F.col("at") % F.col("width")).cast("long").alias("column"), F.col("value").cast("double").alias("value"))
+
+
 def au(spark: SparkSession, path) -> DataFrame:
     """Sound with a `.snd` header: path, rate, sample_no, channels (mu-law, 8- or 16-bit samples as numbers)."""
 
@@ -220,20 +231,19 @@ def listed(spark: SparkSession, list_file: str) -> list[str]:
 def logical(frames: DataFrame) -> DataFrame:
     """Archives of several files as one: segments numbered on from file to file, in the order of their paths."""
     sizes = frames.groupBy("path").agg((F.max("seg_id") + 1).alias("n"))  # a row for each file
-    starts = sizes.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("__start"))
-    return frames.join(F.broadcast(starts), "path").withColumn("seg_id", F.col("seg_id") + F.col("__start")).drop("__start")
+    starts = sums_before(sizes, [], ["path"], "n", "__start").drop("n")
+    return frames.join(starts, "path").withColumn("seg_id", F.col("seg_id") + F.col("__start")).drop("__start")
 
 
 def built(matrices: DataFrame, labels: DataFrame) -> DataFrame:
     """An archive of raw matrices (path, frame_no, features), a segment each in the order of their paths, and labels (row_no, label) by row over all."""
     sizes = matrices.groupBy("path").agg(F.count("*").alias("n"))  # a row for each file
-    order = Window.orderBy("path")
-    starts = sizes.select("path", (F.row_number().over(order) - 1).cast("long").alias("seg_id"), (F.sum("n").over(order) - F.col("n")).alias("__start"))
-    rows = matrices.join(F.broadcast(starts), "path").withColumn("row_no", F.col("frame_no") + F.col("__start"))
+    starts = places(sums_before(sizes, [], ["path"], "n", "__start"), [], ["path"], "seg_id").drop("n")
+    rows = matrices.join(starts, "path").withColumn("row_no", F.col("frame_no") + F.col("__start"))
     return rows.join(labels, "row_no").select("seg_id", "frame_no", "features", "label")
 
 
-READERS = {"raw": raw_matrix, "sized": sized_matrix, "htk": htk, "archive": archive, "rows": row_text, "sparse": sparse_text, "text": text_matrix, "timed": timed_text, "tokens": tokens_text, "wav": wav, "au": au, "matches": matches_text, "signatures": signatures, "norms": norms_text}
+READERS = {"raw": raw_matrix, "sized": sized_matrix, "htk": htk, "archive": archive, "rows": row_text, "sparse": sparse_text, "text": text_matrix, "timed": timed_text, "tokens": tokens_text, "wav": wav, "au": au, "matches": matches_text, "signatures": signatures, "norms": norms_text, "weights": weights_text}
 
 
 def read(spark: SparkSession, kind: str, path, **options) -> DataFrame:

@@ -1,7 +1,7 @@
 """Files of fixed-width rows, read in ranges: a file is as many partitions as its size asks for.
 
 `format("framewright-ranges")` reads archives, raw and self-sized matrices, signatures,
-feature files with a 12-byte header and PCM sound.  A partition is a range of rows of one
+feature files with a 12-byte header, rows with an end-of-segment flag (8-bit codes or numbers) and PCM sound.  A partition is a range of rows of one
 file; in archives with an index it is a range of whole segments, unless one segment alone is
 longer than a partition.  Options give segments (a range list like `3-9,20`) and frames (first and
 last of each segment), and filters of the DataFrame on seg_id and frame_no come down too: segments
@@ -23,8 +23,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 
 from framewright.functions.ranges import parse
 from framewright.sources.files import HEADER, archive_fields
@@ -36,10 +37,11 @@ PART_BYTES, BATCH = 64 << 20, 10_000
 SCHEMAS = {
     "archive": "path string, seg_id bigint, frame_no bigint, features array<double>, labels array<bigint>",
     "signatures": "path string, frame_no bigint, sig bigint",
+    "flagged": "path string, frame_no bigint, ended boolean, features array<double>",
     "sound": "path string, rate bigint, frame_no bigint, channels array<double>",
 }
 MATRIX = "path string, frame_no bigint, features array<double>"
-KINDS = ("archive", "raw", "sized", "htk", "signatures", "sound")
+KINDS = ("archive", "raw", "sized", "htk", "signatures", "flagged", "sound")
 
 
 @dataclass
@@ -91,6 +93,11 @@ def layout(kind: str, uri: str, size: int, options: dict) -> Layout:
             out = Layout(12, n, ">f4", width // 4)
         elif kind == "signatures":
             out = Layout(0, size // 8, "<i8", 1)
+        elif kind == "flagged":
+            out = Layout(0, 0, "u1", 1 + int(options["width"]) * np.dtype(options.get("dtype", "u1")).itemsize, {"dtype": options.get("dtype", "u1")})
+            out.rows, rest = divmod(size, out.width)
+            if rest:
+                raise ValueError(f"{uri}: {size} bytes aren't rows of a flag and {options['width']} values")
         else:
             out = sound(at, size, uri)
     if out.offset + out.rows * out.width > size:
@@ -242,6 +249,9 @@ class Reader(ds.DataSourceReader):
             columns |= {"seg_id": pa.array(cells[:, 0].astype(np.int64)), "frame_no": pa.array(cells[:, 1].astype(np.int64)), "features": lists(features, np.float64), "labels": lists(cells[:, b : b + h["num_labels"]], np.int64)}
         elif self.kind == "signatures":
             columns |= {"frame_no": numbers, "sig": pa.array(cells[:, 0].astype(np.int64))}
+        elif self.kind == "flagged":
+            x = np.ascontiguousarray(cells[:, 1:]).view(shape.fields["dtype"])
+            columns |= {"frame_no": numbers, "ended": pa.array(cells[:, 0] >= 128), "features": lists(x, np.float64)}
         elif self.kind == "sound":
             x = cells.astype(np.float64) - (128 if shape.cell == "u1" else 0)
             columns |= {"rate": pa.array(np.full(n, shape.fields["rate"], np.int64)), "frame_no": numbers, "channels": lists(x, np.float64)}
@@ -263,7 +273,7 @@ class Ranges(ds.DataSource):
 
 
 def scan(spark: SparkSession, kind: str, path: str | list[str], **options) -> DataFrame:
-    """The rows of all files that the paths name.  options: segments, first, last, part_bytes; width, dtype and skip for raw matrices.
+    """The rows of all files that the paths name.  options: segments, first, last, part_bytes; width, dtype and skip for raw matrices, width and dtype for flagged rows.
 
     Filters reach the files only with Spark's setting for filters in Python sources, which this turns on for the session."""
     if kind not in KINDS:
@@ -272,3 +282,15 @@ def scan(spark: SparkSession, kind: str, path: str | list[str], **options) -> Da
     spark.dataSource.register(Ranges)
     reader = spark.read.format(NAME).options(kind=kind, files=json.dumps(found(spark, path)), **{k: str(v) for k, v in options.items() if v is not None})
     return reader.load()
+
+
+def segmented(rows: DataFrame, block: int = 65_536) -> DataFrame:
+    """path, seg_id, frame_no, features of flagged rows: segments are numbered by the flags before them.  Flags are counted by blocks of rows, so no file is ordered by a task."""
+    rows = rows.withColumn("__b", F.floor(F.col("frame_no") / block))
+    last = F.when(F.col("ended"), F.col("frame_no"))
+    sums = rows.groupBy("path", "__b").agg(F.sum(F.col("ended").cast("long")).alias("__n"), F.max(last).alias("__last"))  # a row for each block
+    sooner = Window.partitionBy("path").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("path", "__b", F.coalesce(F.sum("__n").over(sooner), F.lit(0)).alias("__n"), F.coalesce(F.max("__last").over(sooner), F.lit(-1)).alias("__last"))
+    inside = Window.partitionBy("path", "__b").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__k": F.coalesce(F.sum(F.col("ended").cast("long")).over(inside), F.lit(0)), "__l": F.max(last).over(inside)}).join(before, ["path", "__b"])
+    return rows.select("path", (F.col("__k") + F.col("__n")).alias("seg_id"), (F.col("frame_no") - F.coalesce("__l", "__last") - 1).alias("frame_no"), "features")

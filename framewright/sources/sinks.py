@@ -71,6 +71,12 @@ def norm_lines(norms: DataFrame) -> DataFrame:
     return norms.select(F.concat_ws(" ", F.col("dim").cast("string"), number(F.col("mean")), number(F.col("sd"))).alias("line"))
 
 
+def weight_lines(cells: DataFrame) -> DataFrame:
+    """section, lines: the head `section size` and a line for each number, in the order of (row, column).  cells: (section, row, column, value); a model's sections are small."""
+    per = cells.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("row", "column", "value"))).alias("c"))
+    return per.select("section", F.concat(F.array(F.format_string("%s %d", "section", F.size("c"))), F.transform("c", lambda x: number(x["value"]))).alias("lines"))
+
+
 # ---------------------------------------------------------------- runs of labels
 
 
@@ -113,6 +119,18 @@ def htk_bytes(period: int = 100_000, kind: int = 9) -> Callable[[pd.DataFrame],
     return encode
 
 
+def flagged_bytes(dtype: str = "u1") -> Callable[[pd.DataFrame], bytes]:
+    """Rows of a flag, 128 at the last frame of a segment, and the values."""
+
+    def encode(g: pd.DataFrame) -> bytes:
+        x = np.ascontiguousarray(np.stack(g["features"].to_numpy()).astype(dtype)).view(np.uint8).reshape(len(g), -1)
+        seg = g["seg_id"].to_numpy()
+        flag = np.append(seg[1:] != seg[:-1], True).astype(np.uint8) * 128
+        return np.column_stack((flag, x)).tobytes()
+
+    return encode
+
+
 def archive_file(g: pd.DataFrame) -> bytes:
     """A segment archive; its segments are numbered from 0 in the file."""
     seg = pd.factorize(g["seg_id"], sort=True)[0]

@@ -11,9 +11,10 @@ import wave
 import numpy as np
 import pytest
 
-from framewright.operators import lsh, matching, mixtures, nearest, network, order, segmental, sound, words
+from framewright.functions import codecs
+from framewright.operators import align, archive, frontend, lsh, matching, mixtures, nearest, network, order, segmental, sound, words
 from framewright.operators.graph import shared_folder, written
-from framewright.sources import files, ranged, stores
+from framewright.sources import files, ranged, sinks, stores
 
 # ---------------------------------------------------------------- ranged scans
 
@@ -463,3 +464,119 @@ def test_beam_join_with_copies(spark):
         ids = [i for _, i in sorted(((s >> p) | (s << (8 - p)) & 255, i) for i, s in sigs)]
         want |= {(min(a, b), max(a, b)) for k, a in enumerate(ids) for b in ids[k + 1 : k + 4]}
     assert got == want
+
+
+# ---------------------------------------------------------------- silence, flags, weights, cepstra, error function
+
+
+def test_silence_around_segments(spark):
+    """Made-up frames follow the statistics of the ends, take the ends' labels, and are the same in every run."""
+    g = np.random.default_rng(20)
+    rows = [(s, t, [float(g.normal(10 if t < 20 else -5, 2)), 3.0], t // 20) for s in range(40) for t in range(40)]
+    df = spark.createDataFrame(rows, "seg_id long, frame_no long, features array<double>, label int")
+    out = archive.with_silence(df, 2, 30, 5, 20, (1.0, 0.5), (0.5, 0.0), 3).orderBy("seg_id", "frame_no").collect()
+    again = archive.with_silence(df.repartition(7), 2, 30, 5, 20, (1.0, 0.5), (0.5, 0.0), 3).orderBy("seg_id", "frame_no").collect()
+    assert [r["features"] for r in again] == [pytest.approx(r["features"]) for r in out]  # but for the rounding of sums
+    one = [r for r in out if r["seg_id"] == 7]
+    assert [r["frame_no"] for r in one] == list(range(75)) and [r["label"] for r in one] == [0] * 30 + [t // 20 for t in range(40)] + [1] * 5
+    assert [tuple(r["features"]) for r in one[30:70]] == [tuple(x[2]) for x in rows if x[0] == 7]
+    ahead = np.array([r["features"] for r in out if r["frame_no"] < 30])
+    expected = np.mean([r[2][0] for r in rows if r[1] < 20]) + 0.5
+    assert ahead[:, 0].mean() == pytest.approx(expected, abs=0.1) and ahead[:, 0].std() == pytest.approx(1.0, abs=0.15) and (ahead[:, 1] == 3.5).all()
+    assert archive.with_silence(df, 2, 0, 0, 5).count() == len(rows) and archive.with_silence(df.limit(0), 2, 3, 3, 5).count() == 0
+
+
+def test_flagged_rows(spark, tmp_path):
+    """Segments follow from the flags wherever ranges and blocks end; numbers and codes."""
+    import pandas as pd
+
+    lengths = [3, 1, 9, 4, 1]
+    g = np.random.default_rng(21)
+    frames = pd.DataFrame([(s, t, g.integers(0, 256, 3)) for s, n in enumerate(lengths) for t in range(n)], columns=["seg_id", "frame_no", "features"])
+    (tmp_path / "a.codes").write_bytes(sinks.flagged_bytes()(frames))
+    (tmp_path / "b.numbers").write_bytes(sinks.flagged_bytes(">f4")(frames))
+    want = [(s, t, tuple(map(float, f))) for s, t, f in frames.itertuples(index=False)]
+    for name, dtype in (("a.codes", "u1"), ("b.numbers", ">f4")):
+        for block in (2, 5, 1000):
+            got = ranged.segmented(ranged.scan(spark, "flagged", str(tmp_path / name), width=3, dtype=dtype, part_bytes=30), block)
+            assert sorted((r["seg_id"], r["frame_no"], tuple(r["features"])) for r in got.collect()) == want
+    (tmp_path / "c.codes").write_bytes(b"12345")
+    with pytest.raises(Exception, match="aren't rows"):
+        ranged.scan(spark, "flagged", str(tmp_path / "c.codes"), width=3).count()
+
+
+def test_weight_files(spark, tmp_path):
+    (tmp_path / "w").write_text("weigvec 6\n1\n-2.5\n3e-3\n4 5\n6\nbiasvec 2\n 0.5 -1E+2\n")
+    got = [tuple(r)[1:] for r in files.weights_text(spark, str(tmp_path / "w"), {"weigvec": 3}).orderBy("section", "row", "column").collect()]
+    assert got == [("biasvec", 0, 0, 0.5), ("biasvec", 1, 0, -100.0), *[("weigvec", k // 3, k % 3, v) for k, v in enumerate((1, -2.5, 0.003, 4, 5, 6))]]
+    (tmp_path / "x").write_text("weigvec 3\n1\n2\n")
+    with pytest.raises(Exception, match="its size"):
+        files.weights_text(spark, str(tmp_path / "x"), {}).collect()
+
+
+def test_cepstral_features(spark):
+    """The driver's parts, computed on the whole signal at once."""
+    g = np.random.default_rng(22)
+    x = g.normal(size=300)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "by string, sample_no long, value double")
+    got = np.array([r["features"] for r in frontend.cepstral_features(df, 8000, 8000, 40, 20, 64, 10, 6).orderBy("frame_no").collect()])
+    first = frontend.cepstra(np.stack([x[k : k + 40] for k in range(0, 261, 20)]), 64, 8000.0, 10, 6)
+    slope = lambda c: sum(k * c[np.clip(np.arange(len(c)) + k, 0, len(c) - 1)] for k in range(-2, 3))
+    assert np.allclose(got, np.concatenate((first, slope(first), slope(slope(first))), axis=1))
+    half = frontend.cepstral_features(df, 8000, 4000, 20, 10, 32, 6, 4)
+    assert half.count() == (150 - 20) // 10 + 1 and len(half.first()["features"]) == 12
+
+
+def test_error_functions(spark):
+    x = [-2.0, -0.3, 0.0, 1e-3, 1.5]
+    df = spark.createDataFrame([(x,), ([],), (None,)], "x array<double>").withColumn("e", codecs.error_function("x"))
+    rows = df.withColumn("back", codecs.inverse_error_function("e")).collect()
+    assert rows[0]["e"] == pytest.approx([math.erf(v) for v in x]) and rows[0]["back"] == pytest.approx(x, abs=1e-9)
+    assert rows[1]["back"] == [] and rows[2]["back"] is None
+    edge = spark.createDataFrame([([1.0, -1.0, 2.0],)], "e array<double>").select(codecs.inverse_error_function("e").alias("x")).first()["x"]
+    assert edge == [math.inf, -math.inf, None]
+
+
+def test_batches_are_single_pairs():
+    """Casts, keywords, tokens and predictors of a batch of uneven pairs are those of each pair by itself, and of plain loops."""
+    g = np.random.default_rng(23)
+    costs = [g.random((g.integers(1, 15), g.integers(1, 15))) for _ in range(40)]
+    assert align.casts(costs, 4, 2.5, 0.4) == [align.cast(c, 4, 2.5, 0.4) for c in costs]
+    assert align.keyword_ends(costs) == [align.keyword_end(c) for c in costs]
+    centres = [(c.shape[0] // 2, c.shape[1] // 2) for c in costs]
+    assert align.casts_both(costs, centres, 4, 2.5, 0.4) == [align.cast_both(c, *p, 4, 2.5, 0.4) for c, p in zip(costs, centres, strict=True)]
+
+    def cast_by_hand(c, band, limit, trim):
+        total, came, best, where = {}, {}, -1, (-1, -1)
+        for i in range(c.shape[0]):
+            for j in range(max(0, i - band), min(c.shape[1], i + band + 1)):
+                ways = [total.get((i - 1, j - 1), math.inf if i or j else 0.0), total.get((i - 1, j), math.inf), total.get((i, j - 1), math.inf)]
+                if min(ways) + c[i, j] <= limit:
+                    total[i, j], came[i, j] = min(ways) + c[i, j], ways.index(min(ways))
+                    if i * i + j * j > best:
+                        best, where = i * i + j * j, (i, j)
+        i, j = where
+        while i > 0 and j > 0 and c[i, j] >= trim:
+            i, j = [(i - 1, j - 1), (i - 1, j), (i, j - 1)][came[i, j]]
+        return (i, j, total[i, j]) if best >= 0 else (-1, -1, 0.0)
+
+    assert np.allclose(align.casts(costs, 4, 2.5, 0.4), [cast_by_hand(c, 4, 2.5, 0.4) for c in costs])
+    words_ = [([str(x) for x in g.integers(0, 3, g.integers(0, 7))], [str(x) for x in g.integers(0, 3, g.integers(0, 7))]) for _ in range(40)]
+
+    def tokens_by_hand(a, b):
+        if not a or not b:
+            return 0.0 if not a and not b else 1.0
+        t = np.full((len(a) + 1, len(b) + 1), np.inf)
+        t[0, 0] = 0
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            t[i, j] = min(t[i - 1, j - 1] + (a[i - 1] != b[j - 1]), t[i - 1, j] + 1, t[i, j - 1] + 1)
+        return t[-1, -1] / (len(a) + len(b))
+
+    assert align.token_distances(words_) == pytest.approx([tokens_by_hand(a, b) for a, b in words_])
+    x = g.normal(size=(5, 40))
+    x[2] = 0
+    a, error = frontend.lpc_rows(frontend.autocorrelation(x, 4))
+    for k in (0, 1, 3, 4):
+        r = np.array([(x[k, : 40 - q] * x[k, q:]).sum() for q in range(5)])
+        assert a[k, 1:] == pytest.approx(-np.linalg.solve([[r[abs(p - q)] for q in range(4)] for p in range(4)], r[1:]))
+    assert a[2].tolist() == [1, 0, 0, 0, 0] and error[2] == 0
