@@ -9,7 +9,8 @@ by their count over all documents, rarest first; blocks and templates are sorted
 arrays of those ranks.  A block that qualifies shares a rank of the template's
 prefix (rarest words first), is long enough, and leaves room after the first
 shared position.  So an index from prefix words to templates is asked at each such
-word of a text, and only blocks around it are formed, filtered and counted.
+word of a text; the length and position filters (`possible`) throw out what cannot
+qualify before a block is formed, and only blocks around the rest are counted.
 
 Everything runs inside rows (no shuffle of texts); the one aggregate is the word
 count, a row for each template word.  Templates are a parameter, so every literal
@@ -82,15 +83,24 @@ def global_order(docs: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (count.get(w, 0), w))
 
 
+def possible(place: Column, n_words: Column, template: Column) -> Column:
+    """The length and position filters, before any block is formed: whether a block around the place of a prefix word can hold enough of the template.
+
+    The block of which this word is the rarest shared one has no more words than stand within its reach (length), and shares none of the
+    template's words before this one in the global order (position).  A block with a rarer shared word is found at that word."""
+    around = F.least(place + template["span"], n_words) - F.greatest(place - template["span"] + 1, F.lit(0))
+    return F.least(around, F.size(template["words"]) - template["rank"]) >= template["need"]
+
+
 def containments(words: Column, templates: list[Template], order: list[str]) -> Column:
     """Structs (label, share) of every template that some block of the words (lower-cased) meets, with its largest share near each prefix word."""
     rank = {w: i for i, w in enumerate(order)}
     index: dict[str, list[Column]] = {}
     for t in templates:
         ranked = sorted(t.words, key=rank.__getitem__)
-        entry = F.struct(F.lit(t.label).alias("label"), F.lit(t.need).alias("need"), F.lit(t.span).alias("span"), F.array(*map(F.lit, ranked)).alias("words"))
-        for w in ranked[: len(ranked) - t.need + 1]:
-            index.setdefault(w, []).append(entry)
+        for i, w in enumerate(ranked[: len(ranked) - t.need + 1]):
+            fields = {"label": F.lit(t.label), "need": F.lit(t.need), "span": F.lit(t.span), "rank": F.lit(i), "words": F.array(*map(F.lit, ranked))}
+            index.setdefault(w, []).append(F.struct(*[c.alias(k) for k, c in fields.items()]))
     by_word = F.create_map(*[x for w, own in sorted(index.items()) for x in (F.lit(w), F.array(*own))])
     places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(index)), i)), lambda i: i.isNotNull())
     asked = F.flatten(F.transform(places, lambda p: F.transform(F.element_at(by_word, F.get(words, p)), lambda t: F.struct(p.alias("place"), t.alias("t")))))
@@ -103,18 +113,18 @@ def containments(words: Column, templates: list[Template], order: list[str]) ->
 
     def best(x: Column) -> Column:
         """The largest number of template words in a block that holds the prefix word (blocks may begin with a template word)."""
-        n, need, span = F.size(x["t"]["words"]), x["t"]["need"], x["t"]["span"]
+        need, span = x["t"]["need"], x["t"]["span"]
 
         def held(start: Column) -> Column:
-            block = F.array_sort(F.array_distinct(F.filter(F.slice(x["ranks"], start + 1, span), lambda r: r > 0)))
-            size, low = F.size(block), F.array_min(block)  # of sorted ranks, all shared: the lowest is the first shared position
-            passes = (size >= need) & (low <= n - need + 1) & (1 + F.least(size - 1, n - low) >= need)
-            return F.when(passes, size)
+            block = F.array_distinct(F.filter(F.slice(x["ranks"], start + 1, span), lambda r: r > 0))
+            size = F.size(block)
+            return F.when(size >= need, size)
 
         starts = F.filter(F.sequence(F.lit(0), x["at"]), lambda s: F.get(x["ranks"], s) > 0)
         return F.array_max(F.transform(starts, held))
 
     hopeful = lambda x: F.size(F.array_distinct(F.filter(x["ranks"], lambda r: r > 0))) >= x["t"]["need"]
+    asked = F.filter(asked, lambda x: possible(x["place"], F.size(words), x["t"]))
     found = F.transform(F.filter(F.transform(asked, near), hopeful), lambda x: F.struct(x["t"]["label"].alias("label"), (best(x) / F.size(x["t"]["words"])).alias("share")))
     return F.filter(found, lambda m: m["share"].isNotNull())
 

@@ -100,6 +100,17 @@ def test_licenses_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(1.0 if hits else max(met.values(), default=0.0))
 
 
+def test_filters_before_blocks(spark):
+    """Short surroundings and late ranks are thrown out before a block is formed; what qualifies never is."""
+    F = licenses.F
+    template = F.struct(F.lit(8).alias("need"), F.lit(15).alias("span"), F.col("rank"), F.array(*[F.lit(str(i)) for i in range(10)]).alias("words"))
+    rows = spark.createDataFrame([(p, n, r) for p in range(0, 40, 3) for n in (p + 1, p + 3, 60) for r in range(3)], "place int, n int, rank int")
+    got = {(r["place"], r["n"], r["rank"]): r["ok"] for r in rows.select("*", licenses.possible(F.col("place"), F.col("n"), template).alias("ok")).collect()}
+    for (p, n, r), ok in got.items():
+        assert ok == (min(min(p + 15, n) - max(p - 14, 0), 10 - r) >= 8)
+    assert 0 < sum(got.values()) < len(got)
+
+
 def test_wrapped_notice_and_scattered_words(spark):
     grant = "Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n * of this software and associated documentation files"
     scattered = (" filler" * 9).join(grant.replace("*", " ").split())
@@ -140,6 +151,21 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept.columns == ["doc_id", "text", "score"] and 1002 not in {x["doc_id"] for x in kept.collect()}
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Real labels that training never saw: the area under the curve, precision and recall stay above a floor (measured: 0.97, 0.87, 0.88)."""
+    top = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{top}/labels.parquet")
+    docs = spark.read.parquet(f"{top}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    good, bad = [r["score"] for r in rows if not r["toxic"]], [r["score"] for r in rows if r["toxic"]]
+    order = np.argsort(np.argsort(np.array(bad + good), kind="stable"))[: len(bad)]
+    area = (order.sum() - len(bad) * (len(bad) - 1) / 2) / (len(bad) * len(good))
+    hits = sum(r["predicted"] and r["toxic"] for r in rows)
+    precision, recall = hits / sum(r["predicted"] for r in rows), hits / len(bad)
+    print(f"area {area:.4f}, precision {precision:.3f}, recall {recall:.3f} of {len(bad)} in {len(rows)}")
+    assert area > 0.94 and precision > 0.75 and recall > 0.75
+
+
 def test_toxicity_gradients():
     net, rng = toxicity.Network(3), np.random.default_rng(3)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
@@ -803,7 +829,7 @@ def test_encode_and_decode_columns(spark, docs):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, df = c.sql(queries.SQL[name]), queries.QUERIES[name](spark, SF)
     assert sorted(want.columns) == sorted(df.columns)
