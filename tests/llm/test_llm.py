@@ -152,7 +152,7 @@ def test_toxicity_learns_and_holds_out(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    """Real labels that training never saw: the area under the curve, precision and recall stay above a floor (measured: 0.97, 0.87, 0.88)."""
+    """Real labels that training never saw: the area under the curve, precision and recall stay above a floor (measured: 0.96, 0.84, 0.84)."""
     top = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{top}/labels.parquet")
     docs = spark.read.parquet(f"{top}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
