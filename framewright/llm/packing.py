@@ -1,8 +1,9 @@
 """Hierarchical multi-length sequence packing.
 
 1. Tokenize each document once (one narrow stage).  Equal white-space chunks have
-   equal ids, so a worker keeps bounded memos from chunk, and from word, to ids;
-   chunks of plain letters and marks go to the merge model by their words.
+   equal ids, so a block of texts is split and reduced to its distinct chunks in Arrow
+   columns, and a worker keeps bounded memos from chunk, and from word, to ids; chunks
+   of plain letters and marks go to the tokenizer's merge model by their words.
 2. Cut: a document of more than `window` ids gives full windows and one rest, so
    every piece and its checksum come from that single pass.
 3. Route: a piece belongs to the smallest context tier (256, 512, 1024, 2048 by
@@ -22,15 +23,15 @@ empty result.  A null doc_id is kept as null.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,40 +42,45 @@ TIERS = (256, 512, 1024, 2048)
 GROUP = 4_000
 #: Sequences of a step group.
 STEP = 64
-#: Entries of a memo's generation in a worker; bounds memory only.
-MEMO = 200_000
+#: Bytes of a memo in a worker; bounds memory only.
+MEMO = 16_000_000
+#: Bytes of texts that are tokenized together (or one text).
+BLOCK = 16_000_000
 #: New chunks that are encoded together, as one text.
 TOGETHER = 1_024
-ROWS = 256
-#: Control characters that str.split() takes for white space and the tokenizer does not.
-ODD = re.compile("[\x1c-\x1f]")
-SPLIT = re.compile(r"[ \t\r\n]+")
 #: A chunk of letters with one lower-case letter each, which no normal form changes, and the marks behind it: two words
 #: to the tokenizer.  The dotted capital I lower-cases to two characters and an apostrophe may join letters; they are left out.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ƺ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ƺ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
-class Memo:
-    """Two generations of a dict: what is met again moves from the older to the newer one."""
+def lists(lengths: np.ndarray, ids: np.ndarray | pa.Array) -> pa.ListArray:
+    """Lists of these lengths over ids that stand one after another."""
+    ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.uint32()))
+
+
+def lengths_of(ids: pa.ListArray) -> np.ndarray:
+    return pc.list_value_length(ids).to_numpy().astype(np.int64)
 
-    def __init__(self):
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that neither generation has."""
-        newer, older, out = self.newer, self.older, []
-        for k in keys:
-            if k not in newer:
-                if (known := older.get(k)) is None:
-                    out.append(k)
-                else:
-                    newer[k] = known
-        return out
+class Memo:
+    """Keys and their ids, in columns; beyond MEMO bytes only those of the latest block stay."""
 
-    def turn(self) -> None:
-        if len(self.newer) > MEMO:
-            self.newer, self.older = {}, self.newer
+    def __init__(self):
+        self.keys, self.ids = pa.array([], pa.string()), lists(np.zeros(0), np.zeros(0, "<u4"))
+
+    def ids_of(self, keys: pa.Array, learn: Callable[[pa.Array], pa.ListArray]) -> pa.ListArray:
+        """Ids of distinct keys; learn gives those of the new ones."""
+        at = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy().copy()
+        if (new := at < 0).any():
+            at[new] = len(self.keys) + np.arange(new.sum())
+            fresh = keys.filter(pa.array(new))
+            self.ids = pa.concat_arrays([self.ids, learn(fresh)])
+            self.keys = pa.concat_arrays([self.keys, fresh])
+        got = self.ids.take(pa.array(at))
+        if self.keys.nbytes + self.ids.nbytes > MEMO:
+            self.keys, self.ids = keys, got
+        return got
 
 
 class ChunkTokenizer:
@@ -88,19 +94,27 @@ class ChunkTokenizer:
         self.plain, self.marking = Tokenizer.from_file(path), Tokenizer.from_file(path)
         special = max(t for t in self.plain.get_added_tokens_decoder())
         self.mark, self.mark_id = self.plain.get_added_tokens_decoder()[special].content, special
-        self.merge = self.plain.model.tokenize
+        #: The merge model alone, over words as they are spelt in the vocabulary; a word's last token has the model's suffix.
+        self.merge = Tokenizer(self.plain.model)
+        self.merge.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(self.plain.get_vocab_size(), bool)
+        self.last[[i for t, i in self.plain.get_vocab().items() if t.endswith(self.plain.model.end_of_word_suffix)]] = True
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: The character that stands for each byte in the vocabulary; letters come as Latin-1 readings of their UTF-8 bytes.
-        spelt = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
+        spelt = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)} | {32: " "}
         self.spelling = spelt | {b: c for x in ("àÀĀǀ") for b, c in zip(x.encode(), level.pre_tokenize_str(x)[0][0], strict=True)}
         self.spelling |= {b: level.pre_tokenize_str(bytes((0xC3, b)).decode())[0][0][1] for b in range(0x80, 0xC0)}
         self.spelling |= {b: level.pre_tokenize_str(bytes((b, 0x80)).decode())[0][0][0] for b in range(0xC3, 0xC8)}
         self.chunks, self.words = Memo(), Memo()
 
-    def word(self, word: str) -> bytes:
-        """Ids of one word as the tokenizer's own patterns part words, in lower case."""
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
-        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+    def merged(self, words: pa.Array) -> pa.ListArray:
+        """Ids of words as the tokenizer's own patterns part them, in lower case; the empty word has none."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        spelt = joined.encode().decode("latin-1").translate(self.spelling)
+        ids = np.array(self.merge.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+        lengths = np.zeros(len(words), np.int64)
+        lengths[pc.binary_length(words).to_numpy() > 0] = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        return lists(lengths, ids)
 
     def together(self, chunks: list[str]) -> Iterator[bytes]:
         """Ids of other chunks: in one text, parted by a special token; chunks that may hold one themselves, one by one."""
@@ -113,30 +127,31 @@ class ChunkTokenizer:
             for c in own:
                 yield np.array(self.plain.encode(c, add_special_tokens=False).ids, "<u4").tobytes() if "<" in c else next(parts)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Puts new chunks into the memo: plain ones by their words, the others by the whole tokenizer."""
-        of, odd, plain = self.chunks.newer, [], []
-        for c in chunks:
-            if m := PLAIN(c):
-                plain.append((c, m[1].lower(), m[2]))
-            else:
-                odd.append(c)
-        words = self.words.newer
-        for w in self.words.missing({x for _, *parts in plain for x in parts}):
-            words[w] = self.word(w) if w else b""
-        for c, word, tail in plain:
-            of[c] = words[word] + words[tail]
-        of.update(zip(odd, self.together(odd), strict=True))
+    def learn(self, chunks: pa.Array) -> pa.ListArray:
+        """Ids of new chunks: plain ones by their words, the others by the whole tokenizer."""
+        parted = pc.extract_regex(chunks, PLAIN)
+        plain = parted.is_valid().to_numpy(zero_copy_only=False)
+        word, marks = parted.drop_null().flatten()
+        words = pa.concat_arrays([pc.utf8_lower(word), marks]).dictionary_encode()
+        pairs = self.words.ids_of(words.dictionary, self.merged).take(pa.array(words.indices.to_numpy().reshape(2, -1).T.ravel()))
+        odd = list(self.together(chunks.filter(pa.array(~plain)).to_pylist()))
+        both = [lists(lengths_of(pairs).reshape(-1, 2).sum(1), pairs.flatten()), lists(np.array([len(x) // 4 for x in odd]), np.frombuffer(b"".join(odd), "<u4"))]
+        order = np.empty(len(chunks), np.int64)
+        order[plain], order[~plain] = np.arange(len(word)), len(word) + np.arange(len(odd))
+        return pa.concat_arrays(both).take(pa.array(order))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of each text's."""
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        ids = self.chunks.ids_of(chunks.dictionary, self.learn).take(chunks.indices)
+        ends = np.concatenate(([0], np.cumsum(lengths_of(ids))))
+        return ids.flatten().to_numpy(), np.diff(ends[split.offsets.to_numpy()])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        self.chunks.turn()
-        self.words.turn()
-        split = [SPLIT.split(t) if ODD.search(t) else t.split() for t in texts]
-        if new := self.chunks.missing(set().union(*split)):
-            self.learn(new)
-        of = self.chunks.newer.__getitem__
-        return [b"".join(map(of, s)) for s in split]
+        ids, n = self.encode(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
 @lru_cache(maxsize=2)
@@ -146,23 +161,30 @@ def tokenizer(path: str) -> ChunkTokenizer:
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = TIERS[-1]) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens for each piece of each document (its ids, then end_id)."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = tokenizer(path)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def of_block(docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ids, n = tokenizer(path).encode(texts)
+        coded, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+        parts = -(-n // window)
+        row = np.repeat(np.arange(len(n)), parts)
+        start = window * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        length = np.minimum(window, n[row] - start)
+        first, raw = 4 * ((np.cumsum(n) - n)[row] + start), memoryview(coded.astype("<u4", copy=False)).cast("B")
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[row]))], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch["text"].fillna("").tolist(), batch["doc_id"].tolist()
-            out: list[tuple] = []
-            for i in range(0, len(texts), ROWS):
-                for doc, coded in zip(ids[i : i + ROWS], own.encode_batch(texts[i : i + ROWS]), strict=True):
-                    coded += end
-                    n = len(coded) // 4
-                    out += [(doc, at, min(window, n - at), zlib.crc32(coded[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+            texts, ids = batch.column("text").cast(pa.string()).fill_null(""), batch.column("doc_id")
+            block = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // BLOCK
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a < b:
+                    yield of_block(ids[a:b], texts[a:b])
+
+    schema = ", ".join(f"{c} long" for c in columns)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 class Shelf:

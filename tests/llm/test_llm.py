@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -277,6 +278,43 @@ def test_tokens_of_mixed_text(text):
     assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_without_steps_for_each_word():
+    """New words, the dear part of a text, go through columns and one call of the tokenizer: the calls made don't grow with their number."""
+    r, calls, tok = random.Random(31), Counter(), chunk_and_usual()[1]
+    for n in (100, 20_000):
+        text, own = " ".join("".join(r.choices("etaoinshrdluéß", k=8)) + r.choice(("", ",", "!")) for _ in range(n)), packing.ChunkTokenizer(queries.WORD_BPE)
+        sys.setprofile(lambda frame, event, arg, n=n: calls.update([n]) if event in ("call", "c_call") else None)
+        try:
+            (got,) = own.encode_batch([text])
+        finally:
+            sys.setprofile(None)
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert calls[20_000] < 2 * calls[100]
+
+
+def test_tokens_over_blocks_and_full_memos(spark, monkeypatch):
+    """Blocks of a few texts and memos that are emptied again and again change no id, length or place."""
+    tok, r = chunk_and_usual()[1], random.Random(32)
+    words = ["Straße,", "word", "WORD!", "x1", "don't", "\u00a0", "a\u0301", "<|endoftext|>", "\x1c", "中文", "é...", "\n", "\x0b", "(a)"] + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts = [None, "", " \n "] + [r.choice(("", " ")) + " ".join(r.choices(words, k=r.randrange(60))) for _ in range(200)] + [" ".join(r.choices(words, k=3000))]
+    monkeypatch.setattr(packing, "MEMO", 800)
+    own, emptied = packing.ChunkTokenizer(queries.WORD_BPE), 0
+    for x in texts[1:]:
+        before = len(own.chunks.keys)
+        assert np.frombuffer(own.encode_batch([x])[0], "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
+        emptied += len(own.chunks.keys) < before
+    assert emptied > 10
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    rows = spark.createDataFrame([(i if i % 9 else None, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = iter(packing.pieces(rows, queries.WORD_BPE, window=64).collect())
+    for i, x in enumerate(texts):
+        ids = np.array([*tok.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(ids), 64):
+            own = ids[at : at + 64]
+            assert tuple(next(got)) == (i if i % 9 else None, at, len(own), zlib.crc32(own.tobytes()), len(ids))
+    assert next(got, None) is None
+
+
 @lru_cache(maxsize=1)
 def chunk_and_usual():
     from tokenizers import Tokenizer
