@@ -6,7 +6,7 @@ file; in archives with an index it is a range of whole segments, unless one segm
 longer than a partition.  Options give segments (a range list like `3-9,20`) and frames (first and
 last of each segment), and filters of the DataFrame on seg_id and frame_no come down too: segments
 that the index rules out are no partition, and of the others only the bytes of the asked frames
-are read.  A task holds one batch of rows, however large the file.
+are read.  A task holds one batch of rows, however large the file; of more than TASKS ranges (many small files) a task reads several.
 
 The driver reads headers and indexes only (four bytes for each segment).  An archive without an
 index is read by rows, with the same result.  Empty files and files without rows give none; a
@@ -34,6 +34,8 @@ from framewright.sources.stores import found, opened
 NAME = "framewright-ranges"
 #: Bytes of a partition, and rows of a batch.
 PART_BYTES, BATCH = 64 << 20, 10_000
+#: Partitions at most; more ranges than these share them.
+TASKS = 500
 SCHEMAS = {
     "archive": "path string, seg_id bigint, frame_no bigint, features array<double>, labels array<bigint>",
     "signatures": "path string, frame_no bigint, sig bigint",
@@ -62,6 +64,14 @@ class Layout:
 
 def layout(kind: str, uri: str, size: int, options: dict) -> Layout:
     """From a file's header (and the index of an archive)."""
+    if kind == "raw" and size:  # has no header to open it for
+        out = Layout(int(options.get("skip", 0)), 0, options.get("dtype", "<f4"), int(options["width"]))
+        out.rows, rest = divmod(size - out.offset, out.width)
+        if rest:
+            raise ValueError(f"{uri}: {size - out.offset} bytes aren't rows of {out.cells}")
+        return out
+    if size == 0:
+        return Layout(0, 0, "u1", 1)
     system, path = opened(uri)
     with system.open_input_file(path) as f:
 
@@ -71,20 +81,12 @@ def layout(kind: str, uri: str, size: int, options: dict) -> Layout:
                 raise ValueError(f"{uri} ends at byte {size}, before {where + n}")
             return got
 
-        if size == 0:
-            return Layout(0, 0, "u1", 1)
         if kind == "archive":
             h = archive_fields(at(0, HEADER))
             out = Layout(HEADER, h["num_frames"], ">u4", 2 + h["num_features"] + h["num_labels"], h)
             index = HEADER + out.rows * out.width
             if size >= index + 4 * (h["num_sentences"] + 1):
                 out.starts = np.frombuffer(at(index, 4 * (h["num_sentences"] + 1)), ">u4").astype(np.int64)
-        elif kind == "raw":
-            cells, cell, skip = int(options["width"]), options.get("dtype", "<f4"), int(options.get("skip", 0))
-            out = Layout(skip, 0, cell, cells)
-            out.rows, rest = divmod(size - skip, out.width)
-            if rest:
-                raise ValueError(f"{uri}: {size - skip} bytes aren't rows of {cells}")
         elif kind == "sized":
             out = Layout(4, 0, "<f4", struct.unpack("<i", at(0, 4))[0])
             out.rows = (size - 4) // out.width
@@ -139,6 +141,13 @@ class Part(ds.InputPartition):
     frames: tuple[int, float] = (0, math.inf)
 
 
+@dataclass
+class Lot(ds.InputPartition):
+    """Several ranges that one task reads one after the other."""
+
+    parts: list[Part]
+
+
 def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in stretches:
@@ -218,9 +227,27 @@ class Reader(ds.DataSourceReader):
                 chosen = set(every) if chosen is None else chosen & set(every)
             if shape.rows:
                 out += parts(uri, shape, rows_of(shape), chosen, tuple(self.bounds["frame_no"]))
+        if len(out) > TASKS:  # many small files: ranges stay what they are, a task reads several
+            return [Lot(out[k * len(out) // TASKS : (k + 1) * len(out) // TASKS]) for k in range(TASKS)]
         return out or [Part("", Layout(0, 0, "u1", 1), [])]
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def __getstate__(self) -> dict:
+        """What tasks need, which have their ranges: not the list of all files."""
+        return self.__dict__ | {"options": {k: v for k, v in self.options.items() if k != "files"}}
+
+    def read(self, part: Part | Lot) -> Iterator[pa.RecordBatch]:
+        """Batches of at most BATCH rows; those of small ranges are put together."""
+        held, n = [], 0
+        for batch in (b for p in (part.parts if isinstance(part, Lot) else [part]) for b in self.rows(p)):
+            if held and n + batch.num_rows > BATCH:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield pa.concat_batches(held)
+
+    def rows(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not part.uri:
             return
         system, path = opened(part.uri)
@@ -269,8 +296,13 @@ class Ranges(ds.DataSource):
         return SCHEMAS.get(self.options["kind"], MATRIX)
 
     def reader(self, schema) -> Reader:
+        self.planned = True
         return Reader(dict(self.options))
 
+    def __getstate__(self) -> dict:
+        """Once its reader is made, tasks get the source without the list of files."""
+        return self.__dict__ | ({"options": {k: v for k, v in self.options.items() if k != "files"}} if getattr(self, "planned", False) else {})
+
 
 def scan(spark: SparkSession, kind: str, path: str | list[str], **options) -> DataFrame:
     """The rows of all files that the paths name.  options: segments, first, last, part_bytes; width, dtype and skip for raw matrices, width and dtype for flagged rows.

@@ -97,14 +97,31 @@ def labels_of_runs(runs: DataFrame) -> DataFrame:
 
 
 def encoded(frames: DataFrame, by: Column, encode: Callable[[pd.DataFrame], bytes]) -> DataFrame:
-    """name, content: one file's bytes for each value of `by`, its frames in order.  A file is one record, so `by` bounds its size."""
-    rows = frames.withColumn("name", by.cast("string"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["seg_id", "frame_no"])
-        return pd.DataFrame({"name": [group["name"].iloc[0]], "content": [encode(group)]})
-
-    return rows.groupBy("name").applyInPandas(run, "name string, content binary")
+    """name, content: one file's bytes for each value of `by`, its frames in order.  A file is one record, so `by` bounds its size.
+
+    Rows come sorted to the task that owns their file and pass through in batches; what is held is a batch and the file that it ends in."""
+    columns = [c for c in frames.columns if c != "name"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            name = batch["name"].to_numpy()
+            cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
+            names, contents = [], []
+            for a, b in zip(cuts, cuts[1:]):
+                if a or held and b and held[-1]["name"].iloc[0] != name[0]:  # a file has ended
+                    names.append(held[-1]["name"].iloc[0])
+                    contents.append(encode(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]))
+                    held = []
+                if b > a:
+                    held.append(batch.iloc[a:b])
+            if names:
+                yield pd.DataFrame({"name": names, "content": contents})
+        if held:
+            yield pd.DataFrame({"name": [held[-1]["name"].iloc[0]], "content": [encode(pd.concat(held, ignore_index=True))]})
+
+    rows = frames.select(*columns, by.cast("string").alias("name")).repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    return rows.sortWithinPartitions("name", "seg_id", "frame_no").mapInPandas(run, "name string, content binary")
 
 
 def raw_bytes(dtype: str = "<f4") -> Callable[[pd.DataFrame], bytes]:

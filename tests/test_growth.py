@@ -1,10 +1,14 @@
 """What must not grow: rows that are shuffled, tasks, and values held, on inputs a few times a block's size."""
 
+import json
+import pickle
 import random
 
-import pytest
+import numpy as np
+from pyspark.sql import functions as F
 
 from framewright.operators import pairing
+from framewright.sources import ranged, sinks, stores
 
 
 def plan(df):
@@ -19,3 +23,34 @@ def test_triangle_shuffles_cells(spark):
     text = plan(df)
     assert -1 < text.find("explode(y") < text.find("HashJoin")
     assert pairing.triangle(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_small_ranges_share_partitions(spark, tmp_path, monkeypatch):
+    """Files of few rows: ranges stay as small as asked, but tasks don't grow with them, nor does what a task is sent."""
+    x = np.arange(60, dtype="<f4")
+    for k in range(20):
+        (tmp_path / f"a,b {k:02}.raw").write_bytes((x[: 6 * (k % 5)] + k).tobytes())
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "_no.raw").write_bytes(b"?")
+    monkeypatch.setattr(ranged, "TASKS", 7)
+    options = {"kind": "raw", "width": "2", "part_bytes": "16", "files": json.dumps(stores.found(spark, f"{tmp_path}/*.raw"))}
+    reader = ranged.Reader(options)
+    lots = reader.partitions()
+    assert len(lots) == 7 and max(b - a for lot in lots for p in lot.parts for a, b in p.stretches) == 2
+    assert len(pickle.dumps(reader)) < len(options["files"])
+    got = sorted((r["path"][-6:-4], r["frame_no"], *r["features"]) for r in ranged.scan(spark, "raw", [f"{tmp_path}/*.raw", f"{tmp_path}/in"], width=2, part_bytes=16).collect())
+    assert got == [(f"{k:02}", i, 2.0 * i + k, 2.0 * i + 1 + k) for k in range(20) for i in range(3 * (k % 5))]
+
+
+def test_files_are_encoded_across_batches(spark):
+    """A file whose frames lie in several batches, and several files in one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(s, i, [float(s), float(i)]) for s in range(40) for i in range(1 + s % 23)]
+        random.Random(3).shuffle(rows)
+        df = sinks.encoded(spark.createDataFrame(rows, "seg_id long, frame_no long, features array<double>"), F.col("seg_id"), sinks.raw_bytes())
+        got = {r["name"]: np.frombuffer(bytes(r["content"]), "<f4").reshape(-1, 2).tolist() for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {str(s): [[float(s), float(i)] for i in range(1 + s % 23)] for s in range(40)}
+    assert "FlatMapGroups" not in plan(df)
