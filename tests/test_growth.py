@@ -5,9 +5,10 @@ import pickle
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import pairing
+from framewright.operators import discovery, pairing
 from framewright.sources import ranged, sinks, stores
 
 
@@ -54,3 +55,22 @@ def test_files_are_encoded_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {str(s): [[float(s), float(i)] for i in range(1 + s % 23)] for s in range(40)}
     assert "FlatMapGroups" not in plan(df)
+
+
+@pytest.mark.parametrize("width", [11, 64])
+def test_matches_without_dots(spark, width):
+    """Pieces far smaller than a file give the rows and runs that a table of dots gives: runs across pieces, gaps, several signatures of a frame, long silent stretches."""
+    r = random.Random(7)
+    base = [r.getrandbits(8) for _ in range(70)]
+    frames = [(f, i, base[i % 23 if f else i]) for f in range(2) for i in range(70) if f or i % 9]
+    frames += [(1, i, r.getrandbits(8)) for i in range(0, 70, 5)] + [(2, i, 5) for i in range(40)] + [(3, 1_000 * i, 1) for i in range(3)] + [(None, 1, 1), (1, 3, None)]
+    df = spark.createDataFrame(frames, "file long, frame_no long, sig long").cache()
+    dots = discovery.dots(df, 8, 0.25)
+    for dx, dy in ((2, 3), (3, 2), (1, 1)):
+        cells = discovery.median_filter(dots, dx).cache()
+        squares = discovery.Squares(df, 8, 0.25, dx, dy, width=width)
+        rows = cells.groupBy("file", "yp").agg(F.count("*").alias("n")).collect()
+        assert sorted(map(tuple, squares.counts().collect())) == sorted(map(tuple, rows))
+        peak = discovery.peaks(discovery.hough(cells, dy), 1.0).cache()
+        want = sorted(map(tuple, discovery.runs(cells, peak, dy, 2).collect()))
+        assert want and sorted(map(tuple, squares.runs(peak, 2).collect())) == want
