@@ -3,12 +3,13 @@
 import json
 import pickle
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import discovery, pairing
+from framewright.operators import discovery, evaluation, lsh, pairing
 from framewright.sources import ranged, sinks, stores
 
 
@@ -74,3 +75,37 @@ def test_matches_without_dots(spark, width):
         peak = discovery.peaks(discovery.hough(cells, dy), 1.0).cache()
         want = sorted(map(tuple, discovery.runs(cells, peak, dy, 2).collect()))
         assert want and sorted(map(tuple, squares.runs(peak, 2).collect())) == want
+
+
+@pytest.mark.parametrize("width", [9, 1_000])
+def test_distances_are_counted(spark, width):
+    """Counts of all pairs as a join of all pairs has them: blocks smaller than the table, repeated keys, nulls, an odd number of pairs."""
+    r = random.Random(5)
+    rows = [(r.randrange(60), r.getrandbits(12), r.choice([0, 1, 2]), r.choice([0, 1])) for _ in range(53)]
+    rows += [(7, None, 1, 1), (9, 3, None, 0), (11, 5, 2, None), (13, None, None, None), (7, 100, 1, 1), (70, 4095, 900, 0)]
+    df = spark.createDataFrame(rows, "k long, sig long, label int, speaker int")
+    got = lsh.distances(df, "k", 12, width)
+    none = lambda a, b: None if a is None or b is None else a == b
+    want = Counter((None if a[1] is None or b[1] is None else (a[1] ^ b[1]).bit_count() / 12, none(a[2], b[2]), none(a[3], b[3])) for a in rows for b in rows if a[0] < b[0])
+    assert {tuple(x[:3]): x[3] for x in map(tuple, got.collect())} == want
+    pairs = lsh.pairs(df, "k").select((lsh.hamming(F.col("a.sig"), F.col("b.sig")) / 12).alias("dist"), (F.col("a.label") == F.col("b.label")).alias("same"), (F.col("a.speaker") == F.col("b.speaker")).alias("same_speaker"))
+    for report in (evaluation.average_precision, evaluation.breakeven):
+        assert report(got).first()[-1] == pytest.approx(report(pairs).first()[-1])
+    assert "Join" not in plan(got)
+
+
+def test_tally_in_strips():
+    x, y = (np.random.default_rng(k).integers(0, 1 << 32, n, dtype=np.uint32) for k, n in ((1, 517), (2, 613)))
+    want = np.bincount(np.bitwise_count(x[:, None] ^ y).ravel(), minlength=33)
+    assert (lsh.tally(x, y, 32, 1_000) == want).all() and (lsh.tally(x, y, 32) == want).all()
+
+
+def test_diagonal_join_stores_no_pairs(spark):
+    """What the probe along diagonals finds from the exact join's pairs, repeated keys and all."""
+    r = random.Random(2)
+    df = spark.createDataFrame([(i % 40, r.getrandbits(8)) for i in range(50)] + [(3, None)], "k long, sig long")
+    for threshold in (0.2, 0.6):
+        found = lsh.exact_join(df, "k", 8, threshold)
+        own = lsh.diagonal_join(df, "k", 8, threshold, 3)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, lsh.diagonal_probe(found, df, "k", 8, threshold, 3).collect()))
+        assert "Aggregate" not in plan(own)
