@@ -211,4 +211,4 @@ def format_weights(spark, sf_dir):
 def format_match_lines(spark, sf_dir):
     """Match lists: a header for each pair of files, a line for each match."""
     own = found_matches(spark, sf_dir).withColumn("f1", F.concat(F.lit("f"), F.col("file").cast("string"))).withColumn("f2", F.col("f1"))
-    return sinks.match_lines(own, ["xa", "xb", "ya", "yb"]).select("pair", F.posexplode("lines").alias("at", "line"))
+    return sinks.numbered_match_lines(own, ["xa", "xb", "ya", "yb"])

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.order import places
 from framewright.sources.files import archive_bytes
 from framewright.sources.stores import opened, resolved
 
@@ -43,6 +44,13 @@ def match_lines(matches: DataFrame, columns: list[str]) -> DataFrame:
     return per.select(F.concat_ws(" ", "f1", "f2").alias("pair"), F.transform("m", lambda x: x["__l"]).alias("lines"))
 
 
+def numbered_match_lines(matches: DataFrame, columns: list[str]) -> DataFrame:
+    """pair, at, line: the lines that `match_lines` has, numbered within their pair by ranges (`order.places`), so that no task holds all lines of a pair."""
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
+    rows = places(matches.select("f1", "f2", *columns), ["f1", "f2"], columns, "at")
+    return rows.select(F.concat_ws(" ", "f1", "f2").alias("pair"), F.col("at").cast("int").alias("at"), line.alias("line"))
+
+
 def class_lines(members: DataFrame) -> DataFrame:
     """cluster, lines: the members (file, start, end in frames) of each cluster as `file start end` in seconds, in order."""
     line = F.format_string("%s %.3f %.3f", F.col("file").cast("string"), F.col("start") / 100.0, F.col("end") / 100.0)

@@ -1,6 +1,7 @@
 """What must not grow: rows that are shuffled, tasks, and values held, on inputs a few times a block's size."""
 
 import json
+import math
 import pickle
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import discovery, evaluation, lsh, pairing
+from framewright.operators import discovery, evaluation, lsh, matching, order, pairing
 from framewright.sources import ranged, sinks, stores
 
 
@@ -109,3 +110,59 @@ def test_diagonal_join_stores_no_pairs(spark):
         own = lsh.diagonal_join(df, "k", 8, threshold, 3)
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, lsh.diagonal_probe(found, df, "k", 8, threshold, 3).collect()))
         assert "Aggregate" not in plan(own)
+
+
+@pytest.mark.parametrize("width", [7, 100])
+def test_sparse_products_store_no_terms(spark, width):
+    """Blocks smaller than a file, repeated postings, negative values, infinite ones, a threshold below 0."""
+    r = random.Random(4)
+    rows = [(2 * i + f, f, r.randrange(12), r.uniform(-1, 1)) for i in range(30) for f in range(2) for _ in range(4)]
+    rows += [(0, 0, 5, math.inf), (2, 0, 5, 0.5), (4, 0, 7, math.nan), (6, 0, 7, 1.0), (8, 0, None, 1.0), (10, 0, 3, None)]
+    df = spark.createDataFrame(rows, "id long, file int, dim int, x double")
+    for least in (0.3, -0.4):
+        both = order.paired(df.select("file", "dim", "id", "x"), ["file", "dim"], "id")
+        want = both.groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("val")).where(F.col("val") > least)
+        got = matching.sparse_products(df, least, width)
+        tell = lambda d: sorted((x["i"], x["j"], f"{x['val']:.9f}") for x in d.collect())
+        assert tell(got) == tell(want) and got.count() > 20
+        assert plan(got).rfind("Aggregate") > plan(got).find("Join")  # below the join: nothing is summed by pairs
+
+
+def test_merging_nearby_first(spark):
+    """Merging in the tasks first gives the fixed point of merging one pair after the other."""
+    r = random.Random(9)
+    boxes = [(f, a, a + r.randrange(6), b, b + r.randrange(6), 1.0) for f in range(3) for a, b in ((r.randrange(120 + 150 * f), r.randrange(120)) for _ in range(150))]
+    boxes += [(None, 1, 2, 1, 2, 1.0), (None, 1, 2, 1, 2, 1.0), (0, None, 2, 1, 2, 1.0), (5, 1, 4, 1, 4, None), (5, 2, 6, 2, 6, 2.0)]
+    want = [list(x) for x in boxes]
+    near = lambda p, q, a: None not in (*p, *q[:5]) and max(p[a + 1], q[a + 1]) - min(p[a], q[a]) < p[a + 1] - p[a] + q[a + 1] - q[a] + 2
+    while pair := next(((p, q) for k, p in enumerate(want) for q in want[k + 1 :] if p[0] == q[0] and near(p[:5], q, 1) and near(p[:5], q, 3)), None):
+        p, q = pair
+        want = [x for x in want if x is not p and x is not q]
+        want.append([p[0], min(p[1], q[1]), max(p[2], q[2]), min(p[3], q[3]), max(p[4], q[4]), (p[5] or 0) + (q[5] or 0)])
+    df = spark.createDataFrame(boxes, "file long, xa int, xb int, ya int, yb int, rho double")
+    order_ = lambda rows: sorted((tuple(x) for x in rows), key=str)
+    assert order_(matching.merged(df, 2).select("file", "xa", "xb", "ya", "yb", "rho").collect()) == order_(want)
+    assert matching.merged_nearby(df, 2, 64).count() < len(boxes)
+    few = matching.merged_nearby(df, 2, 64, most=3)
+    assert few.agg(F.sum("rho")).first()[0] == pytest.approx(sum(x[5] or 0 for x in boxes))
+
+
+def test_frames_meet_matches_in_tiles(spark):
+    """Sides across tiles, missing and repeated frames, a side without frames, sides that are too long."""
+    r = random.Random(6)
+    frames = [(f, i, [float(i), float(f)]) for f in range(2) for i in range(60) if i % 7] + [(0, 9, [-1.0, 0.0])]
+    found = [(r.randrange(2), k, a, a + r.randrange(12), b, b + r.randrange(12)) for k, (a, b) in enumerate((r.randrange(70), r.randrange(70)) for _ in range(80))]
+    got = matching.with_frames(spark.createDataFrame(found, "file long, yp long, xa int, xb int, ya int, yb int"), spark.createDataFrame(frames, "file long, frame_no long, features array<double>"), 10, 8)
+    side = lambda f, a, b: [v for _, v in sorted((i, v) for g, i, v in frames if g == f and a <= i <= b)]
+    want = [(*m, x, y) for m in found if m[3] - m[2] < 10 and m[5] - m[4] < 10 and (x := side(m[0], *m[2:4])) and (y := side(m[0], *m[4:6]))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) < 80
+    assert "explode(sequence(cast(xa" not in plan(got)
+
+
+def test_match_lines_by_ranges(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(f"f{r.randrange(3)}", "g", *(r.randrange(12) for _ in range(4))) for _ in range(200)], "f1 string, f2 string, xa int, xb int, ya int, yb int")
+    columns = ["xa", "xb", "ya", "yb"]
+    want = sinks.match_lines(df, columns).select("pair", F.posexplode("lines").alias("at", "line"))
+    got = sinks.numbered_match_lines(df, columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "collect_list" not in plan(got)
